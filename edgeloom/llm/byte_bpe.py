@@ -63,8 +63,8 @@ class _Codec(dict):
         return ids
 
     def _learn(self, segments: set[str]) -> None:
-        """Encode new segments in one call: as each begins with white space, they stay apart when set end to end."""
-        new = [s for s in segments if s not in self and s[0] in WHITE and len(s) <= LONGEST]
+        """Encode new segments in one call: as each begins with white space and ends without, they stay apart when set end to end."""
+        new = [s for s in segments if s not in self and s[0] in WHITE and s[-1] not in WHITE and len(s) <= LONGEST]
         if not new:
             return
         ids = np.array(self.encoding.encode_ordinary("".join(new)), "<u4")
