@@ -10,12 +10,17 @@ from edgeloom.llm.byte_bpe import encode
 from edgeloom.llm.common import table
 from edgeloom.llm.exact_dedup import exact_dedup
 from edgeloom.llm.simhash import simhash_dedup
+from edgeloom.llm.substring_dedup import substring_dedup
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(table(spark, sf_dir, "documents"))
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -36,13 +41,33 @@ FROM t WINDOW w AS (PARTITION BY text_sha256)
 """
 
 
+OP2_SQL = r"""
+WITH d AS (
+  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words
+  FROM documents),
+w AS (
+  SELECT doc_id, s, md5(array_to_string(list_slice(words, s, s + 19), ' ')) AS window_hash
+  FROM (SELECT doc_id, words, unnest(range(1, len(words) - 18)) AS s FROM d)),
+late AS (
+  SELECT doc_id, s FROM (
+    SELECT doc_id, s, row_number() OVER (PARTITION BY window_hash ORDER BY doc_id, s) AS k FROM w)
+  WHERE k > 1),
+gone AS (SELECT DISTINCT doc_id, s + o AS p FROM late, range(20) AS r(o)),
+gathered AS (SELECT doc_id, list(p) AS ps FROM gone GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(len(ps), 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(array_to_string(list_filter(words, lambda x, i: NOT list_contains(coalesce(ps, []), i)), ' '), '')) AS kept_sha256
+FROM d LEFT JOIN gathered USING (doc_id)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_exact_dedup": op1_exact_dedup,
+        "op2_substring_dedup": op2_substring_dedup,
         "op7_byte_bpe": op7_byte_bpe,
         "op10_simhash_dedup": op10_simhash_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1_SQL}
+    return {"op1_exact_dedup": OP1_SQL, "op2_substring_dedup": OP2_SQL}
