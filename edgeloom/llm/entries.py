@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from edgeloom.llm.byte_bpe import encode
 from edgeloom.llm.common import table
+from edgeloom.llm.context_tree import lm_score
 from edgeloom.llm.exact_dedup import exact_dedup
 from edgeloom.llm.simhash import simhash_dedup
 from edgeloom.llm.substring_dedup import substring_dedup
@@ -21,6 +22,10 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents"))
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score(table(spark, sf_dir, "documents"))
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -64,6 +69,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_exact_dedup": op1_exact_dedup,
         "op2_substring_dedup": op2_substring_dedup,
+        "op5_lm_scoring": op5_lm_scoring,
         "op7_byte_bpe": op7_byte_bpe,
         "op10_simhash_dedup": op10_simhash_dedup,
     }
