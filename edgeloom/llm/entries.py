@@ -10,6 +10,7 @@ from edgeloom.llm.byte_bpe import encode
 from edgeloom.llm.common import table
 from edgeloom.llm.context_tree import lm_score
 from edgeloom.llm.exact_dedup import exact_dedup
+from edgeloom.llm.language_id import language_id
 from edgeloom.llm.simhash import simhash_dedup
 from edgeloom.llm.substring_dedup import substring_dedup
 
@@ -22,6 +23,10 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents"))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id(table(spark, sf_dir, "documents"))
+
+
 def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score(table(spark, sf_dir, "documents"))
 
@@ -69,6 +74,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_exact_dedup": op1_exact_dedup,
         "op2_substring_dedup": op2_substring_dedup,
+        "op3_language_id": op3_language_id,
         "op5_lm_scoring": op5_lm_scoring,
         "op7_byte_bpe": op7_byte_bpe,
         "op10_simhash_dedup": op10_simhash_dedup,
