@@ -11,8 +11,14 @@ from edgeloom.llm.common import table
 from edgeloom.llm.context_tree import lm_score
 from edgeloom.llm.exact_dedup import exact_dedup
 from edgeloom.llm.language_id import language_id
+from edgeloom.llm.mixing import mix_sources
 from edgeloom.llm.simhash import simhash_dedup
 from edgeloom.llm.substring_dedup import substring_dedup
+from edgeloom.llm.url_filter import rules, url_filter
+
+RULES = ["block com/en/", "allow example.com/en/7", "allow net/de/", "block example.net/de/8", "block org/es/"]
+#: Repetition limit of the mixture.
+MAX_EPOCHS = 1.25
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,6 +43,14 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, digests=True)
 
 
+def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(table(spark, sf_dir, "documents"), max_epochs=MAX_EPOCHS)
+
+
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter(table(spark, sf_dir, "pages"), rules(RULES))
+
+
 def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup(table(spark, sf_dir, "documents"))
 
@@ -77,6 +91,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_language_id": op3_language_id,
         "op5_lm_scoring": op5_lm_scoring,
         "op7_byte_bpe": op7_byte_bpe,
+        "op8_source_mixing": op8_source_mixing,
+        "op9_url_filter": op9_url_filter,
         "op10_simhash_dedup": op10_simhash_dedup,
     }
 
