@@ -11,6 +11,7 @@ from edgeloom.llm.common import table
 from edgeloom.llm.context_tree import lm_score
 from edgeloom.llm.exact_dedup import exact_dedup
 from edgeloom.llm.language_id import language_id
+from edgeloom.llm.metric_join import metric_dedup
 from edgeloom.llm.mixing import mix_sources
 from edgeloom.llm.simhash import simhash_dedup
 from edgeloom.llm.substring_dedup import substring_dedup
@@ -37,6 +38,10 @@ def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score(table(spark, sf_dir, "documents"))
 
 
+def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metric_dedup(table(spark, sf_dir, "embeddings"))
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -84,12 +89,32 @@ FROM d LEFT JOIN gathered USING (doc_id)
 """
 
 
+OP6_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+ok AS (
+  SELECT * FROM v WHERE label IS NOT NULL AND x IS NOT NULL
+    AND len(list_filter(x, lambda c: c IS NULL OR NOT isfinite(c))) = 0 AND len(list_filter(x, lambda c: c <> 0)) > 0),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b
+  ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.x) = len(b.x) AND list_cosine_similarity(a.x, b.x) >= 0.98),
+c(vec_id, component_id) USING KEY (vec_id) AS (
+  SELECT vec_id, vec_id FROM v
+  UNION
+  SELECT l.b, min(c.component_id) FROM c JOIN links l ON l.a = c.vec_id
+  JOIN recurring.c r ON r.vec_id = l.b WHERE c.component_id < r.component_id GROUP BY l.b)
+SELECT c.vec_id, count(l.b) AS n_links, c.component_id, c.vec_id = c.component_id AS kept
+FROM c LEFT JOIN links l ON l.a = c.vec_id GROUP BY c.vec_id, c.component_id
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_exact_dedup": op1_exact_dedup,
         "op2_substring_dedup": op2_substring_dedup,
         "op3_language_id": op3_language_id,
         "op5_lm_scoring": op5_lm_scoring,
+        "op6_embedding_dedup": op6_embedding_dedup,
         "op7_byte_bpe": op7_byte_bpe,
         "op8_source_mixing": op8_source_mixing,
         "op9_url_filter": op9_url_filter,
@@ -98,4 +123,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1_SQL, "op2_substring_dedup": OP2_SQL}
+    return {"op1_exact_dedup": OP1_SQL, "op2_substring_dedup": OP2_SQL, "op6_embedding_dedup": OP6_SQL}
