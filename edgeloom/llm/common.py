@@ -37,17 +37,20 @@ def text_bytes(docs: DataFrame, text: str = "text") -> int:
     return docs.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0
 
 
-def chunked(docs: DataFrame, id_col: str, text_col: str, bytes_each: int, size: int | None = None) -> tuple[DataFrame, int]:
+def chunked(docs: DataFrame, id_col: str, text_col: str, bytes_each: int, size: int | None = None, carry: bool = False) -> tuple[DataFrame, int]:
     """Deal documents by id into chunks of about ``bytes_each`` bytes of text.
 
-    Returns (chunk, doc_id, text) hash-partitioned by chunk and the number of
+    Returns (chunk, doc_id, text), and with ``carry`` a struct ``doc`` of all other
+    columns, hash-partitioned by chunk and the number of
     chunks.  Steps that refer to it in one plan share its single text shuffle.
     """
     size = text_bytes(docs, text_col) if size is None else size
     n = max(1, -(-size // bytes_each))
-    dealt = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    dealt = dealt.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("bigint"))
-    return dealt.select("chunk", "doc_id", "text").repartition(n, "chunk"), n
+    others = [F.struct(*[c for c in docs.columns if c != text_col]).alias("doc")] if carry else []
+    dealt = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *others)
+    # Rows without an id spread by their text.
+    dealt = dealt.withColumn("chunk", F.pmod(F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.col("text"))), F.lit(n)).cast("bigint"))
+    return dealt.select("chunk", "doc_id", "text", *["doc"] * carry).repartition(n, "chunk"), n
 
 
 def over_batches(fn: Callable[[pa.RecordBatch], pa.RecordBatch | None]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:

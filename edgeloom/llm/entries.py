@@ -11,6 +11,7 @@ from edgeloom.llm.common import table
 from edgeloom.llm.context_tree import lm_score
 from edgeloom.llm.exact_dedup import exact_dedup
 from edgeloom.llm.language_id import language_id
+from edgeloom.llm.line_dedup import line_dedup
 from edgeloom.llm.metric_join import metric_dedup
 from edgeloom.llm.mixing import mix_sources
 from edgeloom.llm.simhash import simhash_dedup
@@ -34,6 +35,10 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(table(spark, sf_dir, "documents"))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup(table(spark, sf_dir, "documents"))
+
+
 def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score(table(spark, sf_dir, "documents"))
 
@@ -113,6 +118,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_exact_dedup": op1_exact_dedup,
         "op2_substring_dedup": op2_substring_dedup,
         "op3_language_id": op3_language_id,
+        "op4_line_dedup": op4_line_dedup,
         "op5_lm_scoring": op5_lm_scoring,
         "op6_embedding_dedup": op6_embedding_dedup,
         "op7_byte_bpe": op7_byte_bpe,
