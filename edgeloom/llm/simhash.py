@@ -112,3 +112,20 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     out = rows.join(by_fp, "fp")
     hexed = F.lpad(F.lower(F.hex("fp")), 16, "0")
     return out.select(F.col("doc_id").alias(id_col), hexed.alias("fingerprint"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, max_bits: int = 3, segments: int = 2) -> DataFrame:
+    """The rows of ``docs`` that stay, with all their columns: one of each component.
+
+    It is a row of the component's least id, of rows repeating that id the one with
+    the least hash of its text.  Rows whose id is null stay only in a component of
+    null ids.  Only the verdict, one small row per component, comes back to the rows.
+    """
+    verdicts = simhash_dedup(docs, id_col, text_col, width, max_bits, segments)
+    winners = verdicts.where("kept").select(F.col(id_col).alias("winner")).distinct()
+    met = docs.join(winners, docs[id_col].eqNullSafe(F.col("winner")), "left_semi")
+    text = F.xxhash64(F.col(text_col))
+    first = met.groupBy(id_col).agg(F.min(text).alias("least"), F.count("*").alias("rows_of_id")).where("rows_of_id > 1")
+    first = first.select(F.col(id_col).alias("winner"), "least")
+    kept = met.join(first, met[id_col].eqNullSafe(F.col("winner")), "left").where(F.col("least").isNull() | (F.col("least") == text)).drop("winner", "least")
+    return kept
