@@ -201,16 +201,17 @@ def _strips(s: np.ndarray, a: np.ndarray, low: np.ndarray, high: np.ndarray):
         yield own, np.repeat(a, len(own))
 
 
-def similar_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, words: int = 3, max_bits: int = 36, shard_bits: int = 6) -> DataFrame:
-    """One row per row of ``docs``: its id, component_id and kept, for copies of a similarity of about 0.8 or more.
+def _similar(docs: DataFrame, id_col: str, text_col: str, width: int, words: int, max_bits: int, shard_bits: int) -> DataFrame:
+    """(doc_id, draw, component_id, kept) of every row; draw is a hash of the text.
 
-    words: 64-bit fingerprints taken together.  A shard holds 2^(16 - shard_bits)
-    values of a slice and is cut into blocks by its size.
+    kept marks the rows whose (doc_id, draw) is the least of its component, ids that are not null first.
     """
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     seeds = [SEED + k for k in range(words)]
-    rows = cut(batches(rows).mapInArrow(_long_fingerprints(width, seeds), "doc_id bigint, fp binary"), "fps")
-    groups = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")).withColumn("node", F.xxhash64("fp")), "fpgroups")
+    rows = docs.select(F.struct(F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(F.col(text_col).cast("string")).alias("draw")).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    made = batches(rows).mapInArrow(_long_fingerprints(width, seeds), "doc_id struct<doc_id bigint, draw bigint>, fp binary")
+    rows = cut(made.select("doc_id.doc_id", "doc_id.draw", "fp"), "fps")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "draw")).alias("first")
+    groups = cut(rows.groupBy("fp").agg(first).withColumn("node", F.xxhash64("fp")), "fpgroups")
     slices = 64 * words // SLICE
     piece = lambda k: F.conv(F.hex(F.substring("fp", 2 * k + 1, 2)), 16, 10).cast("int")
     stored = F.array(*[F.struct(F.lit(k).alias("seg"), piece(k).alias("val")) for k in range(slices)])
@@ -227,23 +228,32 @@ def similar_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rights = sized(split(asked, False)).select(*columns, every("lefts").alias("a"), own("rights").alias("b"))
     edges = lefts.unionByName(rights).groupBy("seg", "part", "a", "b").applyInArrow(_meet(words, max_bits), "a bigint, b bigint")
     named = groups.join(components(edges).withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    least = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    out = rows.join(named.join(least, "component").select("fp", "component_id"), "fp")
-    return out.select(F.col("doc_id").alias(id_col), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    least = named.groupBy("component").agg(F.min("first").alias("least"))
+    out = rows.join(named.join(least, "component").select("fp", "least"), "fp")
+    kept = F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & (F.col("draw") == F.col("least.draw"))
+    return out.select("doc_id", "draw", F.col("least.doc_id").alias("component_id"), kept.alias("kept"))
+
+
+def similar_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, words: int = 3, max_bits: int = 36, shard_bits: int = 6) -> DataFrame:
+    """One row per row of ``docs``: its id, component_id and kept, for copies of a similarity of about 0.8 or more.
+
+    words: 64-bit fingerprints taken together.  A shard holds 2^(16 - shard_bits)
+    values of a slice and is cut into blocks by its size.  Of rows repeating the
+    least id, those with the least hash of their text are kept.
+    """
+    return _similar(docs, id_col, text_col, width, words, max_bits, shard_bits).select(F.col("doc_id").alias(id_col), "component_id", "kept")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, words: int = 3, max_bits: int = 36) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns: one of each component of ``similar_dedup``.
 
-    It is a row of the component's least id, of rows repeating that id the one with
-    the least hash of its text.  Rows whose id is null stay only in a component of
-    null ids.  Only the verdict, one small row per component, comes back to the rows.
+    It is the row of the component's least id, of rows repeating that id the one with
+    the least hash of its text, and of wholly repeated rows any one.  Only the
+    verdict, a small row per component, comes back to the rows.
     """
-    verdicts = similar_dedup(docs, id_col, text_col, width, words, max_bits)
-    winners = verdicts.where("kept").select(F.col(id_col).alias("winner")).distinct()
-    met = docs.join(winners, docs[id_col].eqNullSafe(F.col("winner")), "left_semi")
-    text = F.xxhash64(F.col(text_col))
-    first = met.groupBy(id_col).agg(F.min(text).alias("least"), F.count("*").alias("rows_of_id")).where("rows_of_id > 1")
-    first = first.select(F.col(id_col).alias("winner"), "least")
-    kept = met.join(first, met[id_col].eqNullSafe(F.col("winner")), "left").where(F.col("least").isNull() | (F.col("least") == text)).drop("winner", "least")
-    return kept
+    verdicts = _similar(docs, id_col, text_col, width, words, max_bits, 6)
+    winners = verdicts.where("kept").groupBy("doc_id", "draw").agg(F.count("*").alias("n"))
+    rows = docs.select(F.struct(*docs.columns).alias("doc"), F.col(id_col).cast("bigint").alias("key"), F.xxhash64(F.col(text_col).cast("string")).alias("mark"))
+    met = rows.join(winners, F.col("key").eqNullSafe(F.col("doc_id")) & (F.col("mark") == F.col("draw")))
+    repeated = met.where("n > 1").groupBy("key", "mark").agg(F.first("doc").alias("doc"))
+    return met.where("n = 1").select("doc.*").unionByName(repeated.select("doc.*"))
