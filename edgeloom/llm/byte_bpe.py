@@ -40,6 +40,8 @@ from edgeloom.plans.lineage import cut
 WHITE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 #: Segments a worker remembers before it starts afresh, and the longest one (in characters) it does.
 REMEMBERED, LONGEST = 300_000, 64
+#: Characters beyond its end that a match may depend on: an apostrophe is a match of its own unless two more make a contraction.
+AHEAD = 2
 
 
 class _Codec(dict):
@@ -101,11 +103,16 @@ def codec(path: str, pattern: str) -> _Codec:
 
 
 def boundaries(chunk: str, pattern: str, last: bool) -> list[int]:
-    """Starts and ends of the matches in a chunk, but for what its cut end leaves open."""
+    """Where matches of a chunk end, as far as a text may be cut there.
+
+    Left out are ends that the chunk's own end leaves open (AHEAD characters must
+    follow) and those after white space, as a run of it matches differently where a
+    text ends.
+    """
     import regex
 
     ends = [m.end() for m in regex.finditer(pattern, chunk)]
-    return [0, *(e for e in ends if last or e < len(chunk))]
+    return [e for e in ends if (last or e <= len(chunk) - AHEAD) and chunk[e - 1] not in WHITE]
 
 
 def seams(found: list[tuple[int, list[int]]]) -> list[int]:

@@ -57,7 +57,7 @@ def lgamma(x: np.ndarray) -> np.ndarray:
     low = x * (x + 1) * (x + 2) * (x + 3) * (x + 4) * (x + 5) * (x + 6) * (x + 7)
     big = x > 1e9
     z = np.where(big, x, x + 8)
-    series = (z - 0.5) * np.log(z) - z + 0.5 * np.log(2 * np.pi) + 1 / (12 * z) - 1 / (360 * z**3) + 1 / (1260 * z**5)
+    series = (z - 0.5) * np.log(z) - z + 0.5 * np.log(2 * np.pi) + 1 / (12 * z) - 1 / (360 * z**3) + 1 / (1260 * z**5) - 1 / (1680 * z**7)
     return series - np.where(big, 0.0, np.log(np.where(big, 1.0, low)))
 
 
