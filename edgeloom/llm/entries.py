@@ -113,6 +113,78 @@ FROM c LEFT JOIN links l ON l.a = c.vec_id GROUP BY c.vec_id, c.component_id
 """
 
 
+OP8_SQL = r"""
+WITH RECURSIVE t AS (
+  SELECT doc_id, source,
+    CAST(len(list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS BIGINT) AS n_tokens
+  FROM documents),
+c AS (SELECT source, CAST(sum(n_tokens) AS BIGINT) AS tokens FROM t GROUP BY source),
+total AS (SELECT CAST(sum(tokens) AS BIGINT) AS total FROM c),
+shares AS (SELECT source, tokens, tokens / total AS p, total FROM c, total WHERE tokens > 0),
+one AS (SELECT list(p) AS ps FROM shares),
+b(i, low, high) AS (
+  SELECT 0, 0.0::DOUBLE, 1.0::DOUBLE
+  UNION ALL
+  SELECT i + 1, CASE WHEN epochs > LIMIT_ THEN middle ELSE low END, CASE WHEN epochs > LIMIT_ THEN high ELSE middle END
+  FROM (
+    SELECT i, low, high, (low + high) / 2 AS middle,
+      list_max(list_transform(ps, lambda p: pow(p, (low + high) / 2) / p)) / list_sum(list_transform(ps, lambda p: pow(p, (low + high) / 2))) AS epochs
+    FROM b, one WHERE i < 60)),
+a AS (
+  SELECT CASE WHEN (SELECT max(1.0 / p) / count(*) FROM shares) <= LIMIT_ THEN 0.0::DOUBLE ELSE high END AS a FROM b WHERE i = 60),
+w AS (SELECT source, tokens, total, a, pow(p, a) / sum(pow(p, a)) OVER () AS weight FROM shares, a),
+plan AS (
+  SELECT source, weight, a, tokens, CAST(floor(weight * total) AS BIGINT) // tokens AS n_full,
+    CAST(floor(weight * total) AS BIGINT) % tokens AS rest FROM w),
+whole AS (
+  SELECT doc_id, t.source, unnest(range(n_full)) AS block, n_tokens, weight, a, CAST(-1 AS BIGINT) AS before
+  FROM t JOIN plan ON t.source IS NOT DISTINCT FROM plan.source),
+last AS (
+  SELECT doc_id, t.source, n_full AS block, n_tokens, weight, a, rest,
+    CAST(sum(n_tokens) OVER (PARTITION BY t.source ORDER BY md5(coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || n_full || ':17'), n_tokens ROWS UNBOUNDED PRECEDING) AS BIGINT) - n_tokens AS before
+  FROM t JOIN plan ON t.source IS NOT DISTINCT FROM plan.source WHERE rest > 0)
+SELECT doc_id, source, block, n_tokens, round(weight, 9) AS weight, round(a, 9) AS exponent, before FROM (
+  SELECT * FROM whole UNION ALL SELECT * EXCLUDE (rest) FROM last WHERE before + n_tokens <= rest)
+""".replace("LIMIT_", str(MAX_EPOCHS))
+
+
+def _op9_sql() -> str:
+    fits = [(f"host = '{r.host}' OR ends_with(host, '.{r.host}')", r) for r in sorted(rules(RULES), key=lambda r: -len(r.text))]
+    case = lambda what: "CASE " + " ".join(f"WHEN ({f}) AND starts_with(path, '{r.path}') THEN '{what(r)}'" for f, r in fits) + " END"
+    sql = r"""WITH u AS (
+  SELECT page_id, regexp_extract(coalesce(url, ''), '^((?s).*?)://([^/?#]*)([^?#]*)', ['head', 'host', 'path']) AS m FROM pages),
+p AS (SELECT page_id, translate(m.host, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, m.path AS path FROM u),
+s AS (SELECT host, path, count(*) AS n, """ + f"{case(lambda r: r.text)} AS rule, {case(lambda r: r.verdict)} AS verdict" + """ FROM p GROUP BY host, path),
+l0 AS (
+  SELECT *, CASE WHEN verdict IS NULL THEN 0 ELSE n END AS labelled, CASE WHEN verdict = 'block' THEN n ELSE 0 END AS bad,
+    CASE WHEN len(q) <= 4 THEN q ELSE list_concat(q[1:3], [array_to_string(q[4:], '/')]) END AS parts, '' AS template, '' AS shape
+  FROM (SELECT *, string_split(substr(path, 2), '/') AS q FROM s))"""
+    for k in range(1, 5):
+        sql += f""",
+v{k} AS (
+  SELECT host, template FROM (
+    SELECT host, template, parts[{k}] AS segment, sum(n) AS n FROM l{k - 1} WHERE len(parts) >= {k} GROUP BY ALL)
+  GROUP BY host, template HAVING count(*) >= 8 AND count(*) >= 0.02 * sum(n)),
+l{k} AS (
+  SELECT l.* REPLACE (
+    CASE WHEN len(parts) < {k} THEN l.template ELSE l.template || '/' || CASE WHEN v.host IS NULL THEN parts[{k}] ELSE '*' END END AS template,
+    CASE WHEN len(parts) < {k} THEN shape ELSE shape || CASE WHEN v.host IS NULL THEN '=' ELSE '*' END END AS shape)
+  FROM l{k - 1} l LEFT JOIN v{k} v ON l.host = v.host AND l.template = v.template)"""
+    return sql + """,
+leaves AS (SELECT host, template, shape, CAST(sum(labelled) AS DOUBLE) AS n, CAST(sum(bad) AS DOUBLE) AS x FROM l4 GROUP BY ALL),
+lead AS (
+  SELECT host, shape, template AS t, n AS m, x AS y FROM leaves WHERE n > 0
+  QUALIFY row_number() OVER (PARTITION BY host, shape ORDER BY n DESC, template DESC) = 1),
+classed AS (
+  SELECT a.*, CASE WHEN n > 0 AND m > 0 AND abs(x / n - y / m) <= 1.96 * sqrt((x + y) / (n + m) * (1 - (x + y) / (n + m)) * (1 / n + 1 / m)) THEN t ELSE template END AS class
+  FROM leaves a LEFT JOIN lead USING (host, shape)),
+share AS (SELECT coalesce(sum(x) / nullif(sum(n), 0), 0) AS share FROM leaves),
+pure AS (SELECT host, class, (sum(x) + 4.0::DOUBLE * any_value(share)) / (sum(n) + 4.0::DOUBLE) AS purity, sum(n) AS l FROM classed, share GROUP BY host, class)
+SELECT page_id, p.host, p.path, rule, coalesce(verdict, CASE WHEN purity >= 0.9 AND l > 0 THEN 'block' ELSE 'allow' END) AS verdict, l4.template, c.class, round(purity, 9) AS purity
+FROM p JOIN l4 ON p.host = l4.host AND p.path = l4.path JOIN classed c ON c.host = l4.host AND c.template = l4.template AND c.shape = l4.shape
+JOIN pure ON pure.host = c.host AND pure.class = c.class"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_exact_dedup": op1_exact_dedup,
@@ -129,4 +201,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1_SQL, "op2_substring_dedup": OP2_SQL, "op6_embedding_dedup": OP6_SQL}
+    return {"op1_exact_dedup": OP1_SQL, "op2_substring_dedup": OP2_SQL, "op6_embedding_dedup": OP6_SQL, "op8_source_mixing": OP8_SQL, "op9_url_filter": _op9_sql()}

@@ -266,8 +266,10 @@ def test_blocks(spark, rows):
     got = mix_sources(frame, max_epochs=2.5, ranges=7).collect()
     weights = {r["source"]: r["weight"] for r in got}
     assert set(weights) == {"a", "b", None}
+    counts = spark.createDataFrame(list(tokens.items()), "source string, tokens bigint")
+    exact = {r["source"]: r["weight"] for r in source_weights(counts, None, None, 2.5).collect()}
     for source in weights:
-        budget, own = math.floor(weights[source] * total), sorted(size(t) for _, t, _, s in data if s == source)
+        budget, own = math.floor(exact[source] * total), sorted(size(t) for _, t, _, s in data if s == source)
         blocks = {}
         for r in got:
             if r["source"] == source:
