@@ -9,6 +9,7 @@ one step long and a lost executor costs no more than the step.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -47,32 +48,37 @@ def union(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.select("id").unionByName(b.select("id")).distinct()
 
 
+#: Steps whose rows are kept apart before they are written together.
+APART = 12
+
+
 class Steps:
-    """The rows each superstep added, kept as one growing table of the shared folder."""
+    """The rows each superstep added, kept as a growing table of the shared folder.
+
+    A step's rows are listed once, when they are written; after APART steps the
+    older ones are written together, so plans stay short.
+    """
 
     def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.path, self.n, self.schema = spark, new_path(spark, name), 0, None
+        self.spark, self.path, self.n, self.frames = spark, new_path(spark, name), 0, []
+
+    def _write(self, rows: DataFrame, name: str) -> tuple[DataFrame, int]:
+        seen = Observation()
+        rows.observe(seen, F.count("*").alias("n")).write.parquet(f"{self.path}/{name}")
+        return self.spark.read.schema(rows.schema).parquet(f"{self.path}/{name}"), seen.get["n"]
 
     def add(self, rows: DataFrame) -> tuple[DataFrame, int]:
         """Write a step's rows; returns them read back, and their number."""
-        seen = Observation()
-        at = f"{self.path}/step={self.n}"
-        rows.observe(seen, F.count("*").alias("n")).write.parquet(at)
-        self.schema, self.n = rows.schema, self.n + 1
-        return self.spark.read.schema(self.schema).parquet(at), seen.get["n"]
+        made, count = self._write(rows, f"{self.n}")
+        self.n += 1
+        if len(self.frames) == APART:
+            self.frames = [self._write(self.all(), f"to-{self.n}")[0]]
+        self.frames.append(made)
+        return made, count
 
     def all(self) -> DataFrame:
         """The rows of all steps so far."""
-        return self.spark.read.schema(self.schema).parquet(*[f"{self.path}/step={k}" for k in range(self.n)])
-
-    def replace(self, rows: DataFrame) -> tuple[DataFrame, int]:
-        """Write rows that stand for all steps so far."""
-        out = self.add(rows)
-        fs_path = self.spark._jvm.org.apache.hadoop.fs.Path
-        for k in range(self.n - 1):
-            where = fs_path(f"{self.path}/step={k}")
-            where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
-        return out
+        return reduce(DataFrame.unionAll, self.frames)
 
 
 def supersteps(first: DataFrame, step: Callable[[DataFrame, Steps], DataFrame], name: str, most: int | None = None) -> tuple[Steps, bool]:
