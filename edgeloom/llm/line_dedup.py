@@ -345,7 +345,8 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
     lefts = sized.where("index").select("key", "node", "text", F.lit(True).alias("left"), own("lefts").alias("a"), every("rights").alias("b"))
     rights = sized.select("key", "node", "text", F.lit(False).alias("left"), every("lefts").alias("a"), own("rights").alias("b"))
-    edges = lefts.unionByName(rights).groupBy("key", "a", "b").applyInArrow(_verify(edits), "a bigint, b bigint")
+    # Dealt by block: what is joined by key already would else stay with its key, all blocks of a hot one in one task.
+    edges = lefts.unionByName(rights).repartition("key", "a", "b").groupBy("key", "a", "b").applyInArrow(_verify(edits), "a bigint, b bigint")
     joined = components(edges)
     places = found.select("node", "chunk", "doc_id", "line").distinct().join(joined.withColumnRenamed("id", "node"), "node")
     winner = places.groupBy("component").agg(F.min_by("node", F.struct("doc_id", "line", "node")).alias("winner"))

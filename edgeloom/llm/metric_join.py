@@ -156,7 +156,7 @@ def metric_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     names = ["grp", "cell", "node", "n", "vec"]
     lefts = sized.where("home").select(*names, F.lit(True).alias("left"), own("lefts").alias("a"), every("rights").alias("b"))
     rights = sized.where("lefts > 0").select(*names, F.lit(False).alias("left"), every("lefts").alias("a"), own("rights").alias("b"))
-    met = cut(lefts.unionByName(rights).groupBy("grp", "cell", "a", "b").applyInArrow(_join(least), "node bigint, links bigint, root bigint"), "met")
+    met = cut(lefts.unionByName(rights).repartition("grp", "cell", "a", "b").groupBy("grp", "cell", "a", "b").applyInArrow(_join(least), "node bigint, links bigint, root bigint"), "met")
     links = met.where("root is null").groupBy("node").agg(F.sum("links").alias("links"))
     joined = components(met.where("root is not null").select("node", "root"))
     known = nodes.join(links, "node", "left").join(joined.withColumnRenamed("id", "node"), "node", "left")
