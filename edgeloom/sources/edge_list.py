@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from edgeloom.model import Graph, GraphSpec, from_edges
+
 
 def _positions(lines: DataFrame) -> DataFrame:
     """Adds ``pos``: file by file, a line's place.  Increasing within a file's order of blocks, not gapless."""
@@ -32,6 +34,16 @@ def read_edge_list(spark: SparkSession, path: str, weighted: bool = False, id_ba
     return rows.where(good).drop("value")
 
 
+def read_graph(spark: SparkSession, path: str, spec: GraphSpec) -> Graph:
+    """The graph of an edge-list file, read as the spec says."""
+    raw = read_edge_list(spark, path, spec.weighted, spec.id_base)
+    return from_edges(raw, spec.directed, spec.weighted, spec.capacity)
+
+
+def self_loops(edges: DataFrame) -> DataFrame:
+    return edges.where("src = dst")
+
+
 def read_vertex_list(spark: SparkSession, path: str, vertices: DataFrame | None = None) -> DataFrame:
     """Distinct ids, one per line, blanks skipped; with ``vertices`` only those registered."""
     ids = spark.read.text(path).select(F.trim("value").try_cast("bigint").alias("id")).where("id is not null").distinct()

@@ -7,13 +7,15 @@ read the latest finished snapshot.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from edgeloom.operators.mutate import delete_edges, insert_edges
+from edgeloom.model import Graph
+from edgeloom.operators.mutate import BatchStats, batch_ids, delete_edges, insert_edges, missing_after_ingest, present_after_delete
 from edgeloom.sources.store import commit, latest, load
 
 
@@ -47,3 +49,29 @@ def ingest(stream: DataFrame, store: str, checkpoint: str, delete: bool = False)
 def progress(query: StreamingQuery) -> list[dict]:
     """Rows and milliseconds of each batch so far."""
     return [{"batch": p["batchId"], "rows": p["numInputRows"], "ms": p["durationMs"].get("triggerExecution")} for p in query.recentProgress]
+
+
+def ingest_in_batches(raw: DataFrame, store: str, batch_size: int = 1_000_000, delete: bool = False, verify: bool = False) -> list[BatchStats]:
+    """Insert (or delete) the edges of ``raw`` batch by batch, a snapshot each.
+
+    raw: (pos, src, dst[, weight]) with gapless pos from 0.  A batch stores about
+    ``batch_size`` edges; the driver keeps one row of figures per batch.  With
+    ``verify`` a batch that isn't fully in (or out of) the graph raises.
+    """
+    spark, out = raw.sparkSession, []
+    graph: Graph = load(spark, store)
+    rows = batch_ids(raw, batch_size, graph.directed)
+    n = rows.agg(F.max("batch_id")).first()[0]
+    before = graph.edges.count()
+    for k in range(0 if n is None else n + 1):
+        began = time.perf_counter()
+        batch = rows.where(F.col("batch_id") == k).drop("batch_id")
+        commit((delete_edges if delete else insert_edges)(graph, batch), store)
+        graph = load(spark, store)
+        left = (present_after_delete if delete else missing_after_ingest)(graph, batch) if verify else None
+        if left is not None and not left.isEmpty():
+            raise RuntimeError(f"batch {k} is not fully {'deleted' if delete else 'stored'}")
+        after = graph.edges.count()
+        out.append(BatchStats(k, batch.count() * (1 if graph.directed else 2), abs(after - before), time.perf_counter() - began))
+        before = after
+    return out

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from edgeloom.functions import bits
-from edgeloom.model import dense_ids, first_seen, from_edges
+from edgeloom.model import GraphSpec, dense_ids, first_seen, from_edges
 from edgeloom.sources import edge_list, store
 from edgeloom.streaming import ingest
 
@@ -75,6 +75,25 @@ def test_streaming(spark, rows, tmp_path):
     assert store.load(spark, path).edges.count() == 3
 
 
+def test_batches_into_a_store(spark, rows, tmp_path):
+    path = str(tmp_path / "store")
+    store.create(spark, path, 10, directed=False)
+    raw = spark.createDataFrame([(0, 0, 1), (1, 1, 2), (2, 0, 1), (3, 5, 5), (4, 2, 3)], "pos bigint, src bigint, dst bigint")
+    stats = ingest.ingest_in_batches(raw, path, 4, verify=True)
+    assert [(x.batch, x.attempted, x.inserted) for x in stats] == [(0, 4, 4), (1, 4, 1), (2, 2, 2)]
+    assert store.load(spark, path).edges.count() == 7
+    gone = ingest.ingest_in_batches(raw.where("pos < 2"), path, 100, delete=True, verify=True)
+    assert [x.inserted for x in gone] == [4] and rows(store.load(spark, path).edges) == [(2, 3), (3, 2), (5, 5)]
+    assert ingest.ingest_in_batches(raw.limit(0), path) == []
+
+
+def test_read_graph(spark, rows, tmp_path):
+    (tmp_path / "g.txt").write_text("1 2 7\n2 2 3\n2 1 9\n")
+    g = edge_list.read_graph(spark, str(tmp_path / "g.txt"), GraphSpec("mini", directed=False, weighted=True, id_base=1, capacity=14))
+    assert rows(g.edges) == [(0, 1, 7), (1, 0, 7), (1, 1, 3)] and g.capacity == 14
+    assert rows(edge_list.self_loops(g.edges)) == [(1, 1, 3)]
+
+
 def test_bits(spark):
     x = F.lit(0b1011).cast("bigint")
     row = spark.range(1).select(bits.get_bits(x, 1, 2), bits.branch(x, 1), bits.fingerprint(F.lit(513)), bits.bit_set(x, 2), bits.bit_clear(x, 0), bits.bit_flip(x, 3), bits.bit_test(x, 2), bits.first_zero(x, 4), bits.first_zero(F.lit(15).cast("bigint"), 4), bits.xor_fold(F.lit(0x0102030405060708).cast("bigint"))).first()
