@@ -8,6 +8,9 @@ from pyspark.sql.window import Window
 
 from edgeloom.model import Graph, GraphSpec, from_edges
 
+#: Fixed value: the ending of a day's log name.
+LOG_ENDING = "_insert_test.log"
+
 
 def _positions(lines: DataFrame) -> DataFrame:
     """Adds ``pos``: file by file, a line's place.  Increasing within a file's order of blocks, not gapless."""
@@ -62,9 +65,9 @@ def dump_vertices(ids: DataFrame, path: str) -> None:
 
 
 def write_log(spark: SparkSession, folder: str, content: str) -> str:
-    """Appends a line to today's log and returns its path, ``<folder>/<yyyyMMdd>_insert_test.log``."""
+    """Appends a line to today's log and returns its path, ``<folder>/<yyyyMMdd>`` with LOG_ENDING."""
     day = spark.range(1).select(F.date_format(F.current_timestamp(), "yyyyMMdd")).first()[0]
-    path = f"{folder.rstrip('/')}/{day}_insert_test.log"
+    path = f"{folder.rstrip('/')}/{day}{LOG_ENDING}"
     spark.createDataFrame([(content,)], "value string").write.mode("append").text(path)
     return path
 
