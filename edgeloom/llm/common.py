@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_shipped: set[str] = set()
 #: The white space of every contract here: space and tab to carriage return.  bytes.split() has the same six.
 SPACES = r"[\x20\x09-\x0D]+"
 
@@ -16,8 +20,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application, so that they need no path to it."""
+    context, root = spark.sparkContext, Path(__file__).resolve().parents[1]
+    if context.applicationId in _shipped or not root.is_dir():
+        return
+    archive = Path(tempfile.mkdtemp(prefix="edgeloom-")) / "edgeloom.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for path in sorted(root.rglob("*.py")):
+            out.write(path, path.relative_to(root.parent))
+    context.addPyFile(str(archive))
+    _shipped.add(context.applicationId)
+
+
 def batches(df: DataFrame, rows: int = 1000) -> DataFrame:
     """Hand Python workers at most ``rows`` rows at a time, so that long texts stay within their memory."""
+    ship(df.sparkSession)
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     return df
 
@@ -44,6 +62,7 @@ def chunked(docs: DataFrame, id_col: str, text_col: str, bytes_each: int, size:
     columns, hash-partitioned by chunk and the number of
     chunks.  Steps that refer to it in one plan share its single text shuffle.
     """
+    ship(docs.sparkSession)
     size = text_bytes(docs, text_col) if size is None else size
     n = max(1, -(-size // bytes_each))
     others = [F.struct(*[c for c in docs.columns if c != text_col]).alias("doc")] if carry else []

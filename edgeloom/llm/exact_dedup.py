@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from edgeloom.llm.common import SPACES
+from edgeloom.llm.common import SPACES, ship
 from edgeloom.plans.lineage import cut
 
 INDEX = "shard bigint, sizes binary, bits binary, rest binary, digests binary, winners binary, counts binary"
@@ -141,6 +141,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     shard of the index holds, which bounds a task's memory.
     """
     text = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.unhex(F.sha2(normalised(F.col(text_col)).cast("binary"), 256)).alias("digest"), F.spark_partition_id().cast("bigint").alias("part"))
+    ship(docs.sparkSession)
     rows = cut(text, "digests")
     low, high, n = rows.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
     middle = history_below if history_below is not None else 0 if low is None else (low + high + 1) // 2
