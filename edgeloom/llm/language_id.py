@@ -127,8 +127,9 @@ class Network:
         second = self.parts[1].back(seen[::-1], keep[1], ds[::-1, :, h:])
         return [*first, *second, np.einsum("tbi,tbj->ij", states, d), d.sum(axis=(0, 1))]
 
-    def fit(self, segments: list[bytes], targets: np.ndarray, epochs: int = 3, size: int = 256, rate: float = 0.01) -> None:
-        """Adam over batches of segments of one length."""
+    def fit(self, segments: list[bytes], targets: np.ndarray, seen: int = 90_000, size: int = 256, rate: float = 0.01) -> None:
+        """Adam over batches of segments of one length, for three epochs or, with few segments, as many as show about ``seen`` of them (twelve at most)."""
+        epochs = max(3, min(12, seen // max(1, len(segments))))
         rng = np.random.default_rng(self.seed)
         parameters = [p for d in self.parts for p in d.parameters()] + [self.v, self.c]
         one, two, step = [np.zeros_like(p) for p in parameters], [np.zeros_like(p) for p in parameters], 0
@@ -141,7 +142,7 @@ class Network:
             for k in rng.permutation(len(groups)):
                 rows = np.frombuffer(b"".join([segments[i] for i in groups[k]]), np.uint8).reshape(len(groups[k]), -1)
                 step += 1
-                pace = rate * 0.3**epoch * np.sqrt(1 - 0.999**step) / (1 - 0.9**step)
+                pace = rate * 0.3 ** (3 * epoch / epochs) * np.sqrt(1 - 0.999**step) / (1 - 0.9**step)
                 for p, a, b, g in zip(parameters, one, two, self.gradients(rows, targets[groups[k]]), strict=True):
                     a += 0.1 * (g - a)
                     b += 0.001 * (g * g - b)
