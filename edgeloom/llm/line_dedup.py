@@ -135,6 +135,8 @@ def edit_distance(a: bytes, b: bytes, most: int) -> int:
         moved = same >> 1
         up = (minus | ~(moved | plus)) & full
         down = moved & plus
+        if j & 3 == 3 and j >= most and _least(score, up, down, width) > most:
+            return most + 1
     # The lowest diagonal ended at row m + most; walk up its last column to row n.
     for i in range(width - 1, n - m + most, -1):
         bit = 1 << (i - 1)
@@ -142,6 +144,15 @@ def edit_distance(a: bytes, b: bytes, most: int) -> int:
     return min(score, most + 1)
 
 
+def _least(score: int, up: int, down: int, width: int) -> int:
+    """The least value in a column of the band, from the one on its lowest diagonal up."""
+    least = score
+    for i in range(width - 2, -1, -1):
+        score += (down >> i & 1) - (up >> i & 1)
+        least = min(least, score)
+    return least
+
+
 class Chunk:
     """A chunk's documents in order, their lines, and the distinct ones long enough to compare."""
 
