@@ -52,3 +52,17 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return now.select(F.col("a").alias("id"), F.col("b").alias("component")).unionAll(now.select(F.col("b").alias("id"), F.col("b").alias("component"))).distinct()
+
+
+def component_least(nodes: DataFrame, labels: DataFrame, node: str, value: str, least: str, salts: int = 64) -> DataFrame:
+    """``nodes`` with the least ``value`` of each one's component; a node without a label is alone.
+
+    labels: (id, component) of ``components``.  The answer goes back by component
+    and a salt of the node, so a component of very many nodes spreads over tasks.
+    """
+    met = nodes.join(labels.select(F.col("id").alias(node), "component"), node, "left")
+    tied = met.where("component is not null").withColumn("salt", F.pmod(F.xxhash64(node), F.lit(salts)))
+    lows = tied.groupBy("component").agg(F.min(value).alias(least))
+    spread = tied.select("component", "salt").distinct().join(lows, "component")
+    back = tied.join(spread, ["component", "salt"]).drop("component", "salt")
+    return back.unionByName(met.where("component is null").drop("component").withColumn(least, F.col(value)))
