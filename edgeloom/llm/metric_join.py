@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from edgeloom.llm.common import batches
-from edgeloom.operators.stars import components
+from edgeloom.operators.stars import component_least, components
 from edgeloom.plans.lineage import cut
 
 #: Residents and candidates of a block; rows of a block compared at once.
@@ -159,10 +159,8 @@ def metric_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     met = cut(lefts.unionByName(rights).repartition("grp", "cell", "a", "b").groupBy("grp", "cell", "a", "b").applyInArrow(_join(least), "node bigint, links bigint, root bigint"), "met")
     links = met.where("root is null").groupBy("node").agg(F.sum("links").alias("links"))
     joined = components(met.where("root is not null").select("node", "root"))
-    known = nodes.join(links, "node", "left").join(joined.withColumnRenamed("id", "node"), "node", "left")
-    known = known.withColumn("component", F.coalesce("component", "node"))
-    least_id = known.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    known = known.join(least_id, "component").select("grp", "vec", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), "component_id")
+    known = component_least(nodes.join(links, "node", "left"), joined, "node", "first_id", "component_id")
+    known = known.select("grp", "vec", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), "component_id")
     linked = rows.where("ok").join(known, ["grp", "vec"]).select("vec_id", "n_links", "component_id")
     alone = rows.where("not ok").select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"))
     out = linked.unionByName(alone)

@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from edgeloom.llm.common import batches, bytes_of, over_batches
-from edgeloom.operators.stars import components
+from edgeloom.operators.stars import component_least, components
 from edgeloom.plans.lineage import cut
 
 SEED = 42
@@ -125,9 +125,7 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows = cut(fingerprints(docs, id_col, text_col, width), "fps")
     groups = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "fpgroups")
     joined = components(links(groups.select("fp"), max_bits, segments))
-    named = groups.join(joined.withColumnRenamed("id", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    least = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    by_fp = named.join(least, "component").select("fp", "component_id")
+    by_fp = component_least(groups, joined, "fp", "first_id", "component_id").select("fp", "component_id")
     out = rows.join(by_fp, "fp")
     hexed = F.lpad(F.lower(F.hex("fp")), 16, "0")
     return out.select(F.col("doc_id").alias(id_col), hexed.alias("fingerprint"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
@@ -227,9 +225,8 @@ def _similar(docs: DataFrame, id_col: str, text_col: str, width: int, words: int
     lefts = sized(split(stored, True)).select(*columns, own("lefts").alias("a"), every("rights").alias("b"))
     rights = sized(split(asked, False)).select(*columns, every("lefts").alias("a"), own("rights").alias("b"))
     edges = lefts.unionByName(rights).groupBy("seg", "part", "a", "b").applyInArrow(_meet(words, max_bits), "a bigint, b bigint")
-    named = groups.join(components(edges).withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    least = named.groupBy("component").agg(F.min("first").alias("least"))
-    out = rows.join(named.join(least, "component").select("fp", "least"), "fp")
+    led = component_least(groups, components(edges), "node", "first", "least")
+    out = rows.join(led.select("fp", "least"), "fp")
     kept = F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & (F.col("draw") == F.col("least.draw"))
     return out.select("doc_id", "draw", F.col("least.doc_id").alias("component_id"), kept.alias("kept"))
 
