@@ -31,6 +31,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from edgeloom.plans.lineage import cut
+
 LEVELS = 4
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: First "://" of the whole url, then the host and the path.
@@ -87,7 +89,8 @@ def templates(paths: DataFrame, min_distinct: int, min_ratio: float) -> DataFram
         star = F.coalesce("varied", F.lit(False))
         rows = rows.withColumn("template", F.when(F.col("segment").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), F.when(star, "*").otherwise(F.col("segment")))))
         rows = rows.withColumn("shape", F.when(F.col("segment").isNull(), F.col("shape")).otherwise(F.concat("shape", F.when(star, "*").otherwise("="))))
-        rows = rows.drop("segment", "varied")
+        # Each level is read twice by the next; written down, the plan stays one level long.
+        rows = cut(rows.drop("segment", "varied"), "urls")
     return rows.drop("parts")
 
 
@@ -121,9 +124,9 @@ def url_filter(pages: DataFrame, given: list[Rule], id_col: str = "page_id", url
         h, p = host_and_path(F.col("url"))
         more = labels.where("bad is not null").select(h.alias("host"), p.alias("path"), F.col("bad").cast("bigint").alias("x")).groupBy("host", "path").agg(F.count("*").alias("more"), F.sum("x").alias("worse"))
         seen = seen.join(more, ["host", "path"], "left").withColumn("labelled", F.col("labelled") + F.coalesce("more", F.lit(0))).withColumn("bad", F.col("bad") + F.coalesce("worse", F.lit(0))).drop("more", "worse")
-    tree = templates(seen, min_distinct, min_ratio)
+    tree = templates(cut(seen, "urls"), min_distinct, min_ratio)
     leaves = tree.groupBy("host", "template", "shape").agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))
-    verdicts = judged(leaves, prior_weight, reject, z)
+    verdicts = judged(cut(leaves, "templates"), prior_weight, reject, z)
     by_path = tree.select("host", "path", "rule", "verdict", "template").join(verdicts, ["host", "template"])
     final = by_path.select(F.col("host").alias("h"), F.col("path").alias("p"), "rule", F.coalesce("verdict", F.when(F.col("blocked"), "block").otherwise("allow")).alias("verdict"), "template", "class", "purity")
     out = rows.join(final, (F.col("host") == F.col("h")) & (F.col("path") == F.col("p"))).drop("h", "p")
