@@ -20,7 +20,11 @@ is missed with a probability that the number of slices makes small (2 % at the m
 distance of a similarity of 0.8, with 192 bits).  Slices are matched shard by shard
 within tasks, in blocks of bounded size, and a block sends no pairs: only an edge
 per linked fingerprint to the root of its group, so a group of thousands of near
-copies costs no more than its rows.
+copies costs no more than its rows.  These groups only say which texts to look
+at: those of groups of two and more are fetched, and two of them are linked where their
+distance is within ``max_bits`` and the Jaccard similarity of their shingle sets is
+at least ``least``.  Groups are compared in blocks of bounded size, so a group larger
+than a block's side sends each text once per side.
 
 Nulls and empty texts have no shingles: their fingerprint is zero and they link
 like any other.  Rows with a null id take part but never name a component unless
@@ -52,15 +56,19 @@ def fingerprint(text: bytes | None, width: int = 3, seed: int = SEED) -> int:
     return _fingerprint_words(text, width, [seed])[0]
 
 
+def _shingles(text: bytes | None, width: int) -> list[bytes]:
+    """The runs of ``width`` words; a shorter text is one shingle, a text without words has none."""
+    words = (text or b"").lower().split()
+    if len(words) < width:
+        return [b" ".join(words)] if words else []
+    return list(map(b" ".join, zip(*(words[k:] for k in range(width)))))
+
+
 def _fingerprint_words(text: bytes | None, width: int, seeds: list[int]) -> list[int]:
     """A fingerprint of each seed, from one list of shingles."""
-    words = (text or b"").lower().split()
-    if not words:
+    shingles = _shingles(text, width)
+    if not shingles:
         return [0] * len(seeds)
-    if len(words) < width:
-        shingles = [b" ".join(words)]
-    else:
-        shingles = list(map(b" ".join, zip(*(words[k:] for k in range(width)))))
     n, out = len(shingles), []
     one = xxhash.xxh64_intdigest
     for seed in seeds:
@@ -133,6 +141,8 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 #: Bits of a slice of the longer fingerprint, and rows on the sides of a block of its join.
 SLICE, STORED, ASKED = 16, 1 << 14, 1 << 18
+#: Texts, and bytes of text, on the sides of a block of the comparison by shingles.
+SIDE, SIDE_BYTES = 512, 8 << 20
 #: Pairs compared at once.
 STRIP = 1 << 20
 
@@ -199,17 +209,84 @@ def _strips(s: np.ndarray, a: np.ndarray, low: np.ndarray, high: np.ndarray):
         yield own, np.repeat(a, len(own))
 
 
-def _similar(docs: DataFrame, id_col: str, text_col: str, width: int, words: int, max_bits: int, shard_bits: int) -> DataFrame:
+def jaccard(sizes: np.ndarray, size: int, shared: np.ndarray) -> np.ndarray:
+    """Similarity of sets of these sizes to one of ``size`` with so many shared members; two empty ones are equal."""
+    union = sizes + size - shared
+    return np.where(union > 0, shared / np.maximum(union, 1), 1.0)
+
+
+def _alike(width: int, words: int, max_bits: int, least: float):
+    """Edges between the texts of a block, component by component, that are as similar as ``least``."""
+
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        node, at = np.unique(rows["node"].to_numpy(), return_index=True)
+        rows = rows.take(at)
+        fp = np.frombuffer(b"".join(rows["fp"].to_pylist()), "<u8").reshape(-1, words)
+        sets = [np.unique(np.fromiter(map(xxhash.xxh64_intdigest, x), np.uint64, len(x))) for x in (_shingles(t, width) for t in bytes_of(rows["text"]))]
+        sizes = np.array([len(x) for x in sets])
+        kinds, flat = np.unique(np.concatenate(sets), return_inverse=True)
+        sets = np.split(flat, np.cumsum(sizes)[:-1])
+        component, left = rows["component"].to_numpy(), rows["left"].to_numpy(zero_copy_only=False)
+        own, label, diagonal = np.zeros(len(kinds), bool), np.arange(len(node)), key[1].as_py() == key[2].as_py()
+        order = np.argsort(component, kind="stable")
+        for group in np.split(order, np.flatnonzero(np.diff(component[order])) + 1):
+            asking = group[left[group]]
+            for k, x in enumerate(asking.tolist()):
+                y = asking[k + 1 :] if diagonal else group[~left[group]]
+                y = y[label[y] != label[x]]  # what is joined already adds nothing
+                y = y[np.bitwise_count(fp[y] ^ fp[x]).sum(axis=1) <= max_bits]
+                y = y[np.minimum(sizes[y], sizes[x]) >= (least - 1e-9) * np.maximum(sizes[y], sizes[x])]
+                if not len(y):
+                    continue
+                own[sets[x]] = True
+                shared = np.array([np.count_nonzero(own[sets[z]]) for z in y.tolist()])
+                own[sets[x]] = False
+                y = y[jaccard(sizes[y], int(sizes[x]), shared) >= least]
+                if len(y):
+                    tied = np.append(label[y], label[x])
+                    label[group[np.isin(label[group], tied)]] = tied.min()
+        moved = np.flatnonzero(label != np.arange(len(node)))
+        return pa.table({"a": pa.array(node[moved]), "b": pa.array(node[label[moved]])})
+
+    return run
+
+
+def _verified(docs: DataFrame, groups: DataFrame, labels: DataFrame, id_col: str, text_col: str, width: int, words: int, max_bits: int, least: float) -> DataFrame:
+    """Edges (a, b) whose components are those of the pairs within ``max_bits`` and of a similarity of ``least``.
+
+    labels: (id, component) such that no such pair lies across components.
+    """
+    tied = cut(groups.join(labels.select(F.col("id").alias("node"), "component"), "node"), "tied")
+    buckets = max(1, -(-(tied.agg(F.sum("size")).first()[0] or 0) // SIDE_BYTES))
+    sides = F.greatest(F.ceil(F.count("*") / SIDE), F.ceil(F.sum("size") / SIDE_BYTES))
+    large = tied.groupBy("component").agg(sides.alias("sides")).where("sides > 1")
+    sized = tied.join(F.broadcast(large), "component", "left").withColumn("sides", F.coalesce("sides", F.lit(1)))
+    bucket = F.when(F.col("sides") > 1, F.col("component")).otherwise(F.pmod(F.xxhash64("component"), F.lit(buckets)))
+    dealt = sized.select("node", "fp", "component", "n", "first.doc_id", "first.draw", "sides", bucket.alias("bucket"))
+    texts = docs.select(F.col(id_col).cast("bigint").alias("key"), F.xxhash64(F.col(text_col).cast("string")).alias("mark"), F.col(text_col).cast("string").alias("text"))
+    met = texts.join(dealt, F.col("key").eqNullSafe(F.col("doc_id")) & (F.col("mark") == F.col("draw")))
+    columns = ["fp", "component", "sides", "bucket", "text"]
+    once = met.where("n = 1").select("node", *columns)
+    repeated = met.where("n > 1").groupBy("node").agg(F.first(F.struct(*columns)).alias("row")).select("node", "row.*")
+    side = F.pmod(F.xxhash64("node", F.lit(SEED)), F.col("sides"))
+    every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("sides") - 1))
+    paired = once.unionByName(repeated).withColumn("own", side).withColumn("other", every)
+    block = paired.select("bucket", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "component", "node", "fp", "text", (F.col("own") <= F.col("other")).alias("left"))
+    return block.groupBy("bucket", "a", "b").applyInArrow(_alike(width, words, max_bits, least), "a bigint, b bigint")
+
+
+def _similar(docs: DataFrame, id_col: str, text_col: str, width: int, words: int, max_bits: int, shard_bits: int, least: float) -> DataFrame:
     """(doc_id, draw, component_id, kept) of every row; draw is a hash of the text.
 
     kept marks the rows whose (doc_id, draw) is the least of its component, ids that are not null first.
     """
     seeds = [SEED + k for k in range(words)]
-    rows = docs.select(F.struct(F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(F.col(text_col).cast("string")).alias("draw")).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    made = batches(rows).mapInArrow(_long_fingerprints(width, seeds), "doc_id struct<doc_id bigint, draw bigint>, fp binary")
-    rows = cut(made.select("doc_id.doc_id", "doc_id.draw", "fp"), "fps")
+    rows = docs.select(F.struct(F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(F.col(text_col).cast("string")).alias("draw"), F.octet_length(F.col(text_col).cast("string")).alias("size")).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    made = batches(rows).mapInArrow(_long_fingerprints(width, seeds), "doc_id struct<doc_id bigint, draw bigint, size int>, fp binary")
+    rows = cut(made.select("doc_id.doc_id", "doc_id.draw", "doc_id.size", "fp"), "fps")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "draw")).alias("first")
-    groups = cut(rows.groupBy("fp").agg(first).withColumn("node", F.xxhash64("fp")), "fpgroups")
+    # A node is a text: equal fingerprints say no more of their texts than near ones.
+    groups = cut(rows.groupBy(F.col("draw").alias("node"), "fp").agg(first, F.count("*").alias("n"), F.max("size").cast("bigint").alias("size")), "fpgroups")
     slices = 64 * words // SLICE
     piece = lambda k: F.conv(F.hex(F.substring("fp", 2 * k + 1, 2)), 16, 10).cast("int")
     stored = F.array(*[F.struct(F.lit(k).alias("seg"), piece(k).alias("val")) for k in range(slices)])
@@ -225,30 +302,31 @@ def _similar(docs: DataFrame, id_col: str, text_col: str, width: int, words: int
     lefts = sized(split(stored, True)).select(*columns, own("lefts").alias("a"), every("rights").alias("b"))
     rights = sized(split(asked, False)).select(*columns, every("lefts").alias("a"), own("rights").alias("b"))
     edges = lefts.unionByName(rights).groupBy("seg", "part", "a", "b").applyInArrow(_meet(words, max_bits), "a bigint, b bigint")
-    led = component_least(groups, components(edges), "node", "first", "least")
-    out = rows.join(led.select("fp", "least"), "fp")
-    kept = F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & (F.col("draw") == F.col("least.draw"))
-    return out.select("doc_id", "draw", F.col("least.doc_id").alias("component_id"), kept.alias("kept"))
+    alike = _verified(docs, groups, components(edges), id_col, text_col, width, words, max_bits, least)
+    led = component_least(groups, components(alike), "node", "first", "least")
+    out = rows.join(led.select(F.col("node").alias("draw"), F.col("least").alias("lead")), "draw")
+    kept = F.col("doc_id").eqNullSafe(F.col("lead.doc_id")) & (F.col("draw") == F.col("lead.draw"))
+    return out.select("doc_id", "draw", F.col("lead.doc_id").alias("component_id"), kept.alias("kept"))
 
 
-def similar_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, words: int = 3, max_bits: int = 36, shard_bits: int = 6) -> DataFrame:
-    """One row per row of ``docs``: its id, component_id and kept, for copies of a similarity of about 0.8 or more.
+def similar_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, words: int = 3, max_bits: int = 36, shard_bits: int = 6, least: float = 0.8) -> DataFrame:
+    """One row per row of ``docs``: its id, component_id and kept, for copies of a similarity of ``least`` or more.
 
-    words: 64-bit fingerprints taken together.  A shard holds 2^(16 - shard_bits)
+    words: 64-bit fingerprints taken together; their distance finds the candidates.  A shard holds 2^(16 - shard_bits)
     values of a slice and is cut into blocks by its size.  Of rows repeating the
     least id, those with the least hash of their text are kept.
     """
-    return _similar(docs, id_col, text_col, width, words, max_bits, shard_bits).select(F.col("doc_id").alias(id_col), "component_id", "kept")
+    return _similar(docs, id_col, text_col, width, words, max_bits, shard_bits, least).select(F.col("doc_id").alias(id_col), "component_id", "kept")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, words: int = 3, max_bits: int = 36) -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, words: int = 3, max_bits: int = 36, least: float = 0.8) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns: one of each component of ``similar_dedup``.
 
     It is the row of the component's least id, of rows repeating that id the one with
     the least hash of its text, and of wholly repeated rows any one.  Only the
     verdict, a small row per component, comes back to the rows.
     """
-    verdicts = _similar(docs, id_col, text_col, width, words, max_bits, 6)
+    verdicts = _similar(docs, id_col, text_col, width, words, max_bits, 6, least)
     winners = verdicts.where("kept").groupBy("doc_id", "draw").agg(F.count("*").alias("n"))
     rows = docs.select(F.struct(*docs.columns).alias("doc"), F.col(id_col).cast("bigint").alias("key"), F.xxhash64(F.col(text_col).cast("string")).alias("mark"))
     met = rows.join(winners, F.col("key").eqNullSafe(F.col("doc_id")) & (F.col("mark") == F.col("draw")))

@@ -319,6 +319,32 @@ def test_similar_dedup_and_keep_one(spark, rows):
     assert keep_one(frame(spark, more[:0])).count() == 0
 
 
+def test_similar_dedup_checks_the_similarity(spark, rows, monkeypatch):
+    rng = random.Random(17)
+    pairs = []
+    for _ in range(40):
+        words = words_text(rng, 300, 10**6).split()
+        for changed in (0, 4, 11, 15):  # similarities to the first of about 0.88, 0.69 and 0.6
+            own = list(words)
+            for at in range(changed):
+                own[20 * at + 5] = f"new{rng.randrange(10**6)}"
+            pairs.append((len(pairs), " ".join(own)))
+    pairs += [(len(pairs), pairs[0][1].upper()), (900, ""), (901, None)]
+    split = [(t or "").lower().split() for _, t in pairs]
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in split]
+    prints = [[fingerprint((t or "").encode(), 5, seed) for seed in (42, 43, 44)] for _, t in pairs]
+    close = lambda i, j: sum((a ^ b).bit_count() for a, b in zip(prints[i], prints[j])) <= 36
+    alike = lambda i, j: sets[i] == sets[j] or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])
+    near = [(i, j) for i in range(len(pairs)) for j in range(i) if close(i, j)]
+    group = components(range(len(pairs)), [(i, j) for i, j in near if alike(i, j)])
+    assert any(not alike(i, j) for i, j in near)
+    want = sorted(((i, min(pairs[j][0] for j in range(len(pairs)) if group[j] == group[k])) for k, (i, _) in enumerate(pairs)), key=repr)
+    assert rows(similar_dedup(frame(spark, pairs)).select("doc_id", "component_id")) == want
+    monkeypatch.setattr("edgeloom.llm.simhash.SIDE", 2)  # several sides to a component
+    assert rows(similar_dedup(frame(spark, pairs)).select("doc_id", "component_id")) == want
+    assert [i for i, _ in rows(keep_one(frame(spark, pairs)).select("doc_id", "text"))] == sorted({c for _, c in want}, key=lambda c: repr((c, "")))
+
+
 def test_chunks_carry_other_columns(spark):
     dealt, n = chunked(frame(spark, [(1, "abc"), (None, None)]), "doc_id", "text", 2, carry=True)
     assert n == 2 and dealt.columns == ["chunk", "doc_id", "text", "doc"]
