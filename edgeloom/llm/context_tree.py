@@ -1,7 +1,7 @@
 """Language-model scoring by context-tree weighting over bytes.
 
 Each of the 255 inner nodes of a byte's binary decomposition has a context tree of
-its own over the preceding bytes, ``DEPTH`` deep.  A tree node with n0 zeros and n1
+its own over the preceding bytes, ``depth`` deep.  A tree node with n0 zeros and n1
 ones has the Krichevsky-Trofimov probability Pe(n0, n1); its weighted probability is
 Pe at full depth and (Pe + product over children) / 2 above.  The predictive
 probability of a bit mixes the KT estimates along its context path with the
@@ -11,7 +11,7 @@ followed by one 0xFF as end, which UTF-8 never holds.
 
 Everything is counted over all training documents, and nothing is broadcast but
 the two upper levels (at most 255 + 65,280 nodes).  Documents are dealt into chunks
-once.  A chunk sends the distinct words and (DEPTH+1)-byte strings of all its
+once.  A chunk sends the distinct words and (depth+1)-byte strings of all its
 documents with their training counts, each to the shard that owns it; a shard owns
 whole subtrees below a pair of preceding bytes, and all chunks' counts of a word.
 Shards sum the counts, weight their subtrees, get the upper levels' nodes back, and
@@ -40,7 +40,8 @@ from edgeloom.llm.common import bytes_of, chunked
 from edgeloom.llm.substring_dedup import mix
 from edgeloom.plans.lineage import cut
 
-DEPTH = 4
+#: Bytes of context; with the byte itself and the inner node, six is what a 64-bit key holds.
+DEPTH = 6
 #: Levels above the shards' subtrees: contexts of 0 and of 1 byte.
 EDGE = 0xFF
 #: Bytes whose strings are laid out at once.
@@ -109,36 +110,36 @@ def leaves(strings: np.ndarray, counts: np.ndarray) -> Level:
     return Level(keys, np.bincount(up, n * (bit == 0), len(keys)), np.bincount(up, n * (bit == 1), len(keys)), None)
 
 
-def subtree(strings: np.ndarray, counts: np.ndarray) -> list[Level]:
-    """Levels DEPTH..2, deepest first."""
+def subtree(strings: np.ndarray, counts: np.ndarray, depth: int = DEPTH) -> list[Level]:
+    """Levels depth..2, deepest first."""
     levels = [leaves(strings, counts)]
-    for _ in range(DEPTH - 2):
+    for _ in range(depth - 2):
         levels.append(levels[-1].parents())
     return levels
 
 
-def log10_p(strings: np.ndarray, levels: list[Level]) -> np.ndarray:
+def log10_p(strings: np.ndarray, levels: list[Level], depth: int = DEPTH) -> np.ndarray:
     """log10 P(symbol | context) of each string, given all levels from the deepest to depth 0."""
     node, bit = bit_nodes(strings & 255)
     context = np.repeat(strings >> 8, 8)
     p = np.full(len(node), 0.5)
-    for depth, level in zip(range(DEPTH, -1, -1), levels):
-        p = level.mixed((context >> 8 * (DEPTH - depth) << 8) | node, p)
+    for up, level in zip(range(depth + 1), levels):
+        p = level.mixed((context >> 8 * up << 8) | node, p)
     return np.log10(np.where(bit == 1, p, 1 - p)).reshape(-1, 8).sum(axis=1)
 
 
-def layout(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def layout(texts: list[bytes], depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray]:
     """Codes of all strings of the texts in order, and how many each text has.
 
     A code holds the preceding bytes, newest first, then the byte itself.
     """
-    pad = bytes([EDGE]) * DEPTH
+    pad = bytes([EDGE]) * depth
     raw = np.frombuffer(b"".join(pad + t + pad[:1] for t in texts), np.uint8)
     sizes = np.array([len(t) + 1 for t in texts], np.int64)
-    code = raw[DEPTH:].astype(np.int64)
-    for k in range(DEPTH):
-        code |= raw[DEPTH - 1 - k : len(raw) - 1 - k].astype(np.int64) << (8 * (DEPTH - k))
-    starts = np.cumsum(sizes + DEPTH) - (sizes + DEPTH)
+    code = raw[depth:].astype(np.int64)
+    for k in range(depth):
+        code |= raw[depth - 1 - k : len(raw) - 1 - k].astype(np.int64) << (8 * (depth - k))
+    starts = np.cumsum(sizes + depth) - (sizes + depth)
     wanted = np.zeros(len(code) + 1, np.int64)
     wanted[starts] += 1
     np.add.at(wanted, starts + sizes, -1)
@@ -167,7 +168,8 @@ def _summed(codes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarr
 class Chunk:
     """A chunk's documents with the distinct words and strings in them."""
 
-    def __init__(self, rows: pa.Table, folds: int, held: int):
+    def __init__(self, rows: pa.Table, folds: int, held: int, depth: int = DEPTH):
+        self.depth = depth
         self.ids = rows["doc_id"]
         self.texts = [(t or b"").lower() for t in bytes_of(rows["text"])]
         names = [b"" if i is None else str(i).encode() for i in self.ids.to_pylist()]
@@ -189,7 +191,7 @@ class Chunk:
     def strings(self) -> tuple[np.ndarray, np.ndarray]:
         codes, counts = [], []
         for low, high in _blocks(self.texts):
-            code, sizes = layout(self.texts[low:high])
+            code, sizes = layout(self.texts[low:high], self.depth)
             held = np.repeat(self.held[low:high], sizes)
             for part, sign in ((code[~held], 1), (code[held], 0)):
                 distinct, n = np.unique(part, return_counts=True)
@@ -198,8 +200,8 @@ class Chunk:
         return _summed(codes, counts)
 
 
-def _string_shard(strings: np.ndarray, shards: int) -> np.ndarray:
-    return (mix((strings >> 8 * (DEPTH - 1)).astype(np.uint64)) % np.uint64(shards)).astype(np.int64)
+def _string_shard(strings: np.ndarray, shards: int, depth: int) -> np.ndarray:
+    return (mix((strings >> 8 * (depth - 1)).astype(np.uint64)) % np.uint64(shards)).astype(np.int64)
 
 
 def _word_shard(words: list[bytes], shards: int) -> np.ndarray:
@@ -216,13 +218,13 @@ def _large(raw: bytes) -> np.ndarray:
     return np.frombuffer(raw, raw[:1].decode(), offset=1).astype(np.int64)
 
 
-def _send(shards: int, folds: int, held: int):
+def _send(shards: int, folds: int, held: int, depth: int):
     """String shards are numbered from 0, word shards from ``shards``."""
 
     def run(key: tuple, rows: pa.Table) -> pa.Table:
-        made, out = Chunk(rows, folds, held), []
+        made, out = Chunk(rows, folds, held, depth), []
         strings, counts = made.strings()
-        shard = _string_shard(strings, shards)
+        shard = _string_shard(strings, shards, depth)
         for s in np.unique(shard):
             own = shard == s
             out.append((int(s), strings[own].tobytes(), _small(counts[own])))
@@ -248,14 +250,14 @@ def _shard_strings(rows: pa.Table) -> tuple[list[np.ndarray], np.ndarray, np.nda
     return codes, *_summed(codes, [_large(x) for x in rows["counts"].to_pylist()])
 
 
-def _upper(shards: int):
+def _upper(shards: int, depth: int):
     """The depth-1 nodes as far as one shard's depth-2 nodes make them up."""
 
     def run(key: tuple, rows: pa.Table) -> pa.Table:
         keys = n0 = n1 = log_w = np.zeros(0)
         if key[0].as_py() < shards:
             _, strings, counts = _shard_strings(rows)
-            level = subtree(strings, counts)[-1]
+            level = subtree(strings, counts, depth)[-1]
             keys, up = np.unique((level.keys >> 16 << 8) | (level.keys & 255), return_inverse=True)
             n0, n1, log_w = (np.bincount(up, x, len(keys)) for x in (level.n0, level.n1, level.log_w))
         return pa.table({"node": pa.array(keys.astype(np.int64)), "n0": pa.array(n0, pa.float64()), "n1": pa.array(n1, pa.float64()), "log_w": pa.array(log_w, pa.float64())})
@@ -270,7 +272,7 @@ def _pack_top(key: tuple, rows: pa.Table) -> pa.Table:
     return pa.table({"top": pa.array([packed.tobytes()], pa.binary())})
 
 
-def _answer(shards: int):
+def _answer(shards: int, depth: int):
     def run(key: tuple, rows: pa.Table, top: pa.Table) -> pa.Table:
         out, shard, chunks = [], key[0].as_py(), rows["chunk"].to_pylist() if rows.num_rows else []
         total = distinct = 0
@@ -278,7 +280,7 @@ def _answer(shards: int):
             codes, strings, counts = _shard_strings(rows)
             node, n0, n1, below = np.frombuffer(top["top"][0].as_py(), float).reshape(4, -1)
             one = Level(node.astype(np.int64), n0, n1, below)
-            p = log10_p(strings, [*subtree(strings, counts), one, one.parents()])
+            p = log10_p(strings, [*subtree(strings, counts, depth), one, one.parents()], depth)
             out = [p[np.searchsorted(strings, c)].tobytes() for c in codes]
         elif chunks:
             asked = [x.split(b"\n") for x in rows["items"].to_pylist()]
@@ -314,21 +316,21 @@ class Finder:
         return at
 
 
-def _score(shards: int, folds: int, held: int):
+def _score(shards: int, folds: int, held: int, depth: int):
     def run(key: tuple, rows: pa.Table, answers: pa.Table) -> pa.Table:
         got = dict(zip(answers["shard"].to_pylist(), answers["values"].to_pylist())) if answers.num_rows else {}
         if not rows.num_rows:  # the shards' totals pass through
             n = answers.num_rows
             empty = {c: pa.nulls(n, t) for c, t in (("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()))}
             return pa.table(empty | {"total": answers["total"], "distinct": answers["distinct"]})
-        made = Chunk(rows, folds, held)
+        made = Chunk(rows, folds, held, depth)
         strings, _ = made.strings()
-        shard, value = _string_shard(strings, shards), np.zeros(len(strings))
+        shard, value = _string_shard(strings, shards, depth), np.zeros(len(strings))
         for s in np.unique(shard):
             value[shard == s] = np.frombuffer(got[int(s)], float)
         find, score = Finder(strings), np.zeros(len(made.texts))
         for low, high in _blocks(made.texts):
-            code, sizes = layout(made.texts[low:high])
+            code, sizes = layout(made.texts[low:high], depth)
             score[low:high] = np.add.reduceat(value[find(code)], np.cumsum(sizes) - sizes)
         words, _ = made.words()
         shard, counts = _word_shard(words, shards), np.zeros(len(words), np.int64)
@@ -346,22 +348,25 @@ def _score(shards: int, folds: int, held: int):
     return run
 
 
-def lm_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, held: int = 1, chunk_bytes: int = 8 << 20) -> DataFrame:
+def lm_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, held: int = 1, chunk_bytes: int = 8 << 20, depth: int = DEPTH) -> DataFrame:
     """One row per row of ``docs``: its id, held_out, n_tokens, n_known, train_tokens, base_score and score.
 
     score is the model's log10 probability of the lower-cased text with its end;
-    code_length is the same in bits.  chunk_bytes bounds a task's memory.
+    code_length is the same in bits.  chunk_bytes bounds a task's memory; depth, 2 to 6,
+    is the bytes of context.
     """
+    if not 2 <= depth <= 6:
+        raise ValueError("a context has 2 to 6 bytes")
     dealt, chunks = chunked(docs, id_col, text_col, chunk_bytes)
     shards = max(1, min(1 << 16, -(-chunks // 4)))
     spark = docs.sparkSession
-    sent = dealt.groupBy("chunk").applyInArrow(_send(shards, folds, held), MESSAGE).repartition(2 * shards, "shard")
-    upper = sent.groupBy("shard").applyInArrow(_upper(shards), "node bigint, n0 double, n1 double, log_w double")
+    sent = dealt.groupBy("chunk").applyInArrow(_send(shards, folds, held, depth), MESSAGE).repartition(2 * shards, "shard")
+    upper = sent.groupBy("shard").applyInArrow(_upper(shards, depth), "node bigint, n0 double, n1 double, log_w double")
     nodes = upper.groupBy("node").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("log_w").alias("log_w"))
     top = nodes.groupBy(F.lit(0).alias("all")).applyInArrow(_pack_top, "top binary")
     tops = spark.range(shards).select(F.col("id").alias("shard"), F.lit(0).alias("all")).join(F.broadcast(top.withColumn("all", F.lit(0))), "all").select("shard", "top")
-    answers = sent.groupBy("shard").cogroup(tops.groupBy("shard")).applyInArrow(_answer(shards), ANSWER)
-    rows = cut(dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_score(shards, folds, held), SCORED), "scored")
+    answers = sent.groupBy("shard").cogroup(tops.groupBy("shard")).applyInArrow(_answer(shards, depth), ANSWER)
+    rows = cut(dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_score(shards, folds, held, depth), SCORED), "scored")
     total, distinct = rows.where("held_out is null").agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
     base = F.col("base") - F.col("n_tokens") * F.log10(F.lit(float(total)) + 0.5 * (F.lit(float(distinct)) + 1))
     bits = -F.col("score") / F.log10(F.lit(2.0))

@@ -166,6 +166,26 @@ def test_lm_score(spark):
     assert ct.lm_score(docs(spark, [])).count() == 0
 
 
+def test_depth_is_a_parameter(spark):
+    rng = random.Random(4)
+    # The byte after five like ones is told by the sixth before it.
+    data = [(i, "".join(rng.choice(["axxxxxb", "cxxxxxd"]) for _ in range(40)), "xx", "s") for i in range(30)]
+    low = lambda t: t.encode()
+    train = [low(t) for i, t, _, _ in data if zlib.crc32(str(i).encode()) % 5 != 1]
+    bits = {}
+    for depth in (4, 6):
+        model = brute_tree(train, depth)
+        got = {r["doc_id"]: r["score"] for r in ct.lm_score(docs(spark, data), depth=depth).collect()}
+        for i, t, _, _ in data[:4]:
+            raw = b"\xff" * depth + low(t) + b"\xff"
+            assert got[i] == pytest.approx(sum(model(raw[k - depth : k], raw[k]) for k in range(depth, len(raw))), abs=1e-5)
+        bits[depth] = -sum(got.values())
+    assert bits[6] < 0.75 * bits[4]
+    assert ct.DEPTH == 6
+    with pytest.raises(ValueError):
+        ct.lm_score(docs(spark, data), depth=7)
+
+
 def test_predictions_sum_to_one():
     model = brute_tree([b"abracadabra", b"abba"], 2)
     assert sum(10 ** model(b"ab", s) for s in range(256)) == pytest.approx(1)
