@@ -45,6 +45,11 @@ def bit_test(x: Column, k: int) -> Column:
     return get_bits(x, k, 1) == 1
 
 
+def popcount(x: Column) -> Column:
+    """Bits of x that are 1."""
+    return F.bit_count(x)
+
+
 def first_zero(x: Column, width: int) -> Column:
     """The lowest bit of ``width`` that is 0, or -1 if all are 1."""
     low = F.bitwise_not(x).bitwiseAND(x + 1)

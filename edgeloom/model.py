@@ -2,13 +2,16 @@
 
 Ids are bigint and external throughout; no dense renumbering is needed.  An
 undirected graph stores each edge in both directions.  ``capacity`` is the number
-of ids that could exist (largest id + 1 by default): ids never seen still count as
-components, as empty vertices and in the PageRank checksum.
+of ids that could exist: ids never seen still count as components, as empty vertices
+and in the PageRank checksum.  A capacity that is given is fixed, and inserting an id
+beyond it fails; else it is the largest id + 1, counted when it is first asked for,
+and so grows with every insert.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,10 +38,17 @@ class GraphSpec:
 class Graph:
     edges: DataFrame
     vertices: DataFrame
-    capacity: int
+    given: int | None = None
     directed: bool = True
     weighted: bool = False
 
+    @cached_property
+    def capacity(self) -> int:
+        if self.given is not None:
+            return self.given
+        largest = self.vertices.agg(F.max("id")).first()[0]
+        return 0 if largest is None else largest + 1
+
     def with_edges(self, edges: DataFrame, vertices: DataFrame | None = None) -> Graph:
         return replace(self, edges=edges, vertices=self.vertices if vertices is None else vertices)
 
@@ -95,10 +105,15 @@ def from_edges(raw: DataFrame, directed: bool = True, weighted: bool = False, ca
     elif weighted:
         rows = rows.withColumn("side", F.lit(0))
     edges = distinct_edges(rows, weighted, order) if dedup else rows.select(*edge_columns(weighted))
-    vertices = endpoints(edges)
-    largest = None if capacity is not None else vertices.agg(F.max("id")).first()[0]
-    size = capacity if capacity is not None else 0 if largest is None else largest + 1
-    return Graph(edges, vertices, size, directed, weighted)
+    return Graph(edges, endpoints(edges), capacity, directed, weighted)
+
+
+def within(rows: DataFrame, capacity: int | None) -> DataFrame:
+    """The same (src, dst, ...) rows; reading one with an id that a given capacity has no room for fails."""
+    if capacity is None:
+        return rows
+    fault = lambda c: F.raise_error(F.concat(F.lit("id "), F.col(c).cast("string"), F.lit(f" is outside the capacity of {capacity}"))).cast("bigint")
+    return rows.withColumns({c: F.when(F.col(c).between(0, capacity - 1), F.col(c)).otherwise(fault(c)) for c in ("src", "dst")})
 
 
 def check_capacity(graph: Graph) -> Graph:
@@ -130,5 +145,5 @@ def first_seen(raw: DataFrame) -> DataFrame:
     return ends.groupBy(F.col("x.id").alias("id")).agg(F.min("x.p").alias("first_pos"))
 
 
-def empty_graph(spark: SparkSession, capacity: int, directed: bool = True, weighted: bool = False) -> Graph:
+def empty_graph(spark: SparkSession, capacity: int | None = None, directed: bool = True, weighted: bool = False) -> Graph:
     return Graph(spark.createDataFrame([], WEIGHTED_EDGES if weighted else EDGES), spark.createDataFrame([], VERTICES), capacity, directed, weighted)

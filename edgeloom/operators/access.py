@@ -16,7 +16,7 @@ def has_edge(graph: Graph, src: int, dst: int) -> bool:
 def has_edges(graph: Graph, pairs: DataFrame) -> DataFrame:
     """pairs (src, dst) with ``found``; an unknown endpoint means not found.
 
-    A semi and an anti join, so a pair asked for very often is never multiplied.
+    A left join with distinct keys, so a pair asked for very often is never multiplied.
     """
     keys = graph.edges.select("src", "dst").distinct().withColumn("found", F.lit(True))
     return pairs.join(keys, ["src", "dst"], "left").withColumn("found", F.coalesce("found", F.lit(False)))
@@ -26,6 +26,12 @@ def has_vertex(graph: Graph, vertex: int) -> bool:
     return not graph.vertices.where(F.col("id") == vertex).isEmpty()
 
 
+def has_vertices(graph: Graph, ids: DataFrame) -> DataFrame:
+    """ids (id) with ``found``: is it registered?"""
+    known = graph.vertices.select("id").distinct().withColumn("found", F.lit(True))
+    return ids.join(known, "id", "left").withColumn("found", F.coalesce("found", F.lit(False)))
+
+
 def neighbors(graph: Graph, vertex: int) -> DataFrame:
     """(dst[, weight]) of one vertex; none if it is unknown."""
     return graph.edges.where(F.col("src") == vertex).drop("src")
@@ -55,6 +61,13 @@ def edge_weight(graph: Graph, src: int, dst: int) -> int:
     return graph.edges.where((F.col("src") == src) & (F.col("dst") == dst)).agg(F.coalesce(F.max(weight), F.lit(0))).first()[0]
 
 
+def edge_weights(graph: Graph, pairs: DataFrame) -> DataFrame:
+    """pairs (src, dst) with ``weight``: the stored one, 1 on an unweighted graph's edge, 0 if the edge is absent."""
+    weight = F.max("weight") if graph.weighted else F.lit(1)
+    keys = graph.edges.groupBy("src", "dst").agg(weight.cast("int").alias("weight"))
+    return pairs.join(keys, ["src", "dst"], "left").withColumn("weight", F.coalesce("weight", F.lit(0)))
+
+
 def degrees(graph: Graph) -> DataFrame:
     """(id, degree): the out-degree of every registered vertex, 0 included."""
     out = graph.edges.groupBy("src").agg(F.count("*").alias("degree"))

@@ -1,9 +1,10 @@
 """Connected components by alternating large-star and small-star rounds.
 
 Works on an edge frame (a, b) of bigint ids.  Every round is a grouped minimum
-and an equi-join, both on a node id, so work spreads over the cluster; a hub
-keeps only its minimum in the aggregate and AQE splits its rows in the join.
-The number of rounds grows with the logarithm of the component diameter.
+and an equi-join, so work spreads over the cluster: minima are combined map-side and
+come back to the rows by node and a salt of the row, so a hub's rows spread over
+``SALTS`` tasks whatever its degree.  The number of rounds grows with the logarithm
+of the component diameter.
 """
 
 from __future__ import annotations
@@ -14,17 +15,27 @@ from pyspark.sql import functions as F
 from edgeloom.plans.lineage import cut, discard
 
 
+SALTS = 64
+
+
+def _least_beside(rows: DataFrame) -> DataFrame:
+    """``rows`` (a, b) with ``m``, the least b of all rows with the same a, without gathering these rows."""
+    salted = rows.withColumn("s", F.pmod(F.xxhash64("b"), F.lit(SALTS)))
+    part = salted.groupBy("a", "s").agg(F.min("b").alias("least"))
+    low = part.groupBy("a").agg(F.min("least").alias("m"))
+    return salted.join(part.select("a", "s").join(low, "a"), ["a", "s"]).drop("s")
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    low = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
-    return both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+    low = _least_beside(both).withColumn("m", F.least("a", "m"))
+    return low.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    low = down.groupBy("a").agg(F.min("b").alias("m"))
-    moved = down.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return moved.unionAll(low.select("a", F.col("m").alias("b"))).distinct()
+    # A row with the least b stands for its node, every other one hangs its b below that.
+    return _least_beside(down).select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).distinct()
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -51,6 +62,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             break
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+    # The table behind the answer stays until the caller's plan has run.
     return now.select(F.col("a").alias("id"), F.col("b").alias("component")).unionAll(now.select(F.col("b").alias("id"), F.col("b").alias("component"))).distinct()
 
 

@@ -31,6 +31,11 @@ def bfs(graph: Graph, source: int) -> DataFrame:
     return steps.all()
 
 
+def frontier_sizes(graph: Graph, source: int) -> DataFrame:
+    """(depth, n): how many vertices each step of the search reaches."""
+    return bfs(graph, source).groupBy("depth").agg(F.count("*").alias("n"))
+
+
 def bfs_depth_sum(graph: Graph, sources: list[int]) -> DataFrame:
     """(source, depth_sum, reached) of a search from each source."""
     spark = graph.edges.sparkSession
@@ -51,13 +56,15 @@ def sssp(graph: Graph, source: int, unit: bool = False) -> tuple[DataFrame, bool
     weight = F.lit(1) if unit or not graph.weighted else F.coalesce("weight", F.lit(1))
     first = spark.createDataFrame([(source, 0)], "id bigint, dist bigint")
 
+    least = lambda rows: rows.groupBy("id").agg(F.min("dist").alias("dist"))
+
     def step(now: DataFrame, steps: Steps) -> DataFrame:
-        known = steps.all().groupBy("id").agg(F.min("dist").alias("known"))
+        known = least(steps.all()).withColumnRenamed("dist", "known")
         found = edge_map(graph, now, {"dist": F.min(F.col("dist") + weight)})
         return found.join(known, "id", "left").where(F.col("known").isNull() | (F.col("dist") < F.col("known"))).select("id", "dist")
 
-    steps, settled = supersteps(first, step, "sssp", most=graph.count_vertices() if graph.weighted and not unit else None)
-    return steps.all().groupBy("id").agg(F.min("dist").alias("dist")), not settled
+    steps, settled = supersteps(first, step, "sssp", most=graph.count_vertices() if graph.weighted and not unit else None, merge=least)
+    return least(steps.all()), not settled
 
 
 def sssp_dist_sum(graph: Graph, source: int) -> DataFrame:

@@ -7,24 +7,14 @@ reads it back; the plan above it starts from files every executor can see.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_own: dict[str, str] = {}
-
-
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a fresh local one only where none is set."""
+    """The shared folder the cluster names; where none is set, the warehouse, which driver and executors share too."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _own:
-        _own[app] = tempfile.mkdtemp(prefix="edgeloom-")
-        spark.sparkContext.setCheckpointDir(_own[app])
-    return "file://" + _own[app]
+    return (named or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
 
 
 def new_path(spark: SparkSession, what: str) -> str:
@@ -44,10 +34,10 @@ def cut(df: DataFrame, what: str = "cut", partition_by: list[str] | None = None)
     return out
 
 
-def discard(df: DataFrame | None) -> None:
-    """Delete the files behind a frame made by ``cut``; a frame from elsewhere is left alone."""
-    path = getattr(df, "_edgeloom_path", None)
+def discard(what: DataFrame | str | None, spark: SparkSession | None = None) -> None:
+    """Delete the files behind a frame made by ``cut``, or a folder of ``new_path``; a frame from elsewhere is left alone."""
+    path = what if isinstance(what, str) else getattr(what, "_edgeloom_path", None)
     if path:
-        spark = df.sparkSession
+        spark = spark or what.sparkSession
         where = spark._jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)

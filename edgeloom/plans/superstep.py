@@ -56,11 +56,12 @@ class Steps:
     """The rows each superstep added, kept as a growing table of the shared folder.
 
     A step's rows are listed once, when they are written; after APART steps the
-    older ones are written together, so plans stay short.
+    older ones are written together, through ``merge``, so plans stay short and rows
+    that later ones supersede can go.
     """
 
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.path, self.n, self.frames = spark, new_path(spark, name), 0, []
+    def __init__(self, spark: SparkSession, name: str, merge: Callable[[DataFrame], DataFrame] | None = None):
+        self.spark, self.path, self.n, self.frames, self.merge = spark, new_path(spark, name), 0, [], merge or (lambda rows: rows)
 
     def _write(self, rows: DataFrame, name: str) -> tuple[DataFrame, int]:
         seen = Observation()
@@ -72,7 +73,7 @@ class Steps:
         made, count = self._write(rows, f"{self.n}")
         self.n += 1
         if len(self.frames) == APART:
-            self.frames = [self._write(self.all(), f"to-{self.n}")[0]]
+            self.frames = [self._write(self.merge(self.all()), f"to-{self.n}")[0]]
         self.frames.append(made)
         return made, count
 
@@ -81,9 +82,9 @@ class Steps:
         return reduce(DataFrame.unionAll, self.frames)
 
 
-def supersteps(first: DataFrame, step: Callable[[DataFrame, Steps], DataFrame], name: str, most: int | None = None) -> tuple[Steps, bool]:
+def supersteps(first: DataFrame, step: Callable[[DataFrame, Steps], DataFrame], name: str, most: int | None = None, merge: Callable[[DataFrame], DataFrame] | None = None) -> tuple[Steps, bool]:
     """Run ``step`` on the newest rows until it adds none (True) or ``most`` steps are done (False)."""
-    steps = Steps(first.sparkSession, name)
+    steps = Steps(first.sparkSession, name, merge)
     now, n = steps.add(first)
     while n:
         if most is not None and steps.n > most:

@@ -12,9 +12,22 @@ from edgeloom.model import Graph, GraphSpec, from_edges
 LOG_ENDING = "_insert_test.log"
 
 
-def _positions(lines: DataFrame) -> DataFrame:
-    """Adds ``pos``: file by file, a line's place.  Increasing within a file's order of blocks, not gapless."""
-    return lines.withColumn("pos", F.monotonically_increasing_id())
+def numbered(lines: DataFrame) -> DataFrame:
+    """Adds ``pos``, 0, 1, 2 ... over the rows of a file scan, file by file (by path) and in each from start to end.
+
+    A task reads a split from start to end, so a row's place in its split is its
+    distance from the split's first row; only the splits' sizes (one row each) are
+    sorted and summed.  Rows don't move.
+    """
+    rows = lines.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block")).withColumn("_at", F.monotonically_increasing_id())
+    splits = rows.groupBy("_file", "_block").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    ahead = splits.select("_file", "_block", (F.sum("_n").over(Window.orderBy("_file", "_block")) - F.col("_n") - F.col("_first")).alias("_shift"))
+    return rows.join(ahead, ["_file", "_block"]).withColumn("pos", F.col("_at") + F.col("_shift")).drop("_file", "_block", "_at", "_shift")
+
+
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(pos, value) of text files, pos gapless from 0."""
+    return numbered(spark.read.text(path)).select("pos", "value")
 
 
 def read_edge_list(spark: SparkSession, path: str, weighted: bool = False, id_base: int = 0, sep: str = r"\s+", strict: bool = False) -> DataFrame:
@@ -23,18 +36,17 @@ def read_edge_list(spark: SparkSession, path: str, weighted: bool = False, id_ba
     Any white space separates, comment and header lines and lines without two
     numbers are skipped, and an unterminated last line counts.  With ``strict`` a
     line that is neither blank nor made of numbers raises.  id_base is subtracted
-    from both ids.
+    from both ids.  pos numbers the edges from 0 without gaps.
     """
-    lines = _positions(spark.read.text(path)).withColumn("parts", F.split(F.trim(F.regexp_replace("value", r"^\s+|\s+$", "")), sep))
-    item = lambda k, kind: F.try_element_at("parts", F.lit(k)).try_cast(kind)
+    parts = F.split(F.trim(F.regexp_replace("value", r"^\s+|\s+$", "")), sep)
+    item = lambda k, kind: F.try_element_at(parts, F.lit(k)).try_cast(kind)
     src, dst = item(1, "bigint") - F.lit(id_base), item(2, "bigint") - F.lit(id_base)
-    columns = [src.alias("src"), dst.alias("dst"), *([item(3, "int").alias("weight")] if weighted else [])]
-    rows = lines.select("pos", "value", *columns)
-    good = F.col("src").isNotNull() & F.col("dst").isNotNull() & (F.col("weight").isNotNull() if weighted else F.lit(True))
+    weight = item(3, "int")
+    good = src.isNotNull() & dst.isNotNull() & (weight.isNotNull() if weighted else F.lit(True))
     if strict:
         fault = F.raise_error(F.concat(F.lit("not an edge: "), F.col("value"))).cast("boolean")
         good = F.when(F.trim("value") == "", False).when(good, True).otherwise(fault)
-    return rows.where(good).drop("value")
+    return numbered(spark.read.text(path).where(good)).select("pos", src.alias("src"), dst.alias("dst"), *([weight.alias("weight")] if weighted else []))
 
 
 def read_graph(spark: SparkSession, path: str, spec: GraphSpec) -> Graph:

@@ -1,8 +1,9 @@
-"""Streaming ingest: edge files or any edge stream into a versioned graph store.
+"""Ingest drivers: edge files, frames or streams into a versioned graph store, batch by batch.
 
-Each micro-batch commits one snapshot, tagged with its batch id; a batch that is
-replayed after a failure finds its id in the metadata and does nothing.  Queries
-read the latest finished snapshot.
+Each batch commits one small version, tagged with its stream and batch id; a batch
+that is replayed after a failure finds its id among those of its own stream and does
+nothing.  Any number of streams may share a store.  Queries read the latest finished
+version.
 """
 
 from __future__ import annotations
@@ -14,9 +15,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from edgeloom.model import Graph
-from edgeloom.operators.mutate import BatchStats, batch_ids, delete_edges, insert_edges, missing_after_ingest, present_after_delete
-from edgeloom.sources.store import commit, latest, load
+from edgeloom.operators.mutate import BatchStats, batch_ids, batch_removals, batch_stats, missing_after_ingest, present_after_delete
+from edgeloom.plans.lineage import discard, new_path
+from edgeloom.sources.edge_list import read_edge_list
+from edgeloom.sources.store import change, last_batch, load
 
 
 def edge_stream(spark: SparkSession, path: str, weighted: bool = False, id_base: int = 0, files_per_batch: int = 1) -> DataFrame:
@@ -28,21 +30,22 @@ def edge_stream(spark: SparkSession, path: str, weighted: bool = False, id_base:
     return out.where("src is not null and dst is not null")
 
 
-def _apply(store: str, change: Callable) -> Callable[[DataFrame, int], None]:
+def apply_once(store: str, stream: str, delete: bool = False) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function that changes the store, and does nothing with a batch its stream has committed."""
+
     def run(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        now = latest(spark, store)
-        if now is not None and now["batch"] >= batch_id:
-            return
-        commit(change(load(spark, store), batch), store, batch_id)
+        if last_batch(batch.sparkSession, store, stream) < batch_id:
+            change(store, batch, delete, stream, batch_id)
 
     return run
 
 
 def ingest(stream: DataFrame, store: str, checkpoint: str, delete: bool = False) -> StreamingQuery:
-    """Start inserting (or deleting) a stream's edges in the store; ends when what has arrived is done."""
-    change = delete_edges if delete else insert_edges
-    writer = stream.writeStream.foreachBatch(_apply(store, change)).option("checkpointLocation", checkpoint)
+    """Start inserting (or deleting) a stream's edges in the store; ends when what has arrived is done.
+
+    The checkpoint folder names the stream: started again with it, it goes on where it was.
+    """
+    writer = stream.writeStream.foreachBatch(apply_once(store, checkpoint, delete)).option("checkpointLocation", checkpoint)
     return writer.trigger(availableNow=True).start()
 
 
@@ -51,27 +54,35 @@ def progress(query: StreamingQuery) -> list[dict]:
     return [{"batch": p["batchId"], "rows": p["numInputRows"], "ms": p["durationMs"].get("triggerExecution")} for p in query.recentProgress]
 
 
-def ingest_in_batches(raw: DataFrame, store: str, batch_size: int = 1_000_000, delete: bool = False, verify: bool = False) -> list[BatchStats]:
-    """Insert (or delete) the edges of ``raw`` batch by batch, a snapshot each.
+def ingest_in_batches(raw: DataFrame, store: str, batch_size: int = 1_000_000, delete: bool = False, verify: bool = False, num_batches: int | None = None) -> list[BatchStats]:
+    """Insert (or delete) the edges of ``raw`` batch by batch, a version each.
 
-    raw: (pos, src, dst[, weight]) with gapless pos from 0.  A batch stores about
-    ``batch_size`` edges; the driver keeps one row of figures per batch.  With
-    ``verify`` a batch that isn't fully in (or out of) the graph raises.
+    raw: (pos, src, dst[, weight]) with gapless pos from 0, as ``read_edge_list``
+    gives.  A batch stores about ``batch_size`` edges; the last of ``num_batches``
+    takes the rest.  Batches are dealt into folders once and their figures counted
+    in one pass, so a batch reads and writes its own rows only; the driver keeps one
+    row of figures per batch.  With ``verify`` a batch that isn't fully in (or out
+    of) the graph raises.
     """
     spark, out = raw.sparkSession, []
-    graph: Graph = load(spark, store)
-    rows = batch_ids(raw, batch_size, graph.directed)
-    n = rows.agg(F.max("batch_id")).first()[0]
-    before = graph.edges.count()
-    for k in range(0 if n is None else n + 1):
+    graph = load(spark, store)
+    path = new_path(spark, "batches")
+    batch_ids(raw, batch_size, graph.directed, num_batches).write.partitionBy("batch_id").parquet(path)
+    schema = raw.schema
+    stored = graph.edges.select("src", "dst")
+    made = batch_removals(raw, batch_size, graph.directed, stored, num_batches) if delete else batch_stats(raw, batch_size, graph.directed, num_batches, stored)
+    for k, attempted, changed in sorted(tuple(r) for r in made.collect()):
         began = time.perf_counter()
-        batch = rows.where(F.col("batch_id") == k).drop("batch_id")
-        commit((delete_edges if delete else insert_edges)(graph, batch), store)
-        graph = load(spark, store)
-        left = (present_after_delete if delete else missing_after_ingest)(graph, batch) if verify else None
-        if left is not None and not left.isEmpty():
+        batch = spark.read.schema(schema).parquet(f"{path}/batch_id={k}")
+        change(store, batch, delete)
+        took = time.perf_counter() - began
+        if verify and not (present_after_delete if delete else missing_after_ingest)(load(spark, store), batch).isEmpty():
             raise RuntimeError(f"batch {k} is not fully {'deleted' if delete else 'stored'}")
-        after = graph.edges.count()
-        out.append(BatchStats(k, batch.count() * (1 if graph.directed else 2), abs(after - before), time.perf_counter() - began))
-        before = after
+        out.append(BatchStats(k, attempted, changed, took))
+    discard(path, spark)
     return out
+
+
+def ingest_file(spark: SparkSession, path: str, store: str, weighted: bool = False, id_base: int = 0, sep: str = r"\s+", **options) -> list[BatchStats]:
+    """``ingest_in_batches`` of an edge-list file."""
+    return ingest_in_batches(read_edge_list(spark, path, weighted, id_base, sep), store, **options)

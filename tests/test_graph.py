@@ -130,6 +130,20 @@ def test_lookups(spark, rows):
         traverse.bfs(g, 77)
     with pytest.raises(ValueError):
         check_capacity(from_edges(g.edges, capacity=2))
+    ids = spark.createDataFrame([(3,), (4,), (3,)], "id bigint")
+    assert rows(access.has_vertices(g, ids)) == [(3, True), (3, True), (4, False)]
+    assert rows(access.edge_weights(g, pairs)) == [(0, 1, 1), (0, 1, 1), (0, 9, 0)]
+
+
+def test_capacity_grows_unless_given(spark, rows):
+    more = spark.createDataFrame([(5, 9), (6, 9), (7, 9)], "src bigint, dst bigint")
+    g = mutate.insert_edges(graph(spark, [(0, 1)]), more)
+    assert g.capacity == 10 and one(measures.degree_stats(g)) == (1, 1, 0, 6, 4)
+    assert one(ranking.cc_count(g)) == (2, 6)
+    assert one(ranking.cc_count(mutate.insert_edges(graph(spark, [(0, 1)], capacity=12), more))) == (2, 8)
+    with pytest.raises(Exception, match="outside the capacity"):
+        mutate.insert_edges(graph(spark, [(0, 1)], capacity=9), more).edges.collect()
+    assert rows(mutate.delete_edges(graph(spark, [(0, 1)], capacity=9), more).edges) == [(0, 1)]
 
 
 def test_components_on_long_paths_and_hubs(spark, rows):

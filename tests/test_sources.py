@@ -1,10 +1,13 @@
 """Text files, snapshots, streaming and the scalar functions."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from edgeloom.functions import bits
-from edgeloom.model import GraphSpec, dense_ids, first_seen, from_edges
+from edgeloom.model import GraphSpec, dense_ids, empty_graph, first_seen, from_edges
+from edgeloom.operators import mutate
 from edgeloom.sources import edge_list, store
 from edgeloom.streaming import ingest
 
@@ -71,8 +74,47 @@ def test_streaming(spark, rows, tmp_path):
     q.awaitTermination()
     assert len(ingest.progress(q)) >= 2
     assert rows(store.load(spark, path).edges) == [(0, 1), (1, 2), (2, 3)]
-    ingest._apply(path, ingest.insert_edges)(spark.createDataFrame([(8, 9)], "src bigint, dst bigint"), 1)  # a replayed batch
+    ingest.apply_once(path, str(tmp_path / "cp"))(spark.createDataFrame([(8, 9)], "src bigint, dst bigint"), 1)  # a replayed batch
     assert store.load(spark, path).edges.count() == 3
+    gone = tmp_path / "gone"
+    gone.mkdir()
+    (gone / "a.txt").write_text("1 2\n7 7\n")
+    for _ in range(2):  # another stream upon the same store, started twice
+        ingest.ingest(ingest.edge_stream(spark, str(gone)), path, str(tmp_path / "cp2"), delete=True).awaitTermination()
+    assert rows(store.load(spark, path).edges) == [(0, 1), (2, 3)]
+
+
+def test_changes_upon_a_base(spark, rows, tmp_path, monkeypatch):
+    monkeypatch.setattr(store, "CHANGES", 3)
+    path, g = str(tmp_path / "store"), empty_graph(spark, 50, directed=False, weighted=True)
+    store.create(spark, path, 50, directed=False, weighted=True)
+    rng = random.Random(4)
+    for k in range(9):
+        batch = spark.createDataFrame([(p, rng.randrange(6), rng.randrange(6), rng.randrange(100)) for p in range(7)], "pos bigint, src bigint, dst bigint, weight int")
+        delete = k % 3 == 2
+        g = (mutate.delete_edges if delete else mutate.insert_edges)(g, batch)
+        assert store.change(path, batch, delete) == k + 1
+        back = store.load(spark, path)
+        assert rows(back.edges) == rows(g.edges) and rows(back.vertices) == rows(g.vertices)
+    assert store.latest(spark, path)["base"] > 0
+    assert rows(store.load(spark, path, 0).edges) == []
+    with pytest.raises(Exception, match="outside the capacity"):
+        store.change(path, spark.createDataFrame([(1, 50, 1)], "src bigint, dst bigint, weight int"))
+
+
+def test_positions_have_no_gaps(spark, rows, tmp_path):
+    (tmp_path / "b.txt").write_text("# head\n" + "".join(f"{k} {k + 1}\n" for k in range(3000)))
+    (tmp_path / "a.txt").write_text("9 9\n\n8 8")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4000")
+    try:
+        got = rows(edge_list.read_edge_list(spark, str(tmp_path)).select("pos", "src"))
+        path = str(tmp_path / "store")
+        store.create(spark, path)
+        stats = ingest.ingest_file(spark, str(tmp_path / "*.txt"), path, batch_size=1000, num_batches=2)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert sorted(got) == [(k, s) for k, s in enumerate([9, 8, *range(3000)])]
+    assert [(x.attempted, x.changed) for x in stats] == [(1000, 1000), (2002, 2002)]
 
 
 def test_batches_into_a_store(spark, rows, tmp_path):
@@ -80,10 +122,10 @@ def test_batches_into_a_store(spark, rows, tmp_path):
     store.create(spark, path, 10, directed=False)
     raw = spark.createDataFrame([(0, 0, 1), (1, 1, 2), (2, 0, 1), (3, 5, 5), (4, 2, 3)], "pos bigint, src bigint, dst bigint")
     stats = ingest.ingest_in_batches(raw, path, 4, verify=True)
-    assert [(x.batch, x.attempted, x.inserted) for x in stats] == [(0, 4, 4), (1, 4, 1), (2, 2, 2)]
+    assert [(x.batch, x.attempted, x.changed) for x in stats] == [(0, 4, 4), (1, 4, 1), (2, 2, 2)]
     assert store.load(spark, path).edges.count() == 7
     gone = ingest.ingest_in_batches(raw.where("pos < 2"), path, 100, delete=True, verify=True)
-    assert [x.inserted for x in gone] == [4] and rows(store.load(spark, path).edges) == [(2, 3), (3, 2), (5, 5)]
+    assert [x.changed for x in gone] == [4] and rows(store.load(spark, path).edges) == [(2, 3), (3, 2), (5, 5)]
     assert ingest.ingest_in_batches(raw.limit(0), path) == []
 
 
