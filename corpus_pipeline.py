@@ -4,7 +4,8 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last
 return the columns of ``documents``.  ``run`` writes each stage's rows as Parquet
 in the shared folder and reads them again as the next one's docs.
 
-1. language_id: documents without a language (no letters) go.
+1. language_id: documents go whose text has no letter, or in which no language holds
+   half of the network's pooled probability.
 2. line_dedup: lines that repeat or nearly repeat an earlier line go; a document
    that had text and keeps none of it goes too.  n_chars follows the text.
 3. simhash_dedup: one document of each near-duplicate group stays, that of least id
@@ -26,6 +27,8 @@ from edgeloom.llm.mixing import mix_sources
 from edgeloom.llm.simhash import keep_one
 from edgeloom.plans.lineage import cut
 
+#: The share of the pooled probability that a document's language must have.
+LEAST_SCORE = 0.5
 #: Repetition limit of the mixture.
 MAX_EPOCHS = 1.25
 #: The near-duplicate stage takes five words to a shingle.
@@ -33,17 +36,15 @@ SHINGLE = 5
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return keep_known(docs)
+    return keep_known(docs, LEAST_SCORE)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     done = line_dedup(docs, texts=True, carry=True).where("n_removed = 0 or trim(kept_text) <> ''")
     changed = F.col("n_removed") > 0
-    given = {f"doc.{c}" for c in docs.columns if c != "text"}
-    columns = {c: F.col(f"doc.{c}") for c in docs.columns if f"doc.{c}" in given}
-    columns["text"] = F.col("kept_text")
+    columns = {c: F.col("kept_text") if c == "text" else F.col("doc")[c] for c in docs.columns}
     if "n_chars" in columns:
-        columns["n_chars"] = F.when(changed, F.length("kept_text")).otherwise(F.col("doc.n_chars")).cast(docs.schema["n_chars"].dataType)
+        columns["n_chars"] = F.when(changed, F.length("kept_text")).otherwise(columns["n_chars"]).cast(docs.schema["n_chars"].dataType)
     return done.select(*[columns[c].alias(c) for c in docs.columns])
 
 

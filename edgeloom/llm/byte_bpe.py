@@ -7,7 +7,8 @@ agree from there on: that place is a seam.  The stitch walks the chunks of a
 document from its start, takes a seam in each overlap, and where an overlap holds
 none it leaves the neighbours (and all after them that no seam certifies) in one
 piece, which is slower but exact.  The pieces between seams are encoded in
-parallel and their ids concatenated.  Shorter texts are one piece.
+parallel and their ids concatenated.  Shorter texts are one piece.  Chunks and pieces
+are sliced off a text one after another, in time proportional to its length.
 
 Within a piece the encoder works on segments, white space and the run after it:
 a match of the pattern never runs from other characters into white space, so a
@@ -27,13 +28,14 @@ import hashlib
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from edgeloom.llm.common import batches
+from edgeloom.llm.common import shipped, sliced
 from edgeloom.plans.lineage import cut
 
 #: The characters with Unicode's White_Space property.
@@ -42,6 +44,8 @@ WHITE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 REMEMBERED, LONGEST = 300_000, 64
 #: Characters beyond its end that a match may depend on: an apostrophe is a match of its own unless two more make a contraction.
 AHEAD = 2
+#: Slices of a long text that a batch holds.
+SLICES = 64
 
 
 class _Codec(dict):
@@ -139,7 +143,7 @@ def _digest(ids: bytes, path: str, pattern: str) -> tuple:
 
 def _encode(path: str, pattern: str, digests: bool):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
+        for batch in sliced(it):
             use = codec(path, pattern)
             ids = use.encode_all(batch.column("text").to_pylist())
             rest = {k: batch.column(k) for k in batch.schema.names if k != "text"}
@@ -152,6 +156,31 @@ def _encode(path: str, pattern: str, digests: bool):
     return run
 
 
+def _in_batches(rows: Iterator[tuple], names: list[str], kinds: list[pa.DataType]) -> Iterator[pa.RecordBatch]:
+    while part := list(islice(rows, SLICES)):
+        yield pa.record_batch({k: pa.array(v, t) for k, t, v in zip(names, kinds, zip(*part), strict=True)})
+
+
+def _chunks(size: int, overlap: int):
+    """(row, start, last, text) of the overlapping chunks of each text."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(it, 1):
+            row, text = batch.column("row")[0].as_py(), batch.column("text")[0].as_py()
+            rows = ((row, k, k + size + overlap >= len(text), text[k : k + size + overlap]) for k in range(0, len(text), size))
+            yield from _in_batches(rows, ["row", "start", "last", "text"], [pa.string(), pa.int64(), pa.bool_(), pa.string()])
+
+    return run
+
+
+def _pieces(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(row, doc_id, at, text) of the pieces between the cuts of each text."""
+    for batch in sliced(it, 1):
+        row, doc_id, text, cuts = (batch.column(c)[0].as_py() for c in ("row", "doc_id", "text", "cuts"))
+        rows = ((row, doc_id, at, text[at:end]) for at, end in zip(cuts, [*cuts[1:], len(text)]))
+        yield from _in_batches(rows, ["row", "doc_id", "at", "text"], [pa.string(), pa.int64(), pa.int64(), pa.string()])
+
+
 def _ends(pattern: str, overlap: int):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
@@ -191,17 +220,13 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     out = "n_tokens bigint, ids_sha256 string, decoded_sha256 string" if digests else "ids binary"
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     is_long = F.coalesce(F.length("text") > chunk_chars, F.lit(False))
-    short = batches(rows).where(~is_long).mapInArrow(_encode(path, pattern, digests), f"doc_id bigint, {out}")
+    short = shipped(rows).where(~is_long).mapInArrow(_encode(path, pattern, digests), f"doc_id bigint, {out}")
     # Long texts are few; each gets a name of its own, written down so that it is the same in all that follows.
     long = cut(rows.where(is_long).withColumn("row", F.concat_ws(":", F.spark_partition_id(), F.monotonically_increasing_id())), "long-texts")
-    starts = F.sequence(F.lit(0), F.length("text") - F.lit(1), F.lit(chunk_chars)).cast("array<bigint>")
-    chunks = long.select("row", "text", F.explode(starts).alias("start"))
-    chunks = chunks.select("row", "start", (F.col("start") + chunk_chars + overlap >= F.length("text")).alias("last"), F.substring(F.col("text"), F.col("start").cast("int") + 1, F.lit(chunk_chars + overlap)).alias("text"))
+    chunks = long.select("row", "text").mapInArrow(_chunks(chunk_chars, overlap), "row string, start bigint, last boolean, text string")
     near = chunks.repartition("row", "start").mapInArrow(_ends(pattern, overlap), "row string, start bigint, near array<bigint>")
     cuts = near.groupBy("row").applyInArrow(_stitch, "row string, cuts array<bigint>")
-    spans = long.join(cuts, "row").select("row", "doc_id", "text", F.posexplode("cuts").alias("k", "at"), "cuts")
-    end = F.coalesce(F.try_element_at("cuts", F.col("k") + 2), F.length("text").cast("bigint"))
-    pieces = spans.select("row", "doc_id", "at", F.substring(F.col("text"), F.col("at").cast("int") + 1, (end - F.col("at")).cast("int")).alias("text"))
+    pieces = long.join(cuts, "row").select("row", "doc_id", "text", "cuts").mapInArrow(_pieces, "row string, doc_id bigint, at bigint, text string")
     coded = pieces.repartition("row", "at").mapInArrow(_encode(path, pattern, False), "row string, doc_id bigint, at bigint, ids binary")
     joined = coded.groupBy("row").applyInArrow(_join_pieces(path, pattern, digests), f"doc_id bigint, {out}")
     return short.unionByName(joined).withColumnRenamed("doc_id", id_col)
@@ -219,5 +244,5 @@ def _decode(path: str, pattern: str):
 
 def decode(encoded: DataFrame, path: str, pattern: str, id_col: str = "doc_id") -> DataFrame:
     """(id, bytes) of each row of packed ids; the bytes of all ids, concatenated."""
-    rows = batches(encoded.select(F.col(id_col).cast("bigint").alias("doc_id"), "ids"))
+    rows = shipped(encoded.select(F.col(id_col).cast("bigint").alias("doc_id"), "ids"))
     return rows.mapInArrow(_decode(path, pattern), "doc_id bigint, bytes binary").withColumnRenamed("doc_id", id_col)

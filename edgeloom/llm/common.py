@@ -7,6 +7,7 @@ import zipfile
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +15,10 @@ from pyspark.sql import functions as F
 _shipped: set[str] = set()
 #: The white space of every contract here: space and tab to carriage return.  bytes.split() has the same six.
 SPACES = r"[\x20\x09-\x0D]+"
+#: Rows of a batch that a Python worker takes up at once.
+ROWS = 512
+#: Partitions that chunks are dealt over at most; beyond it a partition holds several chunks, taken up one by one.
+PARTITIONS = 1 << 14
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,13 +38,31 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(context.applicationId)
 
 
-def batches(df: DataFrame, rows: int = 1000) -> DataFrame:
-    """Hand Python workers at most ``rows`` rows at a time, so that long texts stay within their memory."""
+def shipped(df: DataFrame) -> DataFrame:
+    """The same frame, after seeing to it that Python workers have this package."""
     ship(df.sparkSession)
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     return df
 
 
+def sliced(it: Iterator[pa.RecordBatch], rows: int = ROWS) -> Iterator[pa.RecordBatch]:
+    """Batches (Spark bounds their bytes) in parts of at most ``rows`` rows, without copying."""
+    for batch in it:
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)
+
+
+def runs_of(keys: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    """Each distinct key, ascending, with its places in order; one sort, however many keys there are."""
+    order = np.argsort(keys, kind="stable")
+    distinct, at = np.unique(keys[order], return_index=True)
+    return list(zip(distinct.tolist(), np.split(order, at[1:]))) if len(keys) else []
+
+
+def whole(df: DataFrame, leave: str | None = None) -> Column:
+    """All columns of a frame, but one to ``leave``, as a struct; their names may hold anything."""
+    return F.struct(*[F.col(f"`{c.replace('`', '``')}`") for c in df.columns if c != leave])
+
+
 def bytes_of(column: pa.ChunkedArray | pa.Array) -> list[bytes | None]:
     """UTF-8 bytes of a string column without decoding them."""
     return column.cast(pa.binary()).to_pylist()
@@ -56,28 +79,30 @@ def text_bytes(docs: DataFrame, text: str = "text") -> int:
 
 
 def chunked(docs: DataFrame, id_col: str, text_col: str, bytes_each: int, size: int | None = None, carry: bool = False) -> tuple[DataFrame, int]:
-    """Deal documents by id into chunks of about ``bytes_each`` bytes of text.
+    """Deal documents into chunks of about ``bytes_each`` bytes of text, by a hash of id and text.
 
+    Rows that repeat an id, or have none, thus spread over chunks by their texts; only
+    rows that repeat both stay together.  The hash is of values alone, so that every
+    step, retry and lost executor deals alike.
     Returns (chunk, doc_id, text), and with ``carry`` a struct ``doc`` of all other
-    columns, hash-partitioned by chunk and the number of
-    chunks.  Steps that refer to it in one plan share its single text shuffle.
+    columns, hash-partitioned by chunk, and the number of chunks.  Steps that refer
+    to it in one plan share its single text shuffle.
     """
     ship(docs.sparkSession)
     size = text_bytes(docs, text_col) if size is None else size
     n = max(1, -(-size // bytes_each))
-    others = [F.struct(*[c for c in docs.columns if c != text_col]).alias("doc")] if carry else []
+    others = [whole(docs, text_col).alias("doc")] if carry else []
     dealt = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *others)
-    # Rows without an id spread by their text.
-    dealt = dealt.withColumn("chunk", F.pmod(F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.col("text"))), F.lit(n)).cast("bigint"))
-    return dealt.select("chunk", "doc_id", "text", *["doc"] * carry).repartition(n, "chunk"), n
+    dealt = dealt.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("bigint"))
+    return dealt.select("chunk", "doc_id", "text", *["doc"] * carry).repartition(min(n, PARTITIONS), "chunk"), n
 
 
 def over_batches(fn: Callable[[pa.RecordBatch], pa.RecordBatch | None]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """A mapInArrow function from one that takes a batch."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
-            if batch.num_rows and (out := fn(batch)) is not None:
+        for batch in sliced(it):
+            if (out := fn(batch)) is not None:
                 yield out
 
     return run

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from edgeloom.llm.common import bytes_of, chunked
+from edgeloom.llm.common import bytes_of, chunked, runs_of
 from edgeloom.llm.substring_dedup import mix
 from edgeloom.plans.lineage import cut
 
@@ -224,29 +224,37 @@ def _send(shards: int, folds: int, held: int, depth: int):
     def run(key: tuple, rows: pa.Table) -> pa.Table:
         made, out = Chunk(rows, folds, held, depth), []
         strings, counts = made.strings()
-        shard = _string_shard(strings, shards, depth)
-        for s in np.unique(shard):
-            own = shard == s
-            out.append((int(s), strings[own].tobytes(), _small(counts[own])))
+        for s, own in runs_of(_string_shard(strings, shards, depth)):
+            out.append((s, _packed(strings[own]), _small(counts[own])))
         words, counts = made.words()
-        shard = _word_shard(words, shards)
-        order = np.argsort(shard, kind="stable")
-        for s, own in zip(*_runs(shard[order], order)):
-            out.append((shards + int(s), b"\n".join([words[k] for k in own.tolist()]), _small(counts[own])))
+        for s, own in runs_of(_word_shard(words, shards)):
+            out.append((shards + s, b"\n".join([words[k] for k in own.tolist()]), _small(counts[own])))
         a, b, c = zip(*out)
         return pa.table({"shard": pa.array(a, pa.int64()), "chunk": pa.array([key[0].as_py()] * len(out), pa.int64()), "items": pa.array(b, pa.binary()), "counts": pa.array(c, pa.binary())})
 
     return run
 
 
-def _runs(values: np.ndarray, what: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Distinct sorted values and the parts of ``what`` that belong to each."""
-    distinct, at = np.unique(values, return_index=True)
-    return distinct, np.split(what, at[1:])
+def _packed(codes: np.ndarray) -> bytes:
+    """Ascending codes as the bytes of their differences, after the number of bytes each takes."""
+    steps = np.diff(codes.astype("<i8"), prepend=0).view(np.uint64)
+    sizes = np.ones(len(steps), np.uint8)
+    for k in range(1, 8):
+        sizes += steps >= np.uint64(1 << 8 * k)
+    taken = np.arange(8) < sizes[:, None]
+    return len(codes).to_bytes(4, "little") + sizes.tobytes() + steps.view(np.uint8).reshape(-1, 8)[taken].tobytes()
+
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    n = int.from_bytes(raw[:4], "little")
+    sizes = np.frombuffer(raw, np.uint8, n, 4)
+    steps = np.zeros((n, 8), np.uint8)
+    steps[np.arange(8) < sizes[:, None]] = np.frombuffer(raw, np.uint8, offset=4 + n)
+    return np.cumsum(steps.view("<i8").ravel())
 
 
 def _shard_strings(rows: pa.Table) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    codes = [np.frombuffer(x, np.int64) for x in rows["items"].to_pylist()]
+    codes = [_unpacked(x) for x in rows["items"].to_pylist()]
     return codes, *_summed(codes, [_large(x) for x in rows["counts"].to_pylist()])
 
 
@@ -281,7 +289,7 @@ def _answer(shards: int, depth: int):
             node, n0, n1, below = np.frombuffer(top["top"][0].as_py(), float).reshape(4, -1)
             one = Level(node.astype(np.int64), n0, n1, below)
             p = log10_p(strings, [*subtree(strings, counts, depth), one, one.parents()], depth)
-            out = [p[np.searchsorted(strings, c)].tobytes() for c in codes]
+            out = [p[np.searchsorted(strings, c)].astype(np.float32).tobytes() for c in codes]
         elif chunks:
             asked = [x.split(b"\n") for x in rows["items"].to_pylist()]
             count: Counter = Counter()
@@ -326,16 +334,16 @@ def _score(shards: int, folds: int, held: int, depth: int):
         made = Chunk(rows, folds, held, depth)
         strings, _ = made.strings()
         shard, value = _string_shard(strings, shards, depth), np.zeros(len(strings))
-        for s in np.unique(shard):
-            value[shard == s] = np.frombuffer(got[int(s)], float)
+        for s, own in runs_of(shard):
+            value[own] = np.frombuffer(got[s], np.float32)
         find, score = Finder(strings), np.zeros(len(made.texts))
         for low, high in _blocks(made.texts):
             code, sizes = layout(made.texts[low:high], depth)
             score[low:high] = np.add.reduceat(value[find(code)], np.cumsum(sizes) - sizes)
         words, _ = made.words()
         shard, counts = _word_shard(words, shards), np.zeros(len(words), np.int64)
-        for s in np.unique(shard):
-            counts[shard == s] = _large(got[shards + int(s)])
+        for s, own in runs_of(shard):
+            counts[own] = _large(got[shards + s])
         seen, n_tokens, n_known, base = dict(zip(words, counts.tolist())), [], [], []
         for t in made.texts:
             c = np.array([*map(seen.__getitem__, t.split()), seen[b""]], float)

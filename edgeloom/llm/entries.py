@@ -94,6 +94,28 @@ FROM d LEFT JOIN gathered USING (doc_id)
 """
 
 
+#: Distances between all lines of about the same length; slow, but plain.
+OP4_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, CASE WHEN coalesce(text, '') = '' THEN CAST([] AS VARCHAR[]) ELSE string_split(text, chr(10)) END AS lines FROM documents),
+l AS (SELECT doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS i FROM d),
+f AS (
+  SELECT line, row_number() OVER (ORDER BY doc_id, i) AS k, doc_id, i, strlen(line) AS n FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]')
+  QUALIFY row_number() OVER (PARTITION BY line ORDER BY doc_id, i) = 1),
+pairs AS (
+  SELECT a.k AS a, b.k AS b FROM f a JOIN f b ON a.n >= 12 AND b.n >= 12 AND a.n BETWEEN b.n - 2 AND b.n + 2 AND a.k <> b.k
+  WHERE levenshtein(a.line, b.line) <= 2),
+c(k, least) USING KEY (k) AS (
+  SELECT k, k FROM f
+  UNION SELECT p.b, min(c.least) FROM c JOIN pairs p ON p.a = c.k JOIN recurring.c r ON r.k = p.b WHERE c.least < r.least GROUP BY p.b),
+kept AS (SELECT f.doc_id, f.i FROM f JOIN c USING (k) WHERE c.least = f.k),
+left_over AS (
+  SELECT l.doc_id, l.i, l.line FROM l LEFT JOIN kept USING (doc_id, i) WHERE kept.i IS NOT NULL OR NOT regexp_matches(l.line, '[^\x20\x09-\x0D]')),
+joined AS (SELECT doc_id, count(*) AS n, string_agg(line, chr(10) ORDER BY i) AS text FROM left_over GROUP BY doc_id)
+SELECT d.doc_id, len(lines) AS n_lines, len(lines) - coalesce(n, 0) AS n_removed, sha256(coalesce(joined.text, '')) AS kept_sha256 FROM d LEFT JOIN joined USING (doc_id)
+"""
+
+
 OP6_SQL = """
 WITH RECURSIVE v AS (
   SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
@@ -148,7 +170,13 @@ SELECT doc_id, source, block, n_tokens, round(weight, 9) AS weight, round(a, 9)
 """.replace("LIMIT_", str(MAX_EPOCHS))
 
 
+def _apart(x: str, n: str, y: str, m: str) -> str:
+    pooled = f"(({x} + {y}) / ({n} + {m}))"
+    return f"(abs({x} / {n} - {y} / {m}) > 1.96 * sqrt(greatest({pooled} * (1 - {pooled}), 0) * (1 / {n} + 1 / {m})))"
+
+
 def _op9_sql() -> str:
+    """Written out for paths of up to four segments; the tables have no deeper ones."""
     fits = [(f"host = '{r.host}' OR ends_with(host, '.{r.host}')", r) for r in sorted(rules(RULES), key=lambda r: -len(r.text))]
     case = lambda what: "CASE " + " ".join(f"WHEN ({f}) AND starts_with(path, '{r.path}') THEN '{what(r)}'" for f, r in fits) + " END"
     sql = r"""WITH u AS (
@@ -157,7 +185,7 @@ p AS (SELECT page_id, translate(m.host, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghi
 s AS (SELECT host, path, count(*) AS n, """ + f"{case(lambda r: r.text)} AS rule, {case(lambda r: r.verdict)} AS verdict" + """ FROM p GROUP BY host, path),
 l0 AS (
   SELECT *, CASE WHEN verdict IS NULL THEN 0 ELSE n END AS labelled, CASE WHEN verdict = 'block' THEN n ELSE 0 END AS bad,
-    CASE WHEN len(q) <= 4 THEN q ELSE list_concat(q[1:3], [array_to_string(q[4:], '/')]) END AS parts, '' AS template, '' AS shape
+    q AS parts, q[-1] AS last, '' AS template, '' AS shape
   FROM (SELECT *, string_split(substr(path, 2), '/') AS q FROM s))"""
     for k in range(1, 5):
         sql += f""",
@@ -171,12 +199,15 @@ l{k} AS (
     CASE WHEN len(parts) < {k} THEN shape ELSE shape || CASE WHEN v.host IS NULL THEN '=' ELSE '*' END END AS shape)
   FROM l{k - 1} l LEFT JOIN v{k} v ON l.host = v.host AND l.template = v.template)"""
     return sql + """,
-leaves AS (SELECT host, template, shape, CAST(sum(labelled) AS DOUBLE) AS n, CAST(sum(bad) AS DOUBLE) AS x FROM l4 GROUP BY ALL),
+leaves AS (
+  SELECT host, template, shape, CAST(sum(labelled) AS DOUBLE) AS n, CAST(sum(bad) AS DOUBLE) AS x,
+    CAST(sum(n) AS DOUBLE) AS pages, CAST(count(*) AS DOUBLE) AS paths, CAST(count_if(regexp_matches(last, '^[0-9]+$')) AS DOUBLE) AS numbers FROM l4 GROUP BY ALL),
 lead AS (
-  SELECT host, shape, template AS t, n AS m, x AS y FROM leaves WHERE n > 0
+  SELECT host, shape, template AS t, n AS m, x AS y, pages AS lead_pages, paths AS lead_paths, numbers AS lead_numbers FROM leaves WHERE n > 0
   QUALIFY row_number() OVER (PARTITION BY host, shape ORDER BY n DESC, template DESC) = 1),
 classed AS (
-  SELECT a.*, CASE WHEN n > 0 AND m > 0 AND abs(x / n - y / m) <= 1.96 * sqrt((x + y) / (n + m) * (1 - (x + y) / (n + m)) * (1 / n + 1 / m)) THEN t ELSE template END AS class
+  SELECT a.*, CASE WHEN n > 0 AND m > 0 AND NOT """ + _apart("x", "n", "y", "m") + """
+      OR n = 0 AND m >= 20 AND contains(shape, '*') AND NOT """ + _apart("numbers", "paths", "lead_numbers", "lead_paths") + " AND NOT " + _apart("paths", "pages", "lead_paths", "lead_pages") + """ THEN t ELSE template END AS class
   FROM leaves a LEFT JOIN lead USING (host, shape)),
 share AS (SELECT coalesce(sum(x) / nullif(sum(n), 0), 0) AS share FROM leaves),
 pure AS (SELECT host, class, (sum(x) + 4.0::DOUBLE * any_value(share)) / (sum(n) + 4.0::DOUBLE) AS purity, sum(n) AS l FROM classed, share GROUP BY host, class)
@@ -201,4 +232,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1_SQL, "op2_substring_dedup": OP2_SQL, "op6_embedding_dedup": OP6_SQL, "op8_source_mixing": OP8_SQL, "op9_url_filter": _op9_sql()}
+    return {"op1_exact_dedup": OP1_SQL, "op2_substring_dedup": OP2_SQL, "op4_line_dedup": OP4_SQL, "op6_embedding_dedup": OP6_SQL, "op8_source_mixing": OP8_SQL, "op9_url_filter": _op9_sql()}

@@ -1,21 +1,28 @@
 """Language ID: a bidirectional gated recurrent network over bytes.
 
-A text is read as white-space separated words (ASCII letters folded to lower case;
-a word longer than ``SEGMENT`` bytes goes on in further segments).  Two GRUs read
-each segment's bytes, one from either end, and a softmax over both states labels
-every byte position.  A document pools the positions of its whole text: the mean
-log probability of each language, made to sum to one.  As a segment's labels do
-not depend on the rest of the text, a task computes each distinct one once.
+Two GRUs read a text's bytes (ASCII letters folded to lower case), one from either
+end, across words and white space, and a softmax over both states labels every byte
+position.  A document pools the positions of its whole text: the mean log
+probability of each language, made to sum to one.
+
+So that very long texts neither wait on themselves nor stay in one piece, a text is
+cut into cores of ``CORE`` bytes, and each core is read together with the ``MARGIN``
+bytes before and after it: a state starts from zero that far outside the core (or at
+the text's end).  What a position sees depends on its text alone, so labels are the
+same whatever rows are read with it.
 
 The network is trained in numpy by backpropagation through time, with Adam, on a
-bounded sample: at most ``docs_per_lang`` training documents of each language,
-drawn by hash, and at most ``words_per_doc`` words of each, evenly spread over the
-text.  Only the number of rows per language is counted over the whole table.
+bounded sample of labelled rows: of each language at most ``docs_per_lang`` whole
+texts, distinct, of the least hashes, and no more once they hold ``bytes_per_lang``
+bytes; texts over ``longest`` bytes are drawn only where a language has no others.
+Training always takes the same number of steps.  Only distinct texts per language
+are counted (approximately) over the whole table.
 
 Nulls: a text that is null or has no letter is ``und`` with score 0.  Rows with a
-null lang are never learnt from, and neither are rows of the held-out fold; with
-no training row every text is ``und``.  Ties between languages go to the first in
-order.  Repeated rows get equal results; an empty table gives an empty one.
+null lang are never learnt from, and neither are rows of the held-out fold; with no
+training row every text is ``und``.  A null id counts as empty text when the fold is
+drawn; rows that repeat are one in the sample.  Ties between languages go to the
+first in order.  Repeated rows get equal results; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -28,20 +35,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from edgeloom.llm.common import batches, bytes_of, fold
+from edgeloom.llm.common import bytes_of, fold, shipped, sliced, whole
 
-HIDDEN, SEGMENT = 16, 24
-#: Distinct segments a task remembers before it starts afresh.
-REMEMBERED = 200_000
+HIDDEN, CORE, MARGIN = 16, 112, 16
+#: Windows that are read at once, in use and in training, and the steps of training.
+STRIP, BATCH, TURNS = 2048, 64, 700
 UNKNOWN = "und"
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
-
-
 class Direction:
-    """One GRU.  Parameters: input table by byte (z, r, n), recurrent matrix, biases of the n gate's recurrent part."""
+    """One GRU.  Parameters: input table by byte (z, r, n), recurrent matrix, biases of the recurrent part."""
 
     def __init__(self, rng: np.random.Generator, hidden: int):
         self.x = (rng.standard_normal((256, 3 * hidden)) * 0.3).astype(np.float32)
@@ -51,37 +54,51 @@ class Direction:
     def parameters(self) -> list[np.ndarray]:
         return [self.x, self.u, self.b]
 
-    def run(self, seen: np.ndarray, keep: list | None = None) -> np.ndarray:
-        """States (time, row, hidden) over bytes seen (time, row)."""
+    def run(self, seen: np.ndarray, inside: np.ndarray, keep: list | None = None) -> np.ndarray:
+        """States (time, row, hidden) over bytes seen (time, row); a state outside its text is zero."""
         size = self.u.shape[0]
         h, out = np.zeros((seen.shape[1], size), np.float32), np.empty((*seen.shape, size), np.float32)
+        g, there = np.empty((seen.shape[1], 3 * size), np.float32), inside.astype(np.float32)[:, :, None]
+        all_in = inside.all(axis=1)
         for t, column in enumerate(seen):
-            a, g = self.x[column], h @ self.u + self.b
-            gates = _sigmoid(a[:, : 2 * size] + g[:, : 2 * size])
+            a = self.x[column]
+            np.matmul(h, self.u, out=g)
+            g += self.b
+            gates = a[:, : 2 * size] + g[:, : 2 * size]
+            gates *= 0.5  # a logistic function is a scaled tanh
+            np.tanh(gates, out=gates)
+            gates += 1
+            gates *= 0.5
             z, r, inner = gates[:, :size], gates[:, size:], g[:, 2 * size :]
             n = np.tanh(a[:, 2 * size :] + r * inner)
             if keep is not None:
-                keep.append((h, z, r, inner, n))
+                keep.append((h, z, r, inner.copy(), n))
             h = n + z * (h - n)
+            if not all_in[t]:
+                h *= there[t]
             out[t] = h
         return out
 
-    def back(self, seen: np.ndarray, kept: list, grads: np.ndarray) -> list[np.ndarray]:
+    def back(self, seen: np.ndarray, inside: np.ndarray, kept: list, grads: np.ndarray) -> list[np.ndarray]:
         """Gradients of the parameters, from those of the states, back through time."""
         dx, du, db = (np.zeros_like(p) for p in self.parameters())
-        carry = np.zeros_like(grads[0])
+        carry, steps = np.zeros_like(grads[0]), []
         for t in range(len(seen) - 1, -1, -1):
             h, z, r, inner, n = kept[t]
-            d = grads[t] + carry
+            d = (grads[t] + carry) * inside[t][:, None]
             dn = d * (1 - z) * (1 - n * n)
             dz = d * (h - n) * z * (1 - z)
             dr = dn * inner * r * (1 - r)
-            da = np.concatenate([dz, dr, dn], axis=1)
             dg = np.concatenate([dz, dr, dn * r], axis=1)
-            np.add.at(dx, seen[t], da)
+            steps.append(np.concatenate([dz, dr, dn], axis=1))
             du += h.T @ dg
             db += dg.sum(axis=0)
             carry = d * z + dg @ self.u.T
+        # One sum per byte value.
+        flat = seen[::-1].ravel()
+        order = np.argsort(flat, kind="stable")
+        kinds, at = np.unique(flat[order], return_index=True)
+        dx[kinds] = np.add.reduceat(np.concatenate(steps)[order], at, axis=0)
         return [dx, du, db]
 
 
@@ -100,206 +117,201 @@ class Network:
         self.v = (rng.standard_normal((2 * self.hidden, len(self.labels))) / np.sqrt(2 * self.hidden)).astype(np.float32)
         self.c = np.zeros(len(self.labels), np.float32)
 
-    def states(self, seen: np.ndarray, keep: list | None = None) -> np.ndarray:
+    def parameters(self) -> list[np.ndarray]:
+        return [p for d in self.parts for p in d.parameters()] + [self.v, self.c]
+
+    def states(self, seen: np.ndarray, inside: np.ndarray, keep: list | None = None) -> np.ndarray:
         kept: list[list | None] = [None, None] if keep is None else [[], []]
         if keep is not None:
             keep.extend(kept)
-        ahead, behind = self.parts[0].run(seen, kept[0]), self.parts[1].run(seen[::-1], kept[1])[::-1]
+        ahead = self.parts[0].run(seen, inside, kept[0])
+        behind = self.parts[1].run(seen[::-1], inside[::-1], kept[1])[::-1]
         return np.concatenate([ahead, behind], axis=2)
 
     def log_p(self, states: np.ndarray) -> np.ndarray:
         raw = states @ self.v + self.c
         raw -= raw.max(axis=-1, keepdims=True)
-        return raw - np.log(np.exp(raw).sum(axis=-1, keepdims=True))
+        raw -= np.log(np.exp(raw).sum(axis=-1, keepdims=True))
+        return raw
 
-    def label(self, segments: np.ndarray) -> np.ndarray:
-        """Log probabilities (row, position, label) of segments of one length, (row, position) bytes."""
-        return self.log_p(self.states(np.ascontiguousarray(segments.T))).transpose(1, 0, 2)
+    def label(self, seen: np.ndarray, inside: np.ndarray) -> np.ndarray:
+        """Log probabilities (time, row, label) of every position of windows (time, row)."""
+        return self.log_p(self.states(seen, inside))
 
-    def gradients(self, segments: np.ndarray, targets: np.ndarray) -> list[np.ndarray]:
-        seen, keep = np.ascontiguousarray(segments.T), []
-        states = self.states(seen, keep)
+    def gradients(self, seen: np.ndarray, inside: np.ndarray, counted: np.ndarray, targets: np.ndarray) -> list[np.ndarray]:
+        """Gradients of the mean cross-entropy over the positions counted."""
+        keep: list = []
+        states = self.states(seen, inside, keep)
         d = np.exp(self.log_p(states))
         d[:, np.arange(len(targets)), targets] -= 1
-        d /= d.shape[0] * d.shape[1]
+        d *= counted[:, :, None] / max(1, counted.sum())
+        d = d.astype(np.float32)
         ds, h = d @ self.v.T, self.hidden
-        first = self.parts[0].back(seen, keep[0], ds[..., :h])
-        second = self.parts[1].back(seen[::-1], keep[1], ds[::-1, :, h:])
+        first = self.parts[0].back(seen, inside, keep[0], ds[..., :h])
+        second = self.parts[1].back(seen[::-1], inside[::-1], keep[1], ds[::-1, :, h:])
         return [*first, *second, np.einsum("tbi,tbj->ij", states, d), d.sum(axis=(0, 1))]
 
-    def fit(self, segments: list[bytes], targets: np.ndarray, seen: int = 90_000, size: int = 256, rate: float = 0.01) -> None:
-        """Adam over batches of segments of one length, for three epochs or, with few segments, as many as show about ``seen`` of them (twelve at most)."""
-        epochs = max(3, min(12, seen // max(1, len(segments))))
+    def fit(self, texts: list[bytes], targets: np.ndarray, rate: float = 0.01) -> None:
+        """Adam for ``TURNS`` steps of ``BATCH`` windows, which go round over all windows of the texts."""
         rng = np.random.default_rng(self.seed)
-        parameters = [p for d in self.parts for p in d.parameters()] + [self.v, self.c]
-        one, two, step = [np.zeros_like(p) for p in parameters], [np.zeros_like(p) for p in parameters], 0
-        lengths = np.array([len(s) for s in segments])
-        for epoch in range(epochs):
-            order = rng.permutation(len(segments))
-            order = order[np.argsort(lengths[order], kind="stable")]
-            cuts = np.unique(np.concatenate([np.flatnonzero(np.diff(lengths[order])) + 1, np.arange(0, len(order), size)]))
-            groups = [g for g in np.split(order, cuts) if len(g) > 7 or len(segments) < 1000 and len(g)]
-            for k in rng.permutation(len(groups)):
-                rows = np.frombuffer(b"".join([segments[i] for i in groups[k]]), np.uint8).reshape(len(groups[k]), -1)
-                step += 1
-                pace = rate * 0.3 ** (3 * epoch / epochs) * np.sqrt(1 - 0.999**step) / (1 - 0.9**step)
-                for p, a, b, g in zip(parameters, one, two, self.gradients(rows, targets[groups[k]]), strict=True):
-                    a += 0.1 * (g - a)
-                    b += 0.001 * (g * g - b)
-                    p -= pace * a / (np.sqrt(b) + 1e-8)
-
-
-def segments_of(text: bytes) -> list[bytes]:
-    """Whole words, and SEGMENT-byte parts of longer ones."""
-    words = text.lower().split()
-    if max(map(len, words), default=0) <= SEGMENT:
-        return words
-    return [w[k : k + SEGMENT] for w in words for k in range(0, len(w), SEGMENT)]
-
-
-class Reader:
-    """Pools documents with a trained network, remembering the segments it has labelled."""
-
-    def __init__(self, net: Network):
-        self.net, self.place, self.rows, self.free = net, {}, np.zeros((1 << 12, len(net.labels) + 1)), 0
-
-    def _learn(self, new: list[bytes]) -> None:
-        if self.free + len(new) > REMEMBERED:
-            self.place.clear()
-            self.free = 0
-        while self.free + len(new) > len(self.rows):
-            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-        by_length: dict[int, list[bytes]] = {}
-        for s in new:
-            by_length.setdefault(len(s), []).append(s)
-        for length, group in by_length.items():
-            for low in range(0, len(group), 4096):
-                part = group[low : low + 4096]
-                bytes_ = np.frombuffer(b"".join(part), np.uint8).reshape(len(part), length)
-                rows = self.rows[self.free : self.free + len(part)]
-                rows[:, :-1] = self.net.label(bytes_).sum(axis=1)
-                rows[:, -1] = length
-                self.place.update(zip(part, range(self.free, self.free + len(part))))
-                self.free += len(part)
-
-    def pool(self, texts: list[bytes]) -> np.ndarray:
-        """Probabilities (text, language); texts without bytes get equal ones."""
-        split = [segments_of(t) for t in texts]
-        wanted: set[bytes] = set()
-        for s in split:
-            wanted.update(s)
-        if not wanted <= self.place.keys():
-            if self.free + len(wanted) > REMEMBERED:
-                self.place.clear()
-                self.free = 0
-            self._learn(sorted(wanted - self.place.keys()))
-        total = np.zeros((len(texts), self.rows.shape[1]))
-        for k, s in enumerate(split):
-            if s:
-                total[k] = self.rows[np.fromiter(map(self.place.__getitem__, s), np.int64, len(s))].sum(axis=0)
-        mean = total[:, :-1] / np.maximum(total[:, -1:], 1)
-        p = np.exp(mean - mean.max(axis=1, keepdims=True))
-        return p / p.sum(axis=1, keepdims=True)
+        made = Windows(texts)
+        target = targets[made.doc]
+        parameters = self.parameters()
+        one, two = [np.zeros_like(p) for p in parameters], [np.zeros_like(p) for p in parameters]
+        queue = np.zeros(0, np.int64)
+        for step in range(1, TURNS + 1):
+            while len(queue) < BATCH:
+                queue = np.concatenate([queue, rng.permutation(len(target))])
+            own, queue = queue[:BATCH], queue[BATCH:]
+            pace = rate * 0.03 ** (step / TURNS) * np.sqrt(1 - 0.999**step) / (1 - 0.9**step)
+            for p, a, b, g in zip(parameters, one, two, self.gradients(*made.rows(own), target[own]), strict=True):
+                a += 0.1 * (g - a)
+                b += 0.001 * (g * g - b)
+                p -= pace * a / (np.sqrt(b) + 1e-8)
+
+
+class Windows:
+    """The windows of texts: each core with its margins.  doc: the text of each window."""
+
+    def __init__(self, texts: list[bytes]):
+        sizes = np.array([len(t) for t in texts], np.int64)
+        cores = -(-sizes // CORE)
+        self.raw = np.frombuffer(b"".join(texts).lower(), np.uint8)
+        first = np.cumsum(sizes) - sizes
+        self.doc = np.repeat(np.arange(len(texts)), cores)
+        k = np.arange(int(cores.sum())) - np.repeat(np.cumsum(cores) - cores, cores)
+        begin, end = first[self.doc], (first + sizes)[self.doc]
+        self.core = begin + k * CORE
+        self.stop = np.minimum(self.core + CORE, end)
+        self.low, self.high = np.maximum(self.core - MARGIN, begin), np.minimum(self.stop + MARGIN, end)
+
+    def rows(self, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(bytes, is it in the window, is it in the core) of windows, each (time, row)."""
+        at = self.low[own] + np.arange(int((self.high - self.low)[own].max(initial=0)))[:, None]
+        inside = at < self.high[own]
+        counted = inside & (at >= self.core[own]) & (at < self.stop[own])
+        return self.raw[np.minimum(at, len(self.raw) - 1)], inside, counted
+
+    def strips(self) -> Iterator[np.ndarray]:
+        """All windows, those of like length together."""
+        order = np.argsort(self.high - self.low, kind="stable")
+        for k in range(0, len(order), STRIP):
+            yield order[k : k + STRIP]
+
+
+def pool(net: Network, texts: list[bytes]) -> np.ndarray:
+    """Probabilities (text, language); texts without bytes get equal ones."""
+    total, made = np.zeros((len(texts), len(net.labels))), Windows(texts)
+    for own in made.strips():
+        seen, inside, counted = made.rows(own)
+        np.add.at(total, made.doc[own], np.where(counted[:, :, None], net.label(seen, inside), 0).sum(axis=0, dtype=float))
+    mean = total / np.maximum([[len(t)] for t in texts], 1) if texts else total
+    p = np.exp(mean - mean.max(axis=1, keepdims=True))
+    return p / p.sum(axis=1, keepdims=True)
 
 
 def has_letter(text: str) -> bool:
     return any(map(str.isalpha, text))
 
 
+#: Bytes of text that are laid out at once.
+HELD = 4 << 20
+
+
+def _answers(net: Network | None, batch: pa.RecordBatch) -> tuple[list[str], np.ndarray]:
+    """(lang_pred, score) of a batch's texts."""
+    column = batch.column("text")
+    lettered = np.array([t is not None and has_letter(t) for t in column.to_pylist()], bool)
+    if net is None or not len(lettered):
+        return [UNKNOWN] * len(lettered), np.zeros(len(lettered))
+    texts = [t if x else b"" for t, x in zip(bytes_of(column), lettered.tolist())]
+    parts, low, size = [], 0, 0
+    for k, t in enumerate(texts):
+        size += len(t)
+        if size >= HELD or k == len(texts) - 1:
+            parts.append(pool(net, texts[low : k + 1]))
+            low, size = k + 1, 0
+    p = np.concatenate(parts)
+    best = p.argmax(axis=1)
+    return [net.labels[k] if x else UNKNOWN for k, x in zip(best.tolist(), lettered.tolist())], np.where(lettered, p[np.arange(len(p)), best], 0.0)
+
+
 def _predict(net: Network | None):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = Reader(net) if net else None
-        for batch in it:
-            column = batch.column("text")
-            texts = [t or b"" for t in bytes_of(column)]
-            lettered = np.array([t is not None and has_letter(t) for t in column.to_pylist()], bool)
-            if reader is None:
-                names, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
-            else:
-                p = reader.pool([t if x else b"" for t, x in zip(texts, lettered.tolist())])
-                best = p.argmax(axis=1) if len(p) else np.zeros(0, int)
-                names = [reader.net.labels[k] if x else UNKNOWN for k, x in zip(best.tolist(), lettered.tolist())]
-                score = np.where(lettered, p[np.arange(len(p)), best], 0.0)
-            rest = {k: batch.column(k) for k in batch.schema.names if k != "text"}
-            yield pa.record_batch(rest | {"lang_pred": pa.array(names, pa.string()), "score": pa.array(score, pa.float64())})
+        for batch in sliced(it):
+            names, score = _answers(net, batch)
+            yield pa.record_batch({k: batch.column(k) for k in batch.schema.names if k != "text"} | {"lang_pred": pa.array(names, pa.string()), "score": pa.array(score, pa.float64())})
 
     return run
 
 
-def _spread_words(words_per_doc: int):
+def _keep(net: Network | None, least: float):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
-            out = []
-            for t in bytes_of(batch.column("text")):
-                words = segments_of(t or b"")
-                out.append(words[:: max(1, -(-len(words) // words_per_doc))])
-            yield pa.record_batch({"lang": batch.column("lang"), "draw": batch.column("draw"), "doc_id": batch.column("doc_id"), "words": pa.array(out, pa.list_(pa.binary()))})
+        for batch in sliced(it):
+            names, score = _answers(net, batch)
+            yield batch.select(["row"]).filter(pa.array([n != UNKNOWN and s >= least for n, s in zip(names, score.tolist())], pa.bool_()))
 
     return run
 
 
-def train(docs: DataFrame, id_col: str, text_col: str, lang_col: str, folds: int, held: int, docs_per_lang: int, words_per_doc: int) -> Network | None:
-    """The network learnt from the training fold, or None if it has no labelled row."""
-    draws = 1 << 30
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold(F.col("doc_id"), folds) != held))
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+def train(docs: DataFrame, id_col: str, text_col: str, lang_col: str, folds: int, held: int, docs_per_lang: int, bytes_per_lang: int, longest: int) -> Network | None:
+    """The network learnt from the training fold, or None if it has no labelled row.
+
+    The network has an output for each language, so languages are few by nature; the driver
+    holds one row of figures for each and about three times ``docs_per_lang`` texts.
+    """
+    draws = 1 << 40
+    rows = docs.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"), F.col(id_col).cast("bigint").alias("doc_id"))
+    rows = rows.where(F.col("lang").isNotNull() & (F.octet_length("text") > 0) & (fold(F.col("doc_id"), folds) != held))
+    rows = rows.select("text", "lang", F.pmod(F.xxhash64("text"), F.lit(draws)).alias("draw"), (F.octet_length("text") > longest).alias("is_long"))
+    short, long = F.approx_count_distinct(F.when(~F.col("is_long"), F.col("draw"))), F.approx_count_distinct(F.when(F.col("is_long"), F.col("draw")))
+    counts = {r["lang"]: (r["short"], r["long"]) for r in rows.groupBy("lang").agg(short.alias("short"), long.alias("long")).collect()}
     if not counts:
         return None
-    # About twice the bound of each language by hash; the driver takes the lowest draws of them.
-    share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(draws, draws * 2 * docs_per_lang // n + 1))])
-    drawn = rows.withColumn("draw", F.pmod(F.xxhash64("doc_id"), F.lit(draws))).where(F.col("draw") < share[F.col("lang")])
-    got = batches(drawn.select("lang", "draw", "doc_id", "text")).mapInArrow(_spread_words(words_per_doc), "lang string, draw bigint, doc_id bigint, words array<binary>").collect()
-    labels, segments, targets = sorted(counts), [], []
+    # Two to three times the bound of each language, by hash; the driver takes the least of them.
+    bound = lambda n: min(draws, draws * (2 * docs_per_lang + 40) // max(1, n))
+    of = F.create_map(*[F.lit(x) for lang, (short, long) in counts.items() for x in (lang, bound(short or long))])
+    wanted = F.create_map(*[F.lit(x) for lang, (short, _) in counts.items() for x in (lang, short == 0)])
+    drawn = rows.where((F.col("draw") < of[F.col("lang")]) & (F.col("is_long") == wanted[F.col("lang")]))
+    got = drawn.groupBy("lang", "draw").agg(F.min("text").alias("text")).collect()
+    labels, texts, targets = sorted(counts), [], []
     for k, lang in enumerate(labels):
-        own = sorted((r for r in got if r["lang"] == lang), key=lambda r: (r["draw"], r["doc_id"] is None, r["doc_id"]))[:docs_per_lang]
-        words = [bytes(w) for r in own for w in r["words"]]
-        segments += words
-        targets += [k] * len(words)
+        size = 0
+        for r in sorted((r for r in got if r["lang"] == lang), key=lambda r: r["draw"])[:docs_per_lang]:
+            if size >= bytes_per_lang:
+                break
+            texts.append(r["text"].encode())
+            targets.append(k)
+            size += len(texts[-1])
     net = Network(labels)
-    if segments:
-        net.fit(segments, np.array(targets))
+    net.fit(texts, np.array(targets))
     return net
 
 
-def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 3, held: int = 1, docs_per_lang: int = 300, words_per_doc: int = 60) -> DataFrame:
-    """One row per row of ``docs``: its id, held_out, lang_pred and score (the pooled probability of lang_pred)."""
-    net = train(docs, id_col, text_col, lang_col, folds, held, docs_per_lang, words_per_doc)
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = rows.select("doc_id", (fold(F.col("doc_id"), folds) == held).alias("held_out"), "text")
-    out = batches(rows).mapInArrow(_predict(net), "doc_id bigint, held_out boolean, lang_pred string, score double")
-    return out.withColumnRenamed("doc_id", id_col)
+#: The bounds of the training sample: rows and bytes of a language, and the longest text that is drawn where there are others.
+SAMPLE = {"docs_per_lang": 300, "bytes_per_lang": 1 << 19, "longest": 1 << 16}
 
 
-def keep_known(docs: DataFrame, least: float = 0.0, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **options) -> DataFrame:
-    """The rows of ``docs`` whose text has a language with a score over ``least``; all columns as they are.
+def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 3, held: int = 1, **sample: int) -> DataFrame:
+    """One row per row of ``docs``: its id, held_out, lang_pred and score (the pooled probability of lang_pred).
 
-    The rows are labelled in place, so texts do not move and repeated ids need no join.
+    sample: other bounds than those of ``SAMPLE``.
     """
-    settings = {"folds": 3, "held": 1, "docs_per_lang": 300, "words_per_doc": 60} | options
-    net = train(docs, id_col, text_col, lang_col, **settings)
-    names = docs.columns
-    packed = docs.select(F.struct(*names).alias("row"), F.col(text_col).cast("string").alias("text"))
-    said = batches(packed).mapInArrow(_predict_rows(net, least), packed.select("row").schema)
-    return said.select("row.*")
-
-
-def _predict_rows(net: Network | None, least: float):
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, said in _paired(it, net):
-            mask = pa.array([n != UNKNOWN and s > least for n, s in zip(said.column("lang_pred").to_pylist(), said.column("score").to_pylist())], pa.bool_())
-            yield batch.select(["row"]).filter(mask)
-
-    return run
-
+    net = train(docs, id_col, text_col, lang_col, folds, held, **(SAMPLE | sample))
+    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = rows.select("doc_id", (fold(F.col("doc_id"), folds) == held).alias("held_out"), "text")
+    out = shipped(rows).mapInArrow(_predict(net), "doc_id bigint, held_out boolean, lang_pred string, score double")
+    return out.withColumnRenamed("doc_id", id_col)
 
-def _paired(it: Iterator[pa.RecordBatch], net: Network | None):
-    held: list[pa.RecordBatch] = []
 
-    def texts():
-        for batch in it:
-            held.append(batch)
-            yield batch.select(["text"])
+def keep_known(docs: DataFrame, least: float, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 3, held: int = 1, **sample: int) -> DataFrame:
+    """The rows of ``docs`` whose text has a language with a score of ``least`` or more; all columns as they are.
 
-    for said in _predict(net)(texts()):
-        yield held.pop(), said
+    The rows are labelled in place, so texts do not move and repeated ids need no
+    join.  Without a labelled row to learn from nothing can be rejected: texts with a letter stay.
+    """
+    net = train(docs, id_col, text_col, lang_col, folds, held, **(SAMPLE | sample))
+    if net is None:
+        return docs.where(F.coalesce(F.col(text_col).cast("string").rlike(r"\p{L}"), F.lit(False)))
+    packed = docs.select(whole(docs).alias("row"), F.col(text_col).cast("string").alias("text"))
+    return shipped(packed).mapInArrow(_keep(net, least), packed.select("row").schema).select("row.*")

@@ -1,9 +1,11 @@
 """Line dedup: a segment-partition edit join over distinct lines.
 
-Lines are what newlines separate; lines under ``min_bytes`` bytes always stay.  Two
-lines are linked at an edit distance of at most ``edits`` (in UTF-8 bytes, equal
-lines at 0); of each group of linked lines the first occurrence, in (doc_id, line)
-order over the whole table, stays and all others are removed from their documents.
+Lines are what newlines separate; blank ones (white space only) always stay.  Two
+lines of at least ``min_bytes`` bytes are linked at an edit distance of at most
+``edits`` (in UTF-8 bytes), shorter ones only if they are equal, as a few edits make
+any short line of another.  Of each group of linked lines the first occurrence, in
+(doc_id, line) order over the whole table, stays and all others are removed from their
+documents.
 
 Documents are dealt into chunks once; the rounds share that shuffle and answer
 chunk by chunk, so that texts do not move again.
@@ -23,8 +25,10 @@ chunk by chunk, so that texts do not move again.
    the documents without them.
 
 Hot lines cost one entry per chunk.  Nulls: null and empty texts have no lines.  A
-null doc_id sorts last.  Rows that repeat a doc_id are ordered by their text, and
-the later one loses the lines they share.  An empty table gives an empty result.
+null doc_id sorts last.  Where rows repeat a doc_id (or have none) and hold a line at
+the same place, the chunk they are dealt to, a hash of id and text, and then their
+text decide which is first; one of them keeps it.  An empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -36,13 +40,14 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from edgeloom.llm.common import bytes_of, chunked, text_bytes
 from edgeloom.operators.stars import components
 from edgeloom.plans.lineage import cut
 
 #: Text bytes to a shard, and lines to a side of a verified block.
-SHARD_BYTES, BLOCK = 8 << 20, 128
+SHARD_BYTES, BLOCK = 8 << 20, 256
 LAST = np.iinfo(np.int64).max
 HASHES = "shard bigint, chunk bigint, h1 binary, h2 binary, docs binary, lines binary"
 KEYS = "shard bigint, chunk bigint, index binary, probe binary"
@@ -154,16 +159,20 @@ def _least(score: int, up: int, down: int, width: int) -> int:
 
 
 class Chunk:
-    """A chunk's documents in order, their lines, and the distinct ones long enough to compare."""
+    """A chunk's documents in order, their lines, and the distinct ones that are not blank with their first places."""
 
-    def __init__(self, rows: pa.Table, least: int):
+    def __init__(self, rows: pa.Table):
         self.rows = rows.sort_by([("doc_id", "ascending"), ("text", "ascending")])
         self.split = [t.split(b"\n") if t else [] for t in bytes_of(self.rows["text"])]
         self.ids = self.rows["doc_id"].fill_null(LAST).to_numpy()
         place: dict[bytes, tuple[int, int]] = {}
         for k, lines in enumerate(self.split):
             for i, line in enumerate(lines):
-                if len(line) >= least and line not in place:
+                first = place.get(line)
+                if first is None:
+                    if line.strip():
+                        place[line] = (k, i)
+                elif i < first[1] and self.ids[k] == self.ids[first[0]]:
                     place[line] = (k, i)
         self.place, self.lines = place, list(place)
         whole = [xxhash.xxh3_128_intdigest(x) for x in self.lines]
@@ -185,9 +194,9 @@ def _table(key: tuple, shards: list[int], **blobs: list[bytes]) -> pa.Table:
     return pa.table({"shard": pa.array(shards, pa.int64()), "chunk": pa.array([key[0].as_py()] * len(shards), pa.int64())} | {k: pa.array(v, pa.binary()) for k, v in blobs.items()})
 
 
-def _hashes(least: int, shards: int):
+def _hashes(shards: int):
     def run(key: tuple, rows: pa.Table) -> pa.Table:
-        made = Chunk(rows, least)
+        made = Chunk(rows)
         out = [(s, *(x[own].tobytes() for x in (made.h1, made.h2, made.docs, made.at))) for s, own in _shards(made.h1, shards)]
         s, h1, h2, docs, lines = zip(*out) if out else [()] * 5
         return _table(key, list(s), h1=h1, h2=h2, docs=docs, lines=lines)
@@ -203,7 +212,8 @@ def _said(kind: int, shard: int, chunks: list[int], bits: list[np.ndarray]) -> p
 def _firsts(key: tuple, rows: pa.Table) -> pa.Table:
     blobs = [[np.frombuffer(x, t) for x in rows[k].to_pylist()] for k, t in (("h1", np.uint64), ("h2", np.uint64), ("docs", np.int64), ("lines", np.int64))]
     h1, h2, docs, lines = (np.concatenate(b) for b in blobs)
-    order = np.lexsort((lines, docs, h2, h1))
+    chunk = np.repeat(rows["chunk"].to_numpy(), [len(x) for x in blobs[0]])
+    order = np.lexsort((chunk, lines, docs, h2, h1))
     first = np.ones(len(h1), bool)
     first[order[1:]] = (h1[order[1:]] != h1[order[:-1]]) | (h2[order[1:]] != h2[order[:-1]])
     return _said(0, key[0].as_py(), rows["chunk"].to_pylist(), np.split(first, np.cumsum([len(x) for x in blobs[0]])[:-1]))
@@ -221,12 +231,12 @@ def _first_lines(made: Chunk, answers: pa.Table, shards: int) -> np.ndarray:
 
 
 def _keys_of(made: Chunk, first: np.ndarray, edits: int, least: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Index and probe keys of the first lines: (keys, line of each)."""
+    """Index and probe keys of the first lines long enough for edits: (keys, line of each)."""
     out = []
     for keys_of in (lambda x: index_keys(x, edits), lambda x: probe_keys(x, edits, least)):
         keys, line = [], []
         for k in np.flatnonzero(first).tolist():
-            own = keys_of(made.lines[k])
+            own = keys_of(made.lines[k]) if len(made.lines[k]) >= least else []
             keys += own
             line += [k] * len(own)
         out.append((np.array(keys, np.uint64), np.array(line, np.int64)))
@@ -237,7 +247,7 @@ def _ask(least: int, shards: int, edits: int):
     def run(key: tuple, rows: pa.Table, answers: pa.Table) -> pa.Table:
         if not rows.num_rows:
             return _table(key, [], index=[], probe=[])
-        made = Chunk(rows, least)
+        made = Chunk(rows)
         index: dict[int, bytes] = {}
         probe: dict[int, bytes] = {}
         for part, (keys, _) in zip((index, probe), _keys_of(made, _first_lines(made, answers, shards), edits, least)):
@@ -267,7 +277,7 @@ def _live(least: int, shards: int, edits: int):
     def run(key: tuple, rows: pa.Table, answers: pa.Table) -> pa.Table:
         out: dict[str, list] = {k: [] for k in ("chunk", "key", "index", "node", "doc_id", "line", "text", "bits")}
         if rows.num_rows:
-            made = Chunk(rows, least)
+            made = Chunk(rows)
             first, said = _first_lines(made, answers, shards), _bits(answers, 1)
             parts = _keys_of(made, first, edits, least)
             lives = [np.zeros(len(keys), bool) for keys, _ in parts]
@@ -314,16 +324,16 @@ def _verify(edits: int):
     return run
 
 
-def _remove(least: int, texts: bool, carried: list[str]):
+def _remove(texts: bool, carried: list[str]):
     def run(key: tuple, rows: pa.Table, told: pa.Table) -> pa.Table:
-        made = Chunk(rows, least)
+        made = Chunk(rows)
         bits = next((b for b in told["bits"].to_pylist() if b is not None), b"")
         first = np.unpackbits(np.frombuffer(bits, np.uint8), count=len(made.lines)).astype(bool)
         lost = np.isin(made.h1.view(np.int64), np.array([x for x in told["node"].to_pylist() if x is not None], np.int64))
         stays = dict(zip(made.lines, (first & ~lost).tolist()))
         kept, n_lines, n_removed = [], [], []
         for k, lines in enumerate(made.split):
-            own = [x for i, x in enumerate(lines) if len(x) < least or (stays[x] and made.place[x] == (k, i))]
+            own = [x for i, x in enumerate(lines) if (s := stays.get(x)) is None or (s and made.place[x] == (k, i))]
             kept.append(b"\n".join(own))
             n_lines.append(len(lines))
             n_removed.append(len(lines) - len(own))
@@ -337,6 +347,7 @@ def _remove(least: int, texts: bool, carried: list[str]):
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = 2, min_bytes: int = 12, chunk_bytes: int = 8 << 20, texts: bool = False, carry: bool = False) -> DataFrame:
     """One row per row of ``docs``: its id, n_lines, n_removed, kept_sha256.
 
+    min_bytes: the length from which lines are linked by edits; shorter ones are by equality.
     With ``texts`` also kept_text; with ``carry`` also ``doc``, a struct of the row's other columns.
     """
     if min_bytes <= edits:
@@ -345,7 +356,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     shards = max(1, -(-size // SHARD_BYTES))
     dealt, _ = chunked(docs, id_col, text_col, chunk_bytes, size, carry)
     by_chunk = lambda df: df.groupBy("chunk")
-    firsts = by_chunk(dealt).applyInArrow(_hashes(min_bytes, shards), HASHES).groupBy("shard").applyInArrow(_firsts, ANSWER)
+    firsts = by_chunk(dealt).applyInArrow(_hashes(shards), HASHES).groupBy("shard").applyInArrow(_firsts, ANSWER)
     asked = by_chunk(dealt).cogroup(by_chunk(firsts)).applyInArrow(_ask(min_bytes, shards, edits), KEYS)
     met = asked.groupBy("shard").applyInArrow(_meet, ANSWER)
     live = cut(by_chunk(dealt).cogroup(by_chunk(firsts.unionByName(met))).applyInArrow(_live(min_bytes, shards, edits), LIVE), "lines")
@@ -363,6 +374,8 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     winner = places.groupBy("component").agg(F.min_by("node", F.struct("doc_id", "line", "node")).alias("winner"))
     lost = places.join(winner, "component").where("node <> winner").select("chunk", "node", F.lit(None).cast("binary").alias("bits"))
     told = live.where("key is null").select("chunk", F.lit(None).cast("bigint").alias("node"), "bits").unionByName(lost)
-    kinds = {"doc": dict(dealt.dtypes)["doc"]} if carry else {}
-    out = "".join(f"{k} {v}, " for k, v in kinds.items()) + "doc_id bigint, n_lines bigint, n_removed bigint, kept_sha256 string" + ", kept_text string" * texts
-    return by_chunk(dealt).cogroup(by_chunk(told)).applyInArrow(_remove(min_bytes, texts, list(kinds)), out).withColumnRenamed("doc_id", id_col)
+    kinds = ["doc"] if carry else []
+    out = T.StructType([dealt.schema[k] for k in kinds])
+    for name, kind in [("doc_id", T.LongType()), ("n_lines", T.LongType()), ("n_removed", T.LongType()), ("kept_sha256", T.StringType())] + [("kept_text", T.StringType())] * texts:
+        out = out.add(name, kind)
+    return by_chunk(dealt).cogroup(by_chunk(told)).applyInArrow(_remove(texts, kinds), out).withColumnRenamed("doc_id", id_col)

@@ -35,13 +35,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from edgeloom.llm.common import batches
-from edgeloom.operators.stars import component_least, components
+from edgeloom.llm.common import ROWS, shipped
+from edgeloom.operators.stars import SALTS, component_least, components
 from edgeloom.plans.lineage import cut
 
 #: Residents and candidates of a block; rows of a block compared at once.
 HOME, RIGHT, STRIP = 2048, 8192, 256
-SLACK = 1e-9
+#: Allowed for rounding: of a distance (a root, so that 1e-16 in its square is 1e-8 near 0), and of a cosine.
+SLACK, CLOSE = 1e-7, 1e-9
+#: Vectors that are placed into cells together, with one copy of their label's pivots.
+PLACED = 1 << 15
 
 
 def unit(vectors: list) -> np.ndarray:
@@ -63,25 +66,25 @@ def cells_of(x: np.ndarray, pivots: np.ndarray, r: float) -> tuple[np.ndarray, n
 
 
 def _assign(r: float):
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
-            groups, pivots = batch.column("grp").to_pylist(), batch.column("pivots")
-            vectors, by_group = batch.column("vec").to_pylist(), {}
-            for k, g in enumerate(groups):
-                by_group.setdefault(g, []).append(k)
-            rows, cell, home = [], [], []
-            for own in by_group.values():
-                centres = pivots[own[0]].as_py()
-                if not centres:
-                    at, copied = np.zeros(len(own), int), np.zeros((len(own), 1), bool)
-                else:
-                    at, copied = cells_of(unit([vectors[k] for k in own]), unit(centres), r)
-                out, to = np.nonzero(copied)
-                rows += own + [own[k] for k in out.tolist()]
-                cell += at.tolist() + to.tolist()
-                home += [True] * len(own) + [False] * len(out)
-            took = pa.array(rows, pa.int64())
-            yield pa.record_batch({k: batch.column(k).take(took) for k in ("grp", "node", "n", "vec")} | {"cell": pa.array(cell, pa.int32()), "home": pa.array(home, pa.bool_())})
+    """Vectors of one label with the cells they live in and those they are copied to."""
+
+    def parts(rows: pa.Table, centres: pa.Table) -> Iterator[pa.Table]:
+        pivots = unit(centres["centre"].to_pylist()) if centres.num_rows else None
+        for k in range(0, rows.num_rows, ROWS):
+            part = rows.slice(k, ROWS)
+            n = part.num_rows
+            if pivots is None:
+                at, copied = np.zeros(n, int), np.zeros((n, 1), bool)
+            else:
+                at, copied = cells_of(unit(part["vec"].to_pylist()), pivots, r)
+            out, to = np.nonzero(copied)
+            took = pa.array(np.concatenate([np.arange(n), out]))
+            yield pa.table({c: part[c].take(took) for c in ("grp", "node", "n", "vec")} | {"cell": pa.array(np.concatenate([at, to]), pa.int32()), "home": pa.array(np.arange(n + len(out)) < n)})
+
+    def run(key: tuple, rows: pa.Table, centres: pa.Table) -> pa.Table:
+        made = list(parts(rows, centres))
+        empty = pa.table({"grp": pa.array([], pa.string()), "node": pa.array([], pa.int64()), "n": pa.array([], pa.int64()), "vec": pa.array([], pa.list_(pa.float64())), "cell": pa.array([], pa.int32()), "home": pa.array([], pa.bool_())})
+        return pa.concat_tables(made) if made else empty
 
     return run
 
@@ -113,7 +116,7 @@ def _join(least: float):
             own = left[low : low + STRIP]
             cosine = x[own] @ x[right].T
             hit = cosine >= least
-            for i, j in zip(*np.nonzero(np.abs(cosine - least) < SLACK)):  # sums in another order might fall on the other side
+            for i, j in zip(*np.nonzero(np.abs(cosine - least) < CLOSE)):  # sums in another order might fall on the other side
                 a, b = (np.array(rows["vec"][int(k)].as_py(), float) for k in (own[i], right[j]))
                 hit[i, j] = float(a @ b) / (float(np.sqrt(a @ a)) * float(np.sqrt(b @ b))) >= least
             hit[node[own][:, None] == node[right][None, :]] = False
@@ -130,10 +133,10 @@ def _join(least: float):
     return run
 
 
-def metric_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", least: float = 0.98, cell_rows: int = 4096, max_pivots: int = 16) -> DataFrame:
+def metric_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", least: float = 0.98, cell_rows: int = 4096) -> DataFrame:
     """One row per row of ``vectors``: its id, n_links, component_id and kept.
 
-    A label has about one pivot to ``cell_rows`` distinct vectors, about ``max_pivots`` at most.
+    A label has about one pivot to ``cell_rows`` distinct vectors.
     """
     r = float(np.sqrt(2 - 2 * least))
     rows = vectors.select(F.col(id_col).cast("bigint").alias("vec_id"), F.col(label_col).cast("string").alias("label"), F.col(vector_col).cast("array<double>").alias("vec"))
@@ -141,14 +144,16 @@ def metric_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     usable = F.col("label").isNotNull() & F.col("vec").isNotNull() & (F.size("vec") > 0) & ~bad & F.exists("vec", lambda x: x != 0)
     rows = rows.withColumn("ok", F.coalesce(usable, F.lit(False))).withColumn("grp", F.concat_ws(":", F.size("vec"), F.col("label")))
     distinct = rows.where("ok").groupBy("grp", "vec").agg(F.min("vec_id").alias("first_id"), F.count("*").alias("n"))
-    # A node needs a number even where all its ids are null; it is written down to stay the same.
-    nodes = cut(distinct.withColumn("node", F.coalesce("first_id", -1 - F.monotonically_increasing_id())), "nodes")
-    sizes = nodes.groupBy("grp").agg(F.count("*").alias("size"))
-    wanted = F.least(F.lit(max_pivots), F.ceil(F.col("size") / cell_rows))
+    # A node is a distinct vector, numbered by its place and not by its ids, which may repeat or be null; written down to stay the same.
+    nodes = cut(distinct.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    sizes = nodes.groupBy("grp").agg(F.count("*").alias("size"), F.ceil(F.count("*") / PLACED).alias("lots"))
+    wanted = F.ceil(F.col("size") / cell_rows)
     draw = F.pmod(F.xxhash64("node"), F.lit(1 << 30)) / float(1 << 30)
-    pivots = nodes.join(sizes, "grp").where((wanted > 1) & (draw < wanted / F.col("size"))).groupBy("grp").agg(F.collect_list("vec").alias("pivots"))
-    placed = batches(nodes.join(pivots, "grp", "left").select("grp", "node", "n", "vec", "pivots")).mapInArrow(_assign(r), "grp string, node bigint, n bigint, vec array<double>, cell int, home boolean")
-    placed = cut(placed, "cells")
+    sized = nodes.join(sizes, "grp")
+    lot = F.pmod(F.xxhash64("node", F.lit(1)), F.col("lots"))
+    pivots = sized.where((wanted > 1) & (draw < wanted / F.col("size"))).select(F.col("grp").alias("g"), F.col("vec").alias("centre"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("lots") - 1)).alias("lot"))
+    dealt = shipped(sized.select("grp", "node", "n", "vec", lot.alias("lot"))).groupBy("grp", "lot").cogroup(pivots.groupBy("g", "lot"))
+    placed = cut(dealt.applyInArrow(_assign(r), "grp string, node bigint, n bigint, vec array<double>, cell int, home boolean"), "cells")
     blocks = placed.groupBy("grp", "cell").agg(F.ceil(F.count_if("home") / HOME).alias("lefts"), F.ceil(F.count("*") / RIGHT).alias("rights"))
     sized = placed.join(blocks, ["grp", "cell"])
     own = lambda n: F.pmod(F.xxhash64("node"), F.col(n))
@@ -161,7 +166,10 @@ def metric_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     joined = components(met.where("root is not null").select("node", "root"))
     known = component_least(nodes.join(links, "node", "left"), joined, "node", "first_id", "component_id")
     known = known.select("grp", "vec", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), "component_id")
-    linked = rows.where("ok").join(known, ["grp", "vec"]).select("vec_id", "n_links", "component_id")
+    # By vector and a salt of the id, so that a vector with a third of all rows spreads over tasks.
+    own_rows = rows.where("ok").withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(SALTS)))
+    told = own_rows.select("grp", "vec", "salt").distinct().join(known, ["grp", "vec"])
+    linked = own_rows.join(told, ["grp", "vec", "salt"]).select("vec_id", "n_links", "component_id")
     alone = rows.where("not ok").select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"))
     out = linked.unionByName(alone)
     return out.select(F.col("vec_id").alias(id_col), "n_links", "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"))

@@ -13,18 +13,22 @@ large corpus.  Linked fingerprints are joined into components by star rounds.
 
 ``similar_dedup`` is for looser copies.  Where word shingles agree at a Jaccard
 similarity of 0.8, about 15 % of the bits differ, too many for 64 bits to tell apart
-from chance.  It takes several fingerprints of different seeds as one longer one,
-cuts it into 16-bit slices, and fetches the balls of radius one.  What differs in
-at most 2 * slices - 1 bits is found for certain; from there to ``max_bits`` a pair
-is missed with a probability that the number of slices makes small (2 % at the mean
-distance of a similarity of 0.8, with 192 bits).  Slices are matched shard by shard
-within tasks, in blocks of bounded size, and a block sends no pairs: only an edge
-per linked fingerprint to the root of its group, so a group of thousands of near
-copies costs no more than its rows.  These groups only say which texts to look
-at: those of groups of two and more are fetched, and two of them are linked where their
-distance is within ``max_bits`` and the Jaccard similarity of their shingle sets is
-at least ``least``.  Groups are compared in blocks of bounded size, so a group larger
-than a block's side sends each text once per side.
+from chance, and any table whose keys survive that many flips is met by chance as the
+corpus grows.  So the fingerprint is longer (further words are mixed from the same
+shingle hashes), and its tables stand apart by *anchor*: a document is entered under
+the shingles of least hash by ``anchors`` orders, and two documents meet only where
+they share one, which a similarity of 0.8 does for at least one of four orders in all
+but 0.2 % of cases.  An anchor that only one text has ends there; the rows that go on
+do not grow faster than the corpus.  A table of up to ``SMALL`` texts is one ball, whose
+complete distances are verified; a larger one, under a shingle that many unrelated
+texts share, is indexed by 16-bit slices and their Hamming balls of radius one.  Keys
+are dealt to shards and blocks of bounded size, and a block sends no pairs: only an
+edge per linked text to the root of its group, so a group of thousands of near copies
+costs no more than its rows.  These groups only say which texts to look at: those of
+groups of two and more are fetched, and two of them are linked where their distance is
+within ``max_bits`` and the Jaccard similarity of their shingle sets is at least
+``least``.  Groups are compared in blocks of bounded size, so a group larger than a
+block's side sends each text once per side.
 
 Nulls and empty texts have no shingles: their fingerprint is zero and they link
 like any other.  Rows with a null id take part but never name a component unless
@@ -42,18 +46,21 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from edgeloom.llm.common import batches, bytes_of, over_batches
-from edgeloom.operators.stars import component_least, components
+from edgeloom.llm.common import bytes_of, over_batches, shipped, whole
+from edgeloom.llm.substring_dedup import mix
+from edgeloom.operators.stars import SALTS, component_least, components
 from edgeloom.plans.lineage import cut
 
 SEED = 42
 #: Shingles whose bits are counted at once.
 BLOCK = 1 << 16
+#: Makes the families of shingle hashes differ.
+SALT = np.random.default_rng(SEED).integers(1, 1 << 63, 16, dtype=np.uint64)
 
 
-def fingerprint(text: bytes | None, width: int = 3, seed: int = SEED) -> int:
+def fingerprint(text: bytes | None, width: int = 3) -> int:
     """The fingerprint of one text; A-Z count as lower case."""
-    return _fingerprint_words(text, width, [seed])[0]
+    return long_fingerprint(text, width, 1, 0)[0][0]
 
 
 def _shingles(text: bytes | None, width: int) -> list[bytes]:
@@ -64,21 +71,24 @@ def _shingles(text: bytes | None, width: int) -> list[bytes]:
     return list(map(b" ".join, zip(*(words[k:] for k in range(width)))))
 
 
-def _fingerprint_words(text: bytes | None, width: int, seeds: list[int]) -> list[int]:
-    """A fingerprint of each seed, from one list of shingles."""
+def long_fingerprint(text: bytes | None, width: int, words: int, anchors: int) -> tuple[list[int], list[int]]:
+    """The sign bits of ``words`` families of shingle hashes, and the least hash of ``anchors`` others.
+
+    The first family is XXH64 itself, the others are mixed from it.
+    """
     shingles = _shingles(text, width)
     if not shingles:
-        return [0] * len(seeds)
-    n, out = len(shingles), []
-    one = xxhash.xxh64_intdigest
-    for seed in seeds:
-        ones = np.zeros(64, np.int64)
-        for at in range(0, n, BLOCK):
-            part = shingles[at : at + BLOCK]
-            h = np.fromiter(map(one, part, repeat(seed)), "<u8", len(part))
-            ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        out.append(int(np.packbits(ones * 2 > n, bitorder="little").view("<u8")[0]))
-    return out
+        return [0] * words, [0] * anchors
+    n, ones, least = len(shingles), np.zeros((words, 64), np.int64), np.full(anchors, (1 << 64) - 1, np.uint64)
+    for at in range(0, n, BLOCK):
+        part = shingles[at : at + BLOCK]
+        h = np.fromiter(map(xxhash.xxh64_intdigest, part, repeat(SEED)), "<u8", len(part))
+        for k in range(words):
+            own = h if k == 0 else mix(h ^ SALT[k])
+            ones[k] += np.unpackbits(own.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
+        for k in range(anchors):
+            least[k] = min(least[k], mix(h ^ SALT[-1 - k]).min())
+    return [int(np.packbits(x * 2 > n, bitorder="little").view("<u8")[0]) for x in ones], least.tolist()
 
 
 def _fingerprints(width: int):
@@ -92,7 +102,7 @@ def _fingerprints(width: int):
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
     """(doc_id, fp bigint) of every row, fp as the signed reading of its 64 bits."""
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return batches(rows).mapInArrow(_fingerprints(width), "doc_id bigint, fp bigint")
+    return shipped(rows).mapInArrow(_fingerprints(width), "doc_id bigint, fp bigint")
 
 
 def balls(segments: int, max_bits: int) -> list[tuple[int, int, list[int]]]:
@@ -130,27 +140,33 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     component_id is the least id reachable over links of at most ``max_bits``
     differing bits; one row of each component is kept (rows repeating its id share that).
     """
-    rows = cut(fingerprints(docs, id_col, text_col, width), "fps")
+    rows = cut(fingerprints(docs, id_col, text_col, width).withColumn("part", F.spark_partition_id()), "fps")
     groups = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "fpgroups")
     joined = components(links(groups.select("fp"), max_bits, segments))
     by_fp = component_least(groups, joined, "fp", "first_id", "component_id").select("fp", "component_id")
-    out = rows.join(by_fp, "fp")
+    # By fingerprint and scan partition, so that a fingerprint of a third of all rows spreads over tasks.
+    told = rows.select("fp", "part").distinct().join(by_fp, "fp")
+    out = rows.join(told, ["fp", "part"])
     hexed = F.lpad(F.lower(F.hex("fp")), 16, "0")
     return out.select(F.col("doc_id").alias(id_col), hexed.alias("fingerprint"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-#: Bits of a slice of the longer fingerprint, and rows on the sides of a block of its join.
-SLICE, STORED, ASKED = 16, 1 << 14, 1 << 18
+#: Texts under an anchor up to which they are one ball; bits of a slice beyond that.
+SMALL, SLICE = 256, 16
+#: Rows of a shard of the search, and on the sides of its blocks.
+SHARD, STORED, ASKED = 1 << 17, 1 << 14, 1 << 18
 #: Texts, and bytes of text, on the sides of a block of the comparison by shingles.
 SIDE, SIDE_BYTES = 512, 8 << 20
 #: Pairs compared at once.
 STRIP = 1 << 20
 
 
-def _long_fingerprints(width: int, seeds: list[int]):
+def _long_fingerprints(width: int, words: int, anchors: int):
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        got = np.array([_fingerprint_words(t, width, seeds) for t in bytes_of(batch.column("text"))], "<u8").reshape(-1, len(seeds))
-        return pa.record_batch({"doc_id": batch.column("doc_id"), "fp": pa.array([x.tobytes() for x in got], pa.binary())})
+        made = [long_fingerprint(t, width, words, anchors) for t in bytes_of(batch.column("text"))]
+        fp = np.array([x for x, _ in made], "<u8").reshape(-1, words)
+        anchor = np.array([x for _, x in made], np.uint64).reshape(-1, anchors).view(np.int64)
+        return pa.record_batch({"doc_id": batch.column("doc_id"), "fp": pa.array([x.tobytes() for x in fp], pa.binary()), "anchors": pa.array(list(anchor), pa.list_(pa.int64()))})
 
     return over_batches(run)
 
@@ -275,60 +291,82 @@ def _verified(docs: DataFrame, groups: DataFrame, labels: DataFrame, id_col: str
     return block.groupBy("bucket", "a", "b").applyInArrow(_alike(width, words, max_bits, least), "a bigint, b bigint")
 
 
-def _similar(docs: DataFrame, id_col: str, text_col: str, width: int, words: int, max_bits: int, shard_bits: int, least: float) -> DataFrame:
-    """(doc_id, draw, component_id, kept) of every row; draw is a hash of the text.
+def _candidates(groups: DataFrame, words: int, max_bits: int) -> DataFrame:
+    """Edges (a, b) of nodes, such that texts which share an anchor and a slice's ball within ``max_bits`` are connected.
 
-    kept marks the rows whose (doc_id, draw) is the least of its component, ids that are not null first.
+    groups: (node, fp, anchors), distinct nodes.
     """
-    seeds = [SEED + k for k in range(words)]
-    rows = docs.select(F.struct(F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(F.col(text_col).cast("string")).alias("draw"), F.octet_length(F.col(text_col).cast("string")).alias("size")).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    made = batches(rows).mapInArrow(_long_fingerprints(width, seeds), "doc_id struct<doc_id bigint, draw bigint, size int>, fp binary")
-    rows = cut(made.select("doc_id.doc_id", "doc_id.draw", "doc_id.size", "fp"), "fps")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "draw")).alias("first")
-    # A node is a text: equal fingerprints say no more of their texts than near ones.
-    groups = cut(rows.groupBy(F.col("draw").alias("node"), "fp").agg(first, F.count("*").alias("n"), F.max("size").cast("bigint").alias("size")), "fpgroups")
+    entered = groups.select("node", "fp", F.explode(F.array_distinct("anchors")).alias("anchor"))
+    met = entered.groupBy("anchor").agg(F.count("*").alias("texts")).where("texts > 1")
+    # By anchor and a salt of the node, so that an anchor of very many texts spreads over tasks.
+    salted = entered.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)))
+    told = salted.select("anchor", "salt").distinct().join(met, "anchor")
+    shared = cut(salted.join(told, ["anchor", "salt"]).drop("salt"), "anchors")
     slices = 64 * words // SLICE
     piece = lambda k: F.conv(F.hex(F.substring("fp", 2 * k + 1, 2)), 16, 10).cast("int")
-    stored = F.array(*[F.struct(F.lit(k).alias("seg"), piece(k).alias("val")) for k in range(slices)])
     flips = [0, *(1 << b for b in range(SLICE))]
-    asked = F.flatten(F.array(*[_ball(piece(k), k, flips) for k in range(slices)]))
-    split = lambda what, flag: groups.select("node", "fp", F.explode(what).alias("key")).select("node", "fp", "key.seg", F.col("key.val").cast("int").alias("val"), F.lit(flag).alias("stored"))
-    shard = F.shiftright("val", SLICE - shard_bits)
-    sizes = split(stored, True).groupBy("seg", shard.alias("part")).agg(F.ceil(F.count("*") / STORED).alias("lefts"), F.ceil(F.count("*") * (SLICE + 1) / ASKED).alias("rights"))
+    one = F.array(F.struct(F.lit(-1).alias("seg"), F.lit(0).cast("bigint").alias("val")))
+    slot = lambda k: F.struct(F.lit(k).alias("seg"), piece(k).cast("bigint").alias("val"))
+    is_small = F.col("texts") <= SMALL
+    stored = F.when(is_small, one).otherwise(F.array(*[slot(k) for k in range(slices)]))
+    asked = F.when(is_small, one).otherwise(F.flatten(F.array(*[_ball(piece(k).cast("bigint"), k, flips) for k in range(slices)])))
+    split = lambda what, flag: shared.select("node", "fp", "anchor", F.explode(what).alias("key")).select("node", "fp", F.xxhash64("anchor", "key.seg", "key.val").alias("val"), F.lit(flag).alias("stored"))
+    rows = shared.agg(F.sum(F.when(is_small, 1).otherwise(slices * (SLICE + 1)))).first()[0] or 0
+    shard = F.pmod(F.xxhash64("val"), F.lit(max(1, -(-rows // SHARD))))
+    number = lambda what, name: split(what, True).groupBy(shard.alias("part")).agg(F.count("*").alias(name))
+    sizes = number(stored, "s").join(number(asked, "q"), "part").select("part", F.ceil(F.col("s") / STORED).alias("lefts"), F.ceil(F.col("q") / ASKED).alias("rights"))
     own = lambda n: F.pmod(F.xxhash64("node"), F.col(n))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
-    sized = lambda df: df.withColumn("part", shard).join(F.broadcast(sizes), ["seg", "part"])
-    columns = ["seg", "part", "node", "fp", "val", "stored"]
+    sized = lambda df: df.withColumn("part", shard).withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS))).join(spread, ["part", "salt"])
+    spread = sizes.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
+    columns = ["part", "node", "fp", "val", "stored"]
     lefts = sized(split(stored, True)).select(*columns, own("lefts").alias("a"), every("rights").alias("b"))
     rights = sized(split(asked, False)).select(*columns, every("lefts").alias("a"), own("rights").alias("b"))
-    edges = lefts.unionByName(rights).groupBy("seg", "part", "a", "b").applyInArrow(_meet(words, max_bits), "a bigint, b bigint")
+    return lefts.unionByName(rights).groupBy("part", "a", "b").applyInArrow(_meet(words, max_bits), "a bigint, b bigint")
+
+
+def _similar(docs: DataFrame, id_col: str, text_col: str, width: int, words: int, max_bits: int, anchors: int, least: float) -> DataFrame:
+    """(doc_id, draw, component_id, kept) of every row; draw is a hash of the text.
+
+    kept marks the rows whose (doc_id, draw) is the least of its component, ids that are not null first.
+    """
+    rows = docs.select(F.struct(F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(F.col(text_col).cast("string")).alias("draw"), F.octet_length(F.col(text_col).cast("string")).alias("size")).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    made = shipped(rows).mapInArrow(_long_fingerprints(width, words, anchors), "doc_id struct<doc_id bigint, draw bigint, size int>, fp binary, anchors array<bigint>")
+    rows = cut(made.select("doc_id.doc_id", "doc_id.draw", "doc_id.size", "fp", "anchors", F.spark_partition_id().alias("part")), "fps")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "draw")).alias("first")
+    # A node is a text: equal fingerprints say no more of their texts than near ones.
+    kinds = rows.groupBy(F.col("draw").alias("node"), "fp", "anchors").agg(first, F.count("*").alias("n"), F.max("size").cast("bigint").alias("size"))
+    groups = cut(kinds, "fpgroups")
+    edges = _candidates(groups.select("node", "fp", "anchors"), words, max_bits)
     alike = _verified(docs, groups, components(edges), id_col, text_col, width, words, max_bits, least)
-    led = component_least(groups, components(alike), "node", "first", "least")
-    out = rows.join(led.select(F.col("node").alias("draw"), F.col("least").alias("lead")), "draw")
+    led = component_least(groups, components(alike), "node", "first", "least").select(F.col("node").alias("draw"), F.col("least").alias("lead"))
+    told = rows.select("draw", "part").distinct().join(led, "draw")
+    out = rows.join(told, ["draw", "part"])
     kept = F.col("doc_id").eqNullSafe(F.col("lead.doc_id")) & (F.col("draw") == F.col("lead.draw"))
     return out.select("doc_id", "draw", F.col("lead.doc_id").alias("component_id"), kept.alias("kept"))
 
 
-def similar_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, words: int = 3, max_bits: int = 36, shard_bits: int = 6, least: float = 0.8) -> DataFrame:
+def similar_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, words: int = 3, max_bits: int = 44, anchors: int = 4, least: float = 0.8) -> DataFrame:
     """One row per row of ``docs``: its id, component_id and kept, for copies of a similarity of ``least`` or more.
 
-    words: 64-bit fingerprints taken together; their distance finds the candidates.  A shard holds 2^(16 - shard_bits)
-    values of a slice and is cut into blocks by its size.  Of rows repeating the
-    least id, those with the least hash of their text are kept.
+    words: 64-bit fingerprints taken together, max_bits: the distance within which texts are
+    looked at; at a similarity of 0.8 it is three deviations over the mean.  Of rows
+    repeating the least id, those with the least hash of their text are kept.
     """
-    return _similar(docs, id_col, text_col, width, words, max_bits, shard_bits, least).select(F.col("doc_id").alias(id_col), "component_id", "kept")
+    return _similar(docs, id_col, text_col, width, words, max_bits, anchors, least).select(F.col("doc_id").alias(id_col), "component_id", "kept")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, words: int = 3, max_bits: int = 36, least: float = 0.8) -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, words: int = 3, max_bits: int = 44, anchors: int = 4, least: float = 0.8) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns: one of each component of ``similar_dedup``.
 
     It is the row of the component's least id, of rows repeating that id the one with
-    the least hash of its text, and of wholly repeated rows any one.  Only the
-    verdict, a small row per component, comes back to the rows.
+    the least hash of its text, and of rows that repeat both the one whose other
+    columns have the least hash.  Only the verdict, a small row per component, comes
+    back to the rows.
     """
-    verdicts = _similar(docs, id_col, text_col, width, words, max_bits, 6, least)
+    verdicts = _similar(docs, id_col, text_col, width, words, max_bits, anchors, least)
     winners = verdicts.where("kept").groupBy("doc_id", "draw").agg(F.count("*").alias("n"))
-    rows = docs.select(F.struct(*docs.columns).alias("doc"), F.col(id_col).cast("bigint").alias("key"), F.xxhash64(F.col(text_col).cast("string")).alias("mark"))
+    rows = docs.select(whole(docs).alias("doc"), F.col(id_col).cast("bigint").alias("key"), F.xxhash64(F.col(text_col).cast("string")).alias("mark"))
     met = rows.join(winners, F.col("key").eqNullSafe(F.col("doc_id")) & (F.col("mark") == F.col("draw")))
-    repeated = met.where("n > 1").groupBy("key", "mark").agg(F.first("doc").alias("doc"))
+    repeated = met.where("n > 1").groupBy("key", "mark").agg(F.min_by("doc", F.xxhash64(F.to_json("doc"))).alias("doc"))
     return met.where("n = 1").select("doc.*").unionByName(repeated.select("doc.*"))

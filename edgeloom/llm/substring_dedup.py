@@ -36,7 +36,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 
-from edgeloom.llm.common import bytes_of, chunked, text_bytes
+from edgeloom.llm.common import bytes_of, chunked, runs_of, text_bytes
 
 #: Odd multipliers of the rolling hashes.
 ROLL = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
@@ -128,9 +128,8 @@ class Chunk:
         for r, (cell, _, where) in enumerate(self.cells(width)):
             shard = cell // CELLS
             hot = np.zeros(len(cell), bool)
-            for s in np.unique(shard):
-                low, high = np.searchsorted(shard, [s, s + 1])
-                hot[low:high] = np.unpackbits(np.frombuffer(answers[int(s) * 2 + r], np.uint8), count=high - low)
+            for s, own in runs_of(shard):
+                hot[own] = np.unpackbits(np.frombuffer(answers[s * 2 + r], np.uint8), count=len(own))
             live &= hot[where]
         return self.at[live[np.searchsorted(self.keys, self.least[self.at])]]
 
@@ -157,9 +156,8 @@ def _sketch(window: int, anchor: int, width: int):
         if len(made.at):
             for r, (cell, number, _) in enumerate(made.cells(width)):
                 shard = cell // CELLS
-                for s in np.unique(shard):
-                    low, high = np.searchsorted(shard, [s, s + 1])
-                    out.append((int(s) * 2 + r, (cell[low:high] % CELLS).astype(np.uint32).tobytes(), number[low:high].tobytes()))
+                for s, own in runs_of(shard):
+                    out.append((s * 2 + r, (cell[own] % CELLS).astype(np.uint32).tobytes(), number[own].tobytes()))
         shards, cells, counts = zip(*out) if out else ((), (), ())
         return pa.table({"shard": pa.array(shards, pa.int64()), "chunk": pa.array([key[0].as_py()] * len(out), pa.int64()), "cells": pa.array(cells, pa.binary()), "counts": pa.array(counts, pa.binary())})
 
@@ -193,9 +191,8 @@ def _exact(window: int, anchor: int, width: int, shards: int):
                 h1, h2, first, _ = made.groups(starts)
                 docs, begin = made.places(starts[first])
                 shard = (h1 % np.uint64(shards)).astype(np.int64)
-                for s in np.unique(shard):
-                    own = shard == s
-                    out.append((int(s), *(x[own].tobytes() for x in (h1, h2, docs, begin.astype(np.int32)))))
+                for s, own in runs_of(shard):
+                    out.append((s, *(x[own].tobytes() for x in (h1, h2, docs, begin.astype(np.int32)))))
         columns = list(zip(*out)) if out else [()] * 5
         table = {"shard": pa.array(columns[0], pa.int64()), "chunk": pa.array([key[0].as_py()] * len(out), pa.int64())}
         return pa.table(table | {k: pa.array(c, pa.binary()) for k, c in zip(("h1", "h2", "docs", "starts"), columns[1:])})
@@ -227,9 +224,8 @@ def _remove(window: int, anchor: int, width: int, shards: int, texts: bool):
             h1, _, first, group = made.groups(starts)
             late, said = np.zeros(len(h1), bool), _by_shard(answers, 1)
             shard = (h1 % np.uint64(shards)).astype(np.int64)
-            for s in np.unique(shard):
-                own = np.flatnonzero(shard == s)
-                late[own] = np.unpackbits(np.frombuffer(said[int(s)], np.uint8), count=len(own))
+            for s, own in runs_of(shard):
+                late[own] = np.unpackbits(np.frombuffer(said[s], np.uint8), count=len(own))
             docs, begin = made.places(starts)
             repeat = late[group] | (docs != docs[first][group]) | (begin != begin[first][group])
             edge = np.zeros(n + 1, np.int64)

@@ -3,17 +3,19 @@
 import hashlib
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from edgeloom.llm.common import chunked
+from edgeloom.llm.common import chunked, runs_of
 from edgeloom.llm.exact_dedup import PerfectHash, exact_dedup
 from edgeloom.llm.line_dedup import edit_distance, index_keys, line_dedup, probe_keys
 from edgeloom.llm.metric_join import cells_of, metric_dedup, unit
-from edgeloom.llm.simhash import balls, fingerprint, keep_one, similar_dedup, simhash_dedup
+from edgeloom.llm import simhash
+from edgeloom.llm.simhash import balls, fingerprint, keep_one, long_fingerprint, similar_dedup, simhash_dedup
 from edgeloom.llm.substring_dedup import rolled, sliding_min, substring_dedup
 
 DOCS = "doc_id bigint, text string, lang string, part string, digest string, keep_id int, chunk int, fp string, winner int, least int, node int"
@@ -171,16 +173,16 @@ def test_line_dedup(spark, rows, edits):
     rng = random.Random(5)
     base = [bytes(rng.choice(b"abcdefgh ") for _ in range(rng.randrange(12, 40))) for _ in range(30)]
     line = lambda: edited(rng, rng.choice(base), rng.randrange(4)).decode()
-    pairs = [(i, "\n".join(line() for _ in range(rng.randrange(1, 8))) + rng.choice(["", "\n", "\nshort"])) for i in range(60)]
+    pairs = [(i, "\n".join(line() for _ in range(rng.randrange(1, 8))) + rng.choice(["", "\n", "\nshort", "\nshore", "\n \t", "\nabcdefghijk", "\nabcdefghijl"])) for i in range(60)]
     pairs += [(70, None), (71, ""), (72, "\n\n"), (73, "z" * 50_000), (74, "z" * 49_999 + "\n" + "common line of text"), (None, "common line of text")]
     pairs += [(80 + i, "common line of text\n" + line()) for i in range(40)]
     rng.shuffle(pairs)
-    places = sorted(((i is None, i if i is not None else 0, k), x.encode()) for i, t in pairs for k, x in enumerate((t or "").split("\n")) if t and len(x.encode()) >= 12)
+    places = sorted(((i is None, i if i is not None else 0, k), x.encode()) for i, t in pairs for k, x in enumerate((t or "").split("\n")) if t and x.strip())
     distinct = {}
     for place, x in places:
         distinct.setdefault(x, place)
     lines = list(distinct)
-    links = [(a, b) for a in range(len(lines)) for b in range(a) if abs(len(lines[a]) - len(lines[b])) <= edits and (len(lines[a]) < 100 or lines[a][: len(lines[b])] == lines[b]) and (len(lines[a]) >= 100 or levenshtein(lines[a], lines[b]) <= edits)]
+    links = [(a, b) for a in range(len(lines)) for b in range(a) if min(len(lines[a]), len(lines[b])) >= 12 and abs(len(lines[a]) - len(lines[b])) <= edits and (len(lines[a]) < 100 or lines[a][: len(lines[b])] == lines[b]) and (len(lines[a]) >= 100 or levenshtein(lines[a], lines[b]) <= edits)]
     links += [(b, a) for a in range(len(lines)) for b in range(a) if len(lines[a]) >= 100 and lines[b][: len(lines[a])] == lines[a] and len(lines[b]) - len(lines[a]) <= edits]
     group = components(range(len(lines)), links)
     winner = {}
@@ -190,7 +192,7 @@ def test_line_dedup(spark, rows, edits):
     want = []
     for i, t in pairs:
         split = t.split("\n") if t else []
-        kept = [x for k, x in enumerate(split) if len(x.encode()) < 12 or (i is None, i if i is not None else 0, k) in stays]
+        kept = [x for k, x in enumerate(split) if not x.strip() or (i is None, i if i is not None else 0, k) in stays]
         want.append((i, len(split), len(split) - len(kept), "\n".join(kept)))
     got = line_dedup(frame(spark, pairs), edits=edits, chunk_bytes=2000, texts=True).select("doc_id", "n_lines", "n_removed", "kept_text")
     assert rows(got) == sorted(want, key=repr)
@@ -199,6 +201,27 @@ def test_line_dedup(spark, rows, edits):
         line_dedup(frame(spark, pairs), edits=5, min_bytes=5)
 
 
+def test_one_of_equal_lines_stays_whatever_their_ids(spark, rows):
+    pairs = [(None, f"the common line of all texts\nline {k} of its own and nobody else's") for k in range(40)]
+    pairs += [(5, "alpha beta gamma delta\nepsilon"), (5, "epsilon\nalpha beta gamma delta"), (5, "alpha beta gamma delta\nepsilon")]
+    pairs += [(9, "wholly repeated row")] * 6
+    first = rows(line_dedup(frame(spark, pairs), chunk_bytes=60, texts=True).select("doc_id", "kept_text"))
+    kept = [x for _, t in first for x in t.split("\n") if x]
+    assert sorted(kept) == sorted({x for _, t in pairs for x in t.split("\n")}) or len(kept) == len(set(kept))
+    assert {"the common line of all texts", "alpha beta gamma delta", "epsilon", "wholly repeated row"} <= set(kept)
+    again = rows(line_dedup(frame(spark, pairs), chunk_bytes=60, texts=True).select("doc_id", "kept_text"))
+    assert again == first
+
+
+def test_runs_of():
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 500):
+        keys = rng.integers(0, 20, n)
+        got = runs_of(keys)
+        assert [k for k, _ in got] == sorted(set(keys.tolist())) and all((keys[own] == k).all() and (np.diff(own) > 0).all() for k, own in got)
+        assert sum(len(own) for _, own in got) == n
+
+
 # Embeddings
 
 
@@ -235,6 +258,17 @@ def test_metric_dedup(spark, rows, cell_rows):
     assert rows(metric_dedup(table.limit(0))) == []
 
 
+def test_vectors_without_an_id_of_their_own(spark, rows):
+    def run(data):
+        table = spark.createDataFrame([(i, v, "a") for i, v in data], "vec_id bigint, embedding array<double>, label string")
+        return rows(metric_dedup(table).select("vec_id", "n_links", "component_id"))
+
+    assert run([(7, [1.0, 0.0]), (7, [0.0, 1.0]), (8, [1.0, 0.01])]) == [(7, 0, 7), (7, 1, 7), (8, 1, 7)]
+    assert run([(7, [1.0, 0.0]), (7, [1.0, 0.001])]) == [(7, 1, 7), (7, 1, 7)]
+    assert run([(None, [1.0, 0.0]), (-1, [0.0, 1.0])]) == sorted([(None, 0, None), (-1, 0, -1)], key=repr)
+    assert run([(None, [1.0, 0.0]), (None, [1.0, 0.0]), (-5, [1.0, 0.0])]) == sorted([(None, 2, -5), (None, 2, -5), (-5, 2, -5)], key=repr)
+
+
 def test_cells_hold_all_partners():
     rng = np.random.default_rng(7)
     x = unit(rng.standard_normal((400, 3)).tolist())
@@ -332,8 +366,8 @@ def test_similar_dedup_checks_the_similarity(spark, rows, monkeypatch):
     pairs += [(len(pairs), pairs[0][1].upper()), (900, ""), (901, None)]
     split = [(t or "").lower().split() for _, t in pairs]
     sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in split]
-    prints = [[fingerprint((t or "").encode(), 5, seed) for seed in (42, 43, 44)] for _, t in pairs]
-    close = lambda i, j: sum((a ^ b).bit_count() for a, b in zip(prints[i], prints[j])) <= 36
+    prints = [long_fingerprint((t or "").encode(), 5, 3, 0)[0] for _, t in pairs]
+    close = lambda i, j: sum((a ^ b).bit_count() for a, b in zip(prints[i], prints[j])) <= 44
     alike = lambda i, j: sets[i] == sets[j] or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])
     near = [(i, j) for i in range(len(pairs)) for j in range(i) if close(i, j)]
     group = components(range(len(pairs)), [(i, j) for i, j in near if alike(i, j)])
@@ -345,6 +379,44 @@ def test_similar_dedup_checks_the_similarity(spark, rows, monkeypatch):
     assert [i for i, _ in rows(keep_one(frame(spark, pairs)).select("doc_id", "text"))] == sorted({c for _, c in want}, key=lambda c: repr((c, "")))
 
 
+def similar_pairs(sets, least):
+    """All pairs of a similarity of ``least`` or more, by brute force over an index of shingles."""
+    at = {}
+    for k, s in enumerate(sets):
+        for x in s:
+            at.setdefault(x, []).append(k)
+    shared = Counter((i, j) for ks in at.values() for n, j in enumerate(ks) for i in ks[:n])
+    return {p for p, n in shared.items() if n >= least * (len(sets[p[0]]) + len(sets[p[1]]) - n)}
+
+
+@pytest.mark.parametrize("small", [256, 1])
+def test_recall_of_near_copies(spark, rows, monkeypatch, small):
+    monkeypatch.setattr(simhash, "SMALL", small)  # 1: all tables by slices and balls
+    rng = random.Random(23)
+    texts = []
+    for _ in range(150):
+        words = words_text(rng, rng.randrange(60, 400), 10**6).split()
+        own = list(words)
+        n = len(words) - 4
+        for at in rng.sample(range(len(words)), max(1, round(0.105 * n / 5))):  # a similarity just over 0.8, mostly
+            own[at] = f"new{rng.randrange(10**6)}"
+        texts += [" ".join(words), " ".join(own)]
+    split = [t.split() for t in texts]
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in split]
+    wanted = similar_pairs(sets, 0.8)
+    component = dict(rows(similar_dedup(frame(spark, list(enumerate(texts)))).select("doc_id", "component_id")))
+    found = {p for p in wanted if component[p[0]] == component[p[1]]}
+    assert len(wanted) > 80 and len(found) >= 0.95 * len(wanted)
+    assert all(component[i] == i or (component[i], i) in wanted for i in component)
+
+
+def test_names_may_hold_anything(spark, rows):
+    odd = spark.createDataFrame([(1, "one text", 5), (2, "one text", 6)], "doc_id bigint, text string, `a.b c` int")
+    assert rows(keep_one(odd)) == [(1, "one text", 5)]
+    got = line_dedup(odd, texts=True, carry=True)
+    assert rows(got.select("doc_id", "kept_text", F.col("doc.`a.b c`"))) == [(1, "one text", 5), (2, "", 6)]
+
+
 def test_chunks_carry_other_columns(spark):
     dealt, n = chunked(frame(spark, [(1, "abc"), (None, None)]), "doc_id", "text", 2, carry=True)
     assert n == 2 and dealt.columns == ["chunk", "doc_id", "text", "doc"]

@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import math
+import os
 import random
 import re
 import zlib
@@ -17,7 +18,7 @@ import corpus_pipeline
 from edgeloom.llm import context_tree as ct
 from edgeloom.llm import entries
 from edgeloom.llm.byte_bpe import boundaries, codec, decode, encode, seams
-from edgeloom.llm.language_id import Network, has_letter, keep_known, language_id, segments_of
+from edgeloom.llm.language_id import CORE, MARGIN, Network, Windows, has_letter, keep_known, language_id, pool, train
 from edgeloom.llm.mixing import mix_sources, source_weights
 from edgeloom.llm.url_filter import rules, url_filter
 
@@ -33,22 +34,69 @@ def docs(spark, data):
 
 def test_backpropagation_through_time():
     net = Network(["a", "b", "c"], hidden=3, seed=1)
-    for d in net.parts:
-        d.x, d.u, d.b = (p.astype(float) for p in d.parameters())
-    net.v, net.c = net.v.astype(float), net.c.astype(float)
     rng = np.random.default_rng(0)
-    rows, targets = rng.integers(97, 101, (4, 5)).astype(np.uint8), np.array([0, 1, 2, 1])
-    loss = lambda: -net.label(rows)[np.arange(4), :, targets].mean()
-    parameters = [p for d in net.parts for p in d.parameters()] + [net.v, net.c]
-    for p, g in zip(parameters, net.gradients(rows, targets)):
+    texts = [bytes(rng.integers(97, 101, n).astype(np.uint8)) for n in (5, 9, CORE + 7)]
+    made = Windows(texts)
+    own = np.arange(len(made.doc))
+    assert made.doc.tolist() == [0, 1, 2, 2]
+    seen, inside, counted = made.rows(own)
+    targets = np.array([0, 1, 2])[made.doc]
+    loss = lambda: -(net.label(seen, inside)[:, own, targets] * counted).sum(dtype=float) / counted.sum()
+    for p, g in zip(net.parameters(), net.gradients(seen, inside, counted, targets)):
         for at in [tuple(rng.integers(0, n) for n in p.shape) for _ in range(3)] + ([(98, 2)] if p.shape[0] == 256 else []):
             was = p[at]
-            p[at] = was + 1e-4
+            p[at] = was + 1e-2
             up = loss()
-            p[at] = was - 1e-4
+            p[at] = was - 1e-2
             down = loss()
             p[at] = was
-            assert (up - down) / 2e-4 == pytest.approx(g[at], abs=2e-4)
+            assert (up - down) / 2e-2 == pytest.approx(g[at], abs=5e-4)
+
+
+def brute_states(d, text):
+    """One direction over one run of bytes, a position at a time."""
+    size, out = d.u.shape[0], []
+    h = np.zeros(size)
+    logistic = lambda x: 1 / (1 + np.exp(-x))
+    for byte in text:
+        a, g = d.x[byte].astype(float), h @ d.u + d.b
+        z, r = logistic(a[:size] + g[:size]), logistic(a[size : 2 * size] + g[size : 2 * size])
+        h = (1 - z) * np.tanh(a[2 * size :] + r * g[2 * size :]) + z * h
+        out.append(h)
+    return out
+
+
+def brute_pool(net, text):
+    """Probabilities of a text, from labels of all its positions."""
+    total, text = np.zeros(len(net.labels)), text.lower()
+    for low in range(0, len(text), CORE):
+        start, stop = max(0, low - MARGIN), min(len(text), low + CORE + MARGIN)
+        part = text[start:stop]
+        ahead, behind = brute_states(net.parts[0], part), brute_states(net.parts[1], part[::-1])[::-1]
+        for k in range(low, min(low + CORE, len(text))):
+            raw = np.concatenate([ahead[k - start], behind[k - start]]) @ net.v + net.c
+            total += raw - np.log(np.exp(raw).sum())
+    p = np.exp(total / max(1, len(text)))
+    return p / p.sum()
+
+
+def test_forward_pass_and_pooling():
+    net, rng = Network(["a", "b", "c"], seed=3), random.Random(2)
+    texts = [b"", b"A", "é ü".encode(), b" \n", *(bytes(rng.randrange(256) for _ in range(n)) for n in (50, CORE, CORE + 1, 3 * CORE + 40))]
+    got = pool(net, texts)
+    for p, t in zip(got, texts):
+        assert p == pytest.approx(brute_pool(net, t), abs=1e-5)
+    assert pool(net, texts[:3]) == pytest.approx(got[:3], abs=1e-6) and pool(net, []).shape == (0, 3)
+
+
+def test_the_training_sample_is_bounded(spark, monkeypatch):
+    seen = {}
+    monkeypatch.setattr(Network, "fit", lambda self, texts, targets: seen.update(texts=texts, targets=targets))
+    data = [(None, f"text {k}", "xx", "s") for k in range(400)] + [(None, "often", "xx", "s")] * 300 + [(3 * k, "w" * 900, "yy", "s") for k in range(40)] + [(None, "long " * 50, "zz", "s")]
+    bounds = {"docs_per_lang": 20, "bytes_per_lang": 100_000, "longest": 100}
+    assert train(docs(spark, data), "doc_id", "text", "lang", 3, 1, **bounds).labels == ["xx", "yy", "zz"]
+    number = Counter(seen["targets"].tolist())
+    assert number[0] == 20 and number[1] == 1 and number[2] == 1 and len(set(seen["texts"])) == 22
 
 
 LETTERS = {"xx": "abcde", "yy": "fghij", "zz": "klmné"}
@@ -70,16 +118,19 @@ def test_language_id(spark):
     assert len(held) > 60 and np.mean([r["lang_pred"] == truth[r["doc_id"]] for r in held]) > 0.95
     assert all(by_id[i]["lang_pred"] == "und" and by_id[i]["score"] == 0 for i in (300, 301, 302))
     assert by_id[303]["lang_pred"] == "xx" and by_id[304]["lang_pred"] == "zz"
-    kept = keep_known(docs(spark, data))
-    assert kept.columns == docs(spark, data).columns and kept.count() == len(data) - 3
+    least = float(np.median([r["score"] for r in got]))
+    kept = keep_known(docs(spark, data), least)
+    assert kept.columns == docs(spark, data).columns
+    wanted = Counter(r["doc_id"] for r in got if r["score"] >= least and r["lang_pred"] != "und")
+    assert Counter(r["doc_id"] for r in kept.collect()) == wanted and 100 < sum(wanted.values()) < 250
+    assert keep_known(docs(spark, [(1, "abc", None, "s"), (2, "12", None, "s"), (3, None, None, "s")]), 0.5).count() == 1
     unlabelled = language_id(docs(spark, [(1, "abc", None, "s")])).collect()
     assert [tuple(r) for r in unlabelled] == [(1, zlib.crc32(b"1") % 3 == 1, "und", 0.0)]
     assert language_id(docs(spark, [])).count() == 0
 
 
-def test_segments_keep_every_byte():
-    assert segments_of(b" aB\t" + b"c" * 50 + b" ") == [b"ab", b"c" * 24, b"c" * 24, b"cc"]
-    assert has_letter("1é") and not has_letter("1 ½!") and segments_of(b"") == []
+def test_letters():
+    assert has_letter("1é") and not has_letter("1 ½!")
 
 
 # Context trees
@@ -283,7 +334,7 @@ def test_blocks(spark, rows):
         tokens[s] += size(t)
     total = sum(tokens.values())
     frame = docs(spark, data)
-    got = mix_sources(frame, max_epochs=2.5, ranges=7).collect()
+    got = mix_sources(frame, max_epochs=2.5, range_rows=40).collect()
     weights = {r["source"]: r["weight"] for r in got}
     assert set(weights) == {"a", "b", None}
     counts = spark.createDataFrame(list(tokens.items()), "source string, tokens bigint")
@@ -305,9 +356,16 @@ def test_blocks(spark, rows):
                 want.append((i, ahead))
             ahead += size(t)
         assert sorted(((r["doc_id"], r["before"]) for r in last), key=repr) == sorted(want, key=repr)
-    carried = mix_sources(frame, max_epochs=2.5, ranges=7, carry=True)
+    carried = mix_sources(frame, max_epochs=2.5, range_rows=40, carry=True)
     assert carried.columns == frame.columns
     assert rows(carried.select("doc_id")) == sorted(((r["doc_id"],) for r in got), key=repr)
+    twins = [(1, "a b c", "x", "a"), (1, "w " * 40, "x", "a"), (2, "a b c d e", "x", "a"), *[(4, "same text here", "y", "a")] * 9, (5, "v " * 9000, "x", "b")]
+    for budget in (9, 20, 50, 70, 95, 200):
+        plain = mix_sources(docs(spark, twins), max_epochs=50, budget=budget).collect()
+        carried = mix_sources(docs(spark, twins), max_epochs=50, budget=budget, carry=True).collect()
+        assert Counter((r["doc_id"], r["n_tokens"]) for r in plain) == Counter((r["doc_id"], size(r["text"])) for r in carried)
+    odd = docs(spark, [*twins, (8, "x " * 70_000, "x", None)]).withColumns({"row": F.lit(1), "m": F.lit(2), "full.copy": F.lit(3), "taken": F.lit(4), "mark": F.lit(5)})
+    assert mix_sources(odd, max_epochs=2.0, carry=True).columns == odd.columns and mix_sources(odd, max_epochs=2.0, carry=True).count() > 0
     assert mix_sources(docs(spark, []), max_epochs=2.0).count() == 0
 
 
@@ -357,6 +415,43 @@ def test_url_templates(spark):
     assert merged["/promo/*/buy"] == merged["/spam/*/buy"] != merged["/shop/*/view"]
 
 
+def test_an_unlabelled_branch_is_judged_by_its_like(spark):
+    deep = "/".join(f"s{k}" for k in range(30))
+    urls = [f"http://h.test/spam/{k}" for k in range(60)] + [f"http://h.test/mirror/{k + 9}" for k in range(50)] + [f"http://h.test/words/w{k}" for k in range(50)]
+    urls += [f"http://h.test/often/{k % 12}" for k in range(60)] + [f"http://h.test/one/{k}" for k in range(3)] + [f"http://other.test/mirror/{k}" for k in range(50)]
+    urls += [f"http://deep.test/{deep}/{k}/end" for k in range(20)]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string")
+    judge = lambda bad: {r["page_id"]: r for r in url_filter(pages, [], labels=spark.createDataFrame(bad, "url string, bad int")).collect()}
+    got = judge([(u, 1) for u in urls if "/spam/" in u] + [(u, 0) for u in urls if "other" in u][:5])
+    verdicts = lambda part: {got[k]["verdict"] for k, u in enumerate(urls) if part in u}
+    assert verdicts("h.test/spam/") == verdicts("h.test/mirror/") == {"block"}
+    assert verdicts("/words/") == verdicts("/often/") == verdicts("/one/") == verdicts("other.test") == verdicts("deep.test") == {"allow"}
+    assert {got[k]["template"] for k, u in enumerate(urls) if "deep.test" in u} == {f"/{deep}/*/end"}
+    got = judge([(u, 1) for u in urls if "/spam/" in u][:19] + [(u, 0) for u in urls if "other" in u][:1])  # too few labels to lend
+    assert verdicts("h.test/spam/") == {"block"} and verdicts("h.test/mirror/") == {"allow"}
+
+
+# The registered queries
+
+
+DATA = "/root/testdata/sf0.001"
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
+@pytest.mark.parametrize("name", sorted(entries.oracle_sql()))
+def test_same_rows_as_sql(spark, name):
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("documents", "embeddings", "pages"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
+    got = entries.queries()[name](spark, DATA)
+    want = con.execute(entries.oracle_sql()[name])
+    names = [c[0] for c in want.description]
+    assert sorted(got.columns) == sorted(names)
+    assert sorted(map(repr, (tuple(r) for r in got.select(*names).collect()))) == sorted(map(repr, want.fetchall()))
+
+
 # The pipeline
 
 
