@@ -50,7 +50,6 @@ MESSAGE = "shard bigint, chunk bigint, items binary, counts binary"
 TOP = "shard bigint, top binary"
 ANSWER = "chunk bigint, shard bigint, values binary, total bigint, distinct bigint"
 SCORED = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base double, score double, total bigint, distinct bigint"
-_BITS = np.arange(8)
 
 
 def lgamma(x: np.ndarray) -> np.ndarray:
@@ -71,61 +70,117 @@ def kt_one(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
     return (n1 + 0.5) / (n0 + n1 + 1.0)
 
 
-def bit_nodes(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The eight (inner node 1..255, bit) steps of each byte, flattened row by row."""
-    s = symbols.astype(np.int64)[:, None]
-    return ((1 << _BITS) | (s >> (8 - _BITS))).ravel(), ((s >> (7 - _BITS)) & 1).ravel()
-
-
 class Level:
-    """Nodes of one depth: sorted keys (context, newest byte highest, then inner node), counts, weighting."""
+    """Nodes of one depth in the order of their keys: counts and weighting.
+
+    A key is the inner node and then the context, newest byte first, so that the keys
+    below a node of the level above lie side by side.
+    """
 
     def __init__(self, keys: np.ndarray, n0: np.ndarray, n1: np.ndarray, below: np.ndarray | None):
         self.keys, self.n0, self.n1 = keys, n0, n1
         kt = log_kt(n0, n1)
         self.log_w = kt if below is None else np.logaddexp(kt, below) - np.log(2)
         self.stop = np.ones(len(keys)) if below is None else np.exp(kt - np.log(2) - self.log_w)
-        self.one = kt_one(n0, n1)
-
-    def parents(self) -> Level:
-        keys, up = np.unique((self.keys >> 16 << 8) | (self.keys & 255), return_inverse=True)
-        n = len(keys)
-        return Level(keys, np.bincount(up, self.n0, n), np.bincount(up, self.n1, n), np.bincount(up, self.log_w, n))
-
-    def mixed(self, keys: np.ndarray, deeper: np.ndarray) -> np.ndarray:
-        """P(1) at this level for each path; a node training never saw predicts 1/2."""
-        if not len(self.keys):
-            return np.full(len(keys), 0.5)
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return np.where(self.keys[at] == keys, self.stop[at] * self.one[at] + (1 - self.stop[at]) * deeper, 0.5)
-
-
-def leaves(strings: np.ndarray, counts: np.ndarray) -> Level:
-    """The deepest level, from distinct (context, symbol) codes and their counts."""
-    seen = counts > 0
-    node, bit = bit_nodes(strings[seen] & 255)
-    keys = np.repeat(strings[seen] >> 8 << 8, 8) | node
-    n = np.repeat(counts[seen].astype(float), 8)
-    keys, up = np.unique(keys, return_inverse=True)
-    return Level(keys, np.bincount(up, n * (bit == 0), len(keys)), np.bincount(up, n * (bit == 1), len(keys)), None)
-
-
-def subtree(strings: np.ndarray, counts: np.ndarray, depth: int = DEPTH) -> list[Level]:
-    """Levels depth..2, deepest first."""
-    levels = [leaves(strings, counts)]
-    for _ in range(depth - 2):
-        levels.append(levels[-1].parents())
-    return levels
-
-
-def log10_p(strings: np.ndarray, levels: list[Level], depth: int = DEPTH) -> np.ndarray:
-    """log10 P(symbol | context) of each string, given all levels from the deepest to depth 0."""
-    node, bit = bit_nodes(strings & 255)
-    context = np.repeat(strings >> 8, 8)
-    p = np.full(len(node), 0.5)
-    for up, level in zip(range(depth + 1), levels):
-        p = level.mixed((context >> 8 * up << 8) | node, p)
-    return np.log10(np.where(bit == 1, p, 1 - p)).reshape(-1, 8).sum(axis=1)
+        self.one, self.seen = kt_one(n0, n1), n0 + n1 > 0
+
+    def sums(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of the nodes one byte of context up: keys, n0, n1, what is below; and the place there of each node here."""
+        up = self.keys >> 8
+        new = np.ones(len(up), bool)
+        new[1:] = up[1:] != up[:-1]
+        start = np.flatnonzero(new)
+        return up[start], *(np.add.reduceat(x, start) for x in (self.n0, self.n1, self.log_w)), np.cumsum(new) - 1
+
+    def mixed(self, at: np.ndarray, deeper: np.ndarray) -> np.ndarray:
+        """P(1) at this level for each path through the nodes ``at``; a node training never saw predicts 1/2."""
+        return np.where(self.seen[at], self.stop[at] * self.one[at] + (1 - self.stop[at]) * deeper, 0.5)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.keys, keys)
+
+
+class Subtrees:
+    """The nodes of whole subtrees below pairs of preceding bytes, from their ascending strings and counts; depth ``depth`` to 2."""
+
+    def __init__(self, strings: np.ndarray, counts: np.ndarray, depth: int):
+        symbol, context = strings & 255, strings >> 8
+        keys, totals, ones, where, have = [], [], [], [], 0
+        for b in range(8):  # strings with equal context and first b bits lie side by side
+            head = strings >> (8 - b)
+            new = np.ones(len(head), bool)
+            new[1:] = head[1:] != head[:-1]
+            start = np.flatnonzero(new)
+            keys.append((1 << b | symbol[start] >> (8 - b)) << 8 * depth | context[start])
+            totals.append(np.add.reduceat(counts, start))
+            ones.append(np.add.reduceat(counts * (symbol >> (7 - b) & 1), start))
+            where.append(have + np.cumsum(new) - 1)
+            have += len(start)
+        key = np.concatenate(keys)
+        order = np.argsort(key)
+        rank = np.empty(have, np.int64)
+        rank[order] = np.arange(have)
+        n, n1 = np.concatenate(totals)[order].astype(float), np.concatenate(ones)[order].astype(float)
+        self.symbol, self.path = symbol, [rank[w] for w in where]
+        self.levels, self.up = [Level(key[order], n - n1, n1, None)], []
+        for _ in range(depth - 2):
+            *node, up = self.levels[-1].sums()
+            self.levels.append(Level(*node))
+            self.up.append(up)
+
+    def log10_p(self, one: Level, zero: Level) -> np.ndarray:
+        """log10 P(symbol | context) of each string, given the two levels above."""
+        first = self.levels[0]
+        p, at = np.where(first.seen, first.one, 0.5), np.arange(len(first.keys))
+        for level, up in zip(self.levels[1:], self.up):
+            at = up[at]
+            p = level.mixed(at, p)
+        key = self.levels[-1].keys
+        p = one.mixed(one.find(key >> 8)[at], p)
+        p = zero.mixed(zero.find(key >> 16)[at], p)
+        total = np.zeros(len(self.symbol))
+        for b, path in enumerate(self.path):
+            own = p[path]
+            total += np.log10(np.where(self.symbol >> (7 - b) & 1, own, 1 - own))
+        return total
+
+
+#: Strings whose subtrees are laid out at once (a pair with more has all of its own).
+PART = 1 << 16
+
+
+def parts(strings: np.ndarray, depth: int):
+    """Ranges of ascending strings, whole pairs of preceding bytes, of about PART strings."""
+    pair = strings >> 8 * (depth - 1)
+    ends = np.append(np.flatnonzero(pair[1:] != pair[:-1]) + 1, len(pair))
+    low = 0
+    while low < len(pair):
+        high = int(ends[max(np.searchsorted(ends, low, side="right"), np.searchsorted(ends, low + PART, side="right") - 1)])
+        yield low, high
+        low = high
+
+
+def upper_sums(strings: np.ndarray, counts: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(keys, n0, n1, what is below) of the nodes under one preceding byte, as far as these strings make them up."""
+    got = [Subtrees(strings[a:b], counts[a:b], depth).levels[-1].sums()[:4] for a, b in parts(strings, depth)]
+    if not got:
+        return np.zeros(0, np.int64), *np.zeros((3, 0))
+    keys, at = np.unique(np.concatenate([x[0] for x in got]), return_inverse=True)
+    return keys, *(np.bincount(at, np.concatenate([x[k] for x in got]), len(keys)) for k in (1, 2, 3))
+
+
+def top_levels(keys: np.ndarray, n0: np.ndarray, n1: np.ndarray, below: np.ndarray) -> tuple[Level, Level]:
+    """The levels of one and of no preceding byte, from the summed nodes of the former."""
+    one = Level(keys, n0, n1, below)
+    return one, Level(*one.sums()[:4])
+
+
+def log10_p(strings: np.ndarray, counts: np.ndarray, one: Level, zero: Level, depth: int) -> np.ndarray:
+    """log10 P(symbol | context) of ascending strings, of which training has ``counts``."""
+    out = np.empty(len(strings))
+    for a, b in parts(strings, depth):
+        out[a:b] = Subtrees(strings[a:b], counts[a:b], depth).log10_p(one, zero)
+    return out
 
 
 def layout(texts: list[bytes], depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray]:
@@ -158,11 +213,10 @@ def _blocks(texts: list[bytes]):
         yield low, len(texts)
 
 
-def _summed(codes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    if not codes:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    distinct, at = np.unique(np.concatenate(codes), return_inverse=True)
-    return distinct, np.bincount(at, np.concatenate(counts), len(distinct)).astype(np.int64)
+def _distinct(x: np.ndarray) -> np.ndarray:
+    """Ascending and without repeats, by a sort, which numpy does faster than by a table."""
+    x = np.sort(x)
+    return x[np.flatnonzero(np.append(True, x[1:] != x[:-1]))] if len(x) else x
 
 
 class Chunk:
@@ -189,15 +243,19 @@ class Chunk:
         return distinct, np.fromiter(map(count.__getitem__, distinct), np.int64, len(distinct))
 
     def strings(self) -> tuple[np.ndarray, np.ndarray]:
-        codes, counts = [], []
+        """Distinct strings, ascending, and their training counts."""
+        codes: list[list[np.ndarray]] = [[], []]
         for low, high in _blocks(self.texts):
             code, sizes = layout(self.texts[low:high], self.depth)
             held = np.repeat(self.held[low:high], sizes)
-            for part, sign in ((code[~held], 1), (code[held], 0)):
-                distinct, n = np.unique(part, return_counts=True)
-                codes.append(distinct)
-                counts.append(n * sign)
-        return _summed(codes, counts)
+            codes[0].append(code[~held])
+            codes[1].append(code[held])
+        none = [np.zeros(0, np.int64)]
+        known, n = np.unique(np.concatenate(codes[0] or none), return_counts=True)
+        distinct = _distinct(np.concatenate([known, *codes[1]]))
+        counts = np.zeros(len(distinct), np.int64)
+        counts[np.searchsorted(distinct, known)] = n
+        return distinct, counts
 
 
 def _string_shard(strings: np.ndarray, shards: int, depth: int) -> np.ndarray:
@@ -255,7 +313,11 @@ def _unpacked(raw: bytes) -> np.ndarray:
 
 def _shard_strings(rows: pa.Table) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     codes = [_unpacked(x) for x in rows["items"].to_pylist()]
-    return codes, *_summed(codes, [_large(x) for x in rows["counts"].to_pylist()])
+    strings = _distinct(np.concatenate(codes))
+    counts = np.zeros(len(strings), np.int64)
+    for own, n in zip(codes, rows["counts"].to_pylist()):
+        counts[np.searchsorted(strings, own)] += _large(n)
+    return codes, strings, counts
 
 
 def _upper(shards: int, depth: int):
@@ -264,10 +326,7 @@ def _upper(shards: int, depth: int):
     def run(key: tuple, rows: pa.Table) -> pa.Table:
         keys = n0 = n1 = log_w = np.zeros(0)
         if key[0].as_py() < shards:
-            _, strings, counts = _shard_strings(rows)
-            level = subtree(strings, counts, depth)[-1]
-            keys, up = np.unique((level.keys >> 16 << 8) | (level.keys & 255), return_inverse=True)
-            n0, n1, log_w = (np.bincount(up, x, len(keys)) for x in (level.n0, level.n1, level.log_w))
+            keys, n0, n1, log_w = upper_sums(*_shard_strings(rows)[1:], depth)
         return pa.table({"node": pa.array(keys.astype(np.int64)), "n0": pa.array(n0, pa.float64()), "n1": pa.array(n1, pa.float64()), "log_w": pa.array(log_w, pa.float64())})
 
     return run
@@ -287,8 +346,7 @@ def _answer(shards: int, depth: int):
         if chunks and shard < shards:
             codes, strings, counts = _shard_strings(rows)
             node, n0, n1, below = np.frombuffer(top["top"][0].as_py(), float).reshape(4, -1)
-            one = Level(node.astype(np.int64), n0, n1, below)
-            p = log10_p(strings, [*subtree(strings, counts, depth), one, one.parents()], depth)
+            p = log10_p(strings, counts, *top_levels(node.astype(np.int64), n0, n1, below), depth)
             out = [p[np.searchsorted(strings, c)].astype(np.float32).tobytes() for c in codes]
         elif chunks:
             asked = [x.split(b"\n") for x in rows["items"].to_pylist()]

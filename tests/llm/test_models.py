@@ -242,11 +242,36 @@ def test_predictions_sum_to_one():
     assert sum(10 ** model(b"ab", s) for s in range(256)) == pytest.approx(1)
     codes, _ = ct.layout([b"abracadabra", b"abba"])
     strings, counts = np.unique(codes, return_counts=True)
-    levels = ct.subtree(strings, counts)
-    one = levels[-1].parents()
     context = int(strings[0]) >> 8 << 8
-    p = ct.log10_p(context | np.arange(256), [*levels, one, one.parents()])
-    assert (10**p).sum() == pytest.approx(1)
+    asked = np.unique(np.concatenate([strings, context | np.arange(256)]))
+    number = np.zeros(len(asked), np.int64)
+    number[np.searchsorted(asked, strings)] = counts
+    top = ct.top_levels(*ct.upper_sums(asked, number, ct.DEPTH))
+    p = ct.log10_p(asked, number, *top, ct.DEPTH)
+    assert (10 ** p[asked >> 8 == context >> 8]).sum() == pytest.approx(1)
+
+
+def test_strings_are_packed_whole():
+    rng = np.random.default_rng(5)
+    for codes in (np.zeros(0, np.int64), np.array([0]), np.unique(rng.integers(0, 1 << 56, 500)), np.unique(np.concatenate([rng.integers(0, 300, 50), [(1 << 56) - 1]]))):
+        assert (ct._unpacked(ct._packed(codes)) == codes).all()
+
+
+def test_parts_do_not_change_the_model(monkeypatch):
+    rng = random.Random(3)
+    codes, _ = ct.layout([bytes(rng.choice(b"abcd ") for _ in range(2000))], 4)
+    strings, counts = np.unique(codes, return_counts=True)
+    whole = ct.log10_p(strings, counts, *ct.top_levels(*ct.upper_sums(strings, counts, 4)), 4)
+    monkeypatch.setattr(ct, "PART", 50)
+    assert len(list(ct.parts(strings, 4))) > 5
+    assert ct.log10_p(strings, counts, *ct.top_levels(*ct.upper_sums(strings, counts, 4)), 4) == pytest.approx(whole)
+
+
+def test_held_out_code_length_is_under_the_base(spark):
+    if not os.path.isdir("/root/testdata/sf0.1"):
+        pytest.skip("no test tables")
+    got = ct.lm_score(spark.read.parquet("/root/testdata/sf0.1/documents.parquet")).where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
+    assert got[0] > got[1]
 
 
 # BPE
