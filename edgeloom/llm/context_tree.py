@@ -390,7 +390,7 @@ def _score(shards: int, folds: int, held: int, depth: int):
             empty = {c: pa.nulls(n, t) for c, t in (("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()))}
             return pa.table(empty | {"total": answers["total"], "distinct": answers["distinct"]})
         made = Chunk(rows, folds, held, depth)
-        strings, _ = made.strings()
+        strings = _distinct(np.concatenate([layout(made.texts[a:b], depth)[0] for a, b in _blocks(made.texts)]))
         shard, value = _string_shard(strings, shards, depth), np.zeros(len(strings))
         for s, own in runs_of(shard):
             value[own] = np.frombuffer(got[s], np.float32)
@@ -398,7 +398,7 @@ def _score(shards: int, folds: int, held: int, depth: int):
         for low, high in _blocks(made.texts):
             code, sizes = layout(made.texts[low:high], depth)
             score[low:high] = np.add.reduceat(value[find(code)], np.cumsum(sizes) - sizes)
-        words, _ = made.words()
+        words = sorted({b""}.union(*map(bytes.split, made.texts)))
         shard, counts = _word_shard(words, shards), np.zeros(len(words), np.int64)
         for s, own in runs_of(shard):
             counts[own] = _large(got[shards + s])
