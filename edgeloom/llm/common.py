@@ -16,7 +16,9 @@ _shipped: set[str] = set()
 #: The white space of every contract here: space and tab to carriage return.  bytes.split() has the same six.
 SPACES = r"[\x20\x09-\x0D]+"
 #: Rows of a batch that a Python worker takes up at once.
-ROWS = 512
+ROWS = 256
+#: Bytes of an Arrow batch, unless the session asks for less.
+BATCH_BYTES = 8 << 20
 #: Partitions that chunks are dealt over at most; beyond it a partition holds several chunks, taken up one by one.
 PARTITIONS = 1 << 14
 
@@ -39,8 +41,14 @@ def ship(spark: SparkSession) -> None:
 
 
 def shipped(df: DataFrame) -> DataFrame:
-    """The same frame, after seeing to it that Python workers have this package."""
+    """The same frame, after seeing to it that Python workers have this package and get at most ``BATCH_BYTES`` at once.
+
+    Spark reads that bound when a plan runs, so it stays set for the session; it changes no result.
+    """
     ship(df.sparkSession)
+    bound = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(df.sparkSession.conf.get(bound).rstrip("b")) > BATCH_BYTES:
+        df.sparkSession.conf.set(bound, str(BATCH_BYTES))
     return df
 
 

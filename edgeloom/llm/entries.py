@@ -135,6 +135,7 @@ FROM c LEFT JOIN links l ON l.a = c.vec_id GROUP BY c.vec_id, c.component_id
 """
 
 
+#: In a last block's order, documents of one source and id (the table has none) would need the hash of their texts, too.
 OP8_SQL = r"""
 WITH RECURSIVE t AS (
   SELECT doc_id, source,

@@ -39,7 +39,7 @@ from edgeloom.llm.common import bytes_of, fold, shipped, sliced, whole
 
 HIDDEN, CORE, MARGIN = 16, 112, 16
 #: Windows that are read at once, in use and in training, and the steps of training.
-STRIP, BATCH, TURNS = 2048, 64, 700
+STRIP, BATCH, TURNS = 1024, 64, 700
 UNKNOWN = "und"
 
 
@@ -54,31 +54,53 @@ class Direction:
     def parameters(self) -> list[np.ndarray]:
         return [self.x, self.u, self.b]
 
-    def run(self, seen: np.ndarray, inside: np.ndarray, keep: list | None = None) -> np.ndarray:
-        """States (time, row, hidden) over bytes seen (time, row); a state outside its text is zero."""
+    def run(self, seen: np.ndarray, inside: np.ndarray, keep: list) -> np.ndarray:
+        """States (time, row, hidden) over bytes seen (time, row), and in ``keep`` what ``back`` needs; a state outside its text is zero."""
         size = self.u.shape[0]
         h, out = np.zeros((seen.shape[1], size), np.float32), np.empty((*seen.shape, size), np.float32)
-        g, there = np.empty((seen.shape[1], 3 * size), np.float32), inside.astype(np.float32)[:, :, None]
-        all_in = inside.all(axis=1)
         for t, column in enumerate(seen):
-            a = self.x[column]
-            np.matmul(h, self.u, out=g)
-            g += self.b
-            gates = a[:, : 2 * size] + g[:, : 2 * size]
-            gates *= 0.5  # a logistic function is a scaled tanh
-            np.tanh(gates, out=gates)
-            gates += 1
-            gates *= 0.5
+            a, g = self.x[column], h @ self.u + self.b
+            gates = 0.5 + 0.5 * np.tanh(0.5 * (a[:, : 2 * size] + g[:, : 2 * size]))  # a logistic function is a scaled tanh
             z, r, inner = gates[:, :size], gates[:, size:], g[:, 2 * size :]
             n = np.tanh(a[:, 2 * size :] + r * inner)
-            if keep is not None:
-                keep.append((h, z, r, inner.copy(), n))
-            h = n + z * (h - n)
-            if not all_in[t]:
-                h *= there[t]
+            keep.append((h, z, r, inner, n))
+            h = (n + z * (h - n)) * inside[t][:, None]
             out[t] = h
         return out
 
+    def read(self, seen: np.ndarray, inside: np.ndarray, v: np.ndarray, raw: np.ndarray) -> None:
+        """As ``run``, but only adds each state's part of the output, times ``v``, to ``raw`` (time, label, row).
+
+        The unit's place comes before the row's, so that every step works on whole rows of memory, in place.
+        """
+        size, rows = self.u.shape[0], seen.shape[1]
+        # Halved beforehand, the gates need no scaling: logistic(x) = (1 + tanh(x / 2)) / 2.
+        half = np.repeat(np.float32([0.5, 1]), [2 * size, size])
+        x, u = np.ascontiguousarray((self.x + np.concatenate([self.b[: 2 * size], np.zeros(size, np.float32)])) * half).T.copy(), np.ascontiguousarray((self.u * half).T)
+        inner_b = self.b[2 * size :, None]
+        h, a, g = np.zeros((size, rows), np.float32), np.empty((3 * size, rows), np.float32), np.empty((3 * size, rows), np.float32)
+        part, all_in = np.empty((v.shape[1], rows), np.float32), inside.all(axis=1)
+        vt = np.ascontiguousarray(v.T)
+        for t, column in enumerate(seen):
+            np.take(x, column, axis=1, out=a, mode="clip")
+            np.matmul(u, h, out=g)
+            gates, n, inner = a[: 2 * size], a[2 * size :], g[2 * size :]
+            gates += g[: 2 * size]
+            np.tanh(gates, out=gates)
+            gates += 1
+            gates *= 0.5
+            inner += inner_b
+            inner *= gates[size:]
+            n += inner
+            np.tanh(n, out=n)
+            h -= n
+            h *= gates[:size]
+            h += n
+            if not all_in[t]:
+                h *= inside[t]
+            np.matmul(vt, h, out=part)
+            raw[t] += part
+
     def back(self, seen: np.ndarray, inside: np.ndarray, kept: list, grads: np.ndarray) -> list[np.ndarray]:
         """Gradients of the parameters, from those of the states, back through time."""
         dx, du, db = (np.zeros_like(p) for p in self.parameters())
@@ -120,12 +142,10 @@ class Network:
     def parameters(self) -> list[np.ndarray]:
         return [p for d in self.parts for p in d.parameters()] + [self.v, self.c]
 
-    def states(self, seen: np.ndarray, inside: np.ndarray, keep: list | None = None) -> np.ndarray:
-        kept: list[list | None] = [None, None] if keep is None else [[], []]
-        if keep is not None:
-            keep.extend(kept)
-        ahead = self.parts[0].run(seen, inside, kept[0])
-        behind = self.parts[1].run(seen[::-1], inside[::-1], kept[1])[::-1]
+    def states(self, seen: np.ndarray, inside: np.ndarray, keep: list) -> np.ndarray:
+        keep.extend(([], []))
+        ahead = self.parts[0].run(seen, inside, keep[0])
+        behind = self.parts[1].run(seen[::-1], inside[::-1], keep[1])[::-1]
         return np.concatenate([ahead, behind], axis=2)
 
     def log_p(self, states: np.ndarray) -> np.ndarray:
@@ -135,8 +155,14 @@ class Network:
         return raw
 
     def label(self, seen: np.ndarray, inside: np.ndarray) -> np.ndarray:
-        """Log probabilities (time, row, label) of every position of windows (time, row)."""
-        return self.log_p(self.states(seen, inside))
+        """Log probabilities (time, label, row) of every position of windows (time, row)."""
+        raw = np.empty((len(seen), len(self.labels), seen.shape[1]), np.float32)
+        raw[:] = self.c[:, None]
+        self.parts[0].read(seen, inside, self.v[: self.hidden], raw)
+        self.parts[1].read(seen[::-1], inside[::-1], self.v[self.hidden :], raw[::-1])
+        raw -= raw.max(axis=1, keepdims=True)
+        raw -= np.log(np.exp(raw).sum(axis=1, keepdims=True))
+        return raw
 
     def gradients(self, seen: np.ndarray, inside: np.ndarray, counted: np.ndarray, targets: np.ndarray) -> list[np.ndarray]:
         """Gradients of the mean cross-entropy over the positions counted."""
@@ -204,7 +230,9 @@ def pool(net: Network, texts: list[bytes]) -> np.ndarray:
     total, made = np.zeros((len(texts), len(net.labels))), Windows(texts)
     for own in made.strips():
         seen, inside, counted = made.rows(own)
-        np.add.at(total, made.doc[own], np.where(counted[:, :, None], net.label(seen, inside), 0).sum(axis=0, dtype=float))
+        labels = net.label(seen, inside)
+        labels *= counted[:, None, :]
+        np.add.at(total, made.doc[own], labels.sum(axis=0, dtype=float).T)
     mean = total / np.maximum([[len(t)] for t in texts], 1) if texts else total
     p = np.exp(mean - mean.max(axis=1, keepdims=True))
     return p / p.sum(axis=1, keepdims=True)
@@ -215,7 +243,7 @@ def has_letter(text: str) -> bool:
 
 
 #: Bytes of text that are laid out at once.
-HELD = 4 << 20
+HELD = 2 << 20
 
 
 def _answers(net: Network | None, batch: pa.RecordBatch) -> tuple[list[str], np.ndarray]:

@@ -18,11 +18,11 @@ corpus grows.  So the fingerprint is longer (further words are mixed from the sa
 shingle hashes), and its tables stand apart by *anchor*: a document is entered under
 the shingles of least hash by ``anchors`` orders, and two documents meet only where
 they share one, which a similarity of 0.8 does for at least one of four orders in all
-but 0.2 % of cases.  An anchor that only one text has ends there; the rows that go on
-do not grow faster than the corpus.  A table of up to ``SMALL`` texts is one ball, whose
-complete distances are verified; a larger one, under a shingle that many unrelated
-texts share, is indexed by 16-bit slices and their Hamming balls of radius one.  Keys
-are dealt to shards and blocks of bounded size, and a block sends no pairs: only an
+but 0.2 % of cases.  An anchor that only one text has ends there.  Under the others a
+text is entered by ``SLICES`` slices of its fingerprint and asks for the Hamming ball of
+radius one around each, as many rows for every anchor however many texts share it; at
+the distance of a similarity of 0.8 a slice of 8 bits differs in more than one with a
+probability of 0.34, all four in 1.3 % of cases, for each anchor.  Keys are dealt to shards and blocks of bounded size, and a block sends no pairs: only an
 edge per linked text to the root of its group, so a group of thousands of near copies
 costs no more than its rows.  These groups only say which texts to look at: those of
 groups of two and more are fetched, and two of them are linked where their distance is
@@ -151,14 +151,14 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return out.select(F.col("doc_id").alias(id_col), hexed.alias("fingerprint"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-#: Texts under an anchor up to which they are one ball; bits of a slice beyond that.
-SMALL, SLICE = 256, 16
+#: Slices that a text is entered and asked for by under an anchor, and their bits.
+SLICES, SLICE = 4, 8
 #: Rows of a shard of the search, and on the sides of its blocks.
 SHARD, STORED, ASKED = 1 << 17, 1 << 14, 1 << 18
 #: Texts, and bytes of text, on the sides of a block of the comparison by shingles.
-SIDE, SIDE_BYTES = 512, 8 << 20
+SIDE, SIDE_BYTES = 512, 4 << 20
 #: Pairs compared at once.
-STRIP = 1 << 20
+STRIP = 1 << 18
 
 
 def _long_fingerprints(width: int, words: int, anchors: int):
@@ -278,15 +278,20 @@ def _verified(docs: DataFrame, groups: DataFrame, labels: DataFrame, id_col: str
     large = tied.groupBy("component").agg(sides.alias("sides")).where("sides > 1")
     sized = tied.join(F.broadcast(large), "component", "left").withColumn("sides", F.coalesce("sides", F.lit(1)))
     bucket = F.when(F.col("sides") > 1, F.col("component")).otherwise(F.pmod(F.xxhash64("component"), F.lit(buckets)))
-    dealt = sized.select("node", "fp", "component", "n", "first.doc_id", "first.draw", "sides", bucket.alias("bucket"))
+    # Written down, so that the join with the texts knows its size: texts move only if these are many.
+    dealt = cut(sized.select("node", "fp", "component", "twice", "first.doc_id", "first.draw", "sides", bucket.alias("bucket")), "asked")
     texts = docs.select(F.col(id_col).cast("bigint").alias("key"), F.xxhash64(F.col(text_col).cast("string")).alias("mark"), F.col(text_col).cast("string").alias("text"))
-    met = texts.join(dealt, F.col("key").eqNullSafe(F.col("doc_id")) & (F.col("mark") == F.col("draw")))
-    columns = ["fp", "component", "sides", "bucket", "text"]
-    once = met.where("n = 1").select("node", *columns)
-    repeated = met.where("n > 1").groupBy("node").agg(F.first(F.struct(*columns)).alias("row")).select("node", "row.*")
+    # The list grows with the corpus: it is merged with the texts at every size, in one shuffle of them.
+    met = texts.hint("merge").join(dealt, F.col("key").eqNullSafe(F.col("doc_id")) & (F.col("mark") == F.col("draw")))
+    columns = ["node", "fp", "component", "sides", "bucket", "text"]
+    if dealt.where("twice").isEmpty():
+        once = met.select(*columns)
+    else:  # rows that repeat id and text
+        repeated = met.where("twice").groupBy("node").agg(F.first(F.struct(*columns[1:])).alias("row")).select("node", "row.*")
+        once = met.where("not twice").select(*columns).unionByName(repeated)
     side = F.pmod(F.xxhash64("node", F.lit(SEED)), F.col("sides"))
     every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("sides") - 1))
-    paired = once.unionByName(repeated).withColumn("own", side).withColumn("other", every)
+    paired = once.withColumn("own", side).withColumn("other", every)
     block = paired.select("bucket", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "component", "node", "fp", "text", (F.col("own") <= F.col("other")).alias("left"))
     return block.groupBy("bucket", "a", "b").applyInArrow(_alike(width, words, max_bits, least), "a bigint, b bigint")
 
@@ -301,17 +306,16 @@ def _candidates(groups: DataFrame, words: int, max_bits: int) -> DataFrame:
     # By anchor and a salt of the node, so that an anchor of very many texts spreads over tasks.
     salted = entered.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)))
     told = salted.select("anchor", "salt").distinct().join(met, "anchor")
-    shared = cut(salted.join(told, ["anchor", "salt"]).drop("salt"), "anchors")
-    slices = 64 * words // SLICE
-    piece = lambda k: F.conv(F.hex(F.substring("fp", 2 * k + 1, 2)), 16, 10).cast("int")
+    shared = cut(salted.join(told, ["anchor", "salt"]).drop("salt", "texts"), "anchors")
+    # Another slice for each anchor's place, so that several shared anchors try different slices.
+    turn = F.pmod(F.col("anchor"), F.lit(64 * words // SLICE)).cast("int")
+    place = lambda k: F.pmod(turn + k * (64 * words // SLICE // SLICES), F.lit(64 * words // SLICE))
+    piece = lambda k: F.conv(F.hex(F.substring(F.col("fp"), place(k) + 1, F.lit(1))), 16, 10).cast("bigint")
     flips = [0, *(1 << b for b in range(SLICE))]
-    one = F.array(F.struct(F.lit(-1).alias("seg"), F.lit(0).cast("bigint").alias("val")))
-    slot = lambda k: F.struct(F.lit(k).alias("seg"), piece(k).cast("bigint").alias("val"))
-    is_small = F.col("texts") <= SMALL
-    stored = F.when(is_small, one).otherwise(F.array(*[slot(k) for k in range(slices)]))
-    asked = F.when(is_small, one).otherwise(F.flatten(F.array(*[_ball(piece(k).cast("bigint"), k, flips) for k in range(slices)])))
+    stored = F.array(*[F.struct(F.lit(k).alias("seg"), piece(k).alias("val")) for k in range(SLICES)])
+    asked = F.flatten(F.array(*[_ball(piece(k), k, flips) for k in range(SLICES)]))
     split = lambda what, flag: shared.select("node", "fp", "anchor", F.explode(what).alias("key")).select("node", "fp", F.xxhash64("anchor", "key.seg", "key.val").alias("val"), F.lit(flag).alias("stored"))
-    rows = shared.agg(F.sum(F.when(is_small, 1).otherwise(slices * (SLICE + 1)))).first()[0] or 0
+    rows = shared.count() * SLICES * (SLICE + 1)
     shard = F.pmod(F.xxhash64("val"), F.lit(max(1, -(-rows // SHARD))))
     number = lambda what, name: split(what, True).groupBy(shard.alias("part")).agg(F.count("*").alias(name))
     sizes = number(stored, "s").join(number(asked, "q"), "part").select("part", F.ceil(F.col("s") / STORED).alias("lefts"), F.ceil(F.col("q") / ASKED).alias("rights"))
@@ -333,9 +337,11 @@ def _similar(docs: DataFrame, id_col: str, text_col: str, width: int, words: int
     rows = docs.select(F.struct(F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(F.col(text_col).cast("string")).alias("draw"), F.octet_length(F.col(text_col).cast("string")).alias("size")).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     made = shipped(rows).mapInArrow(_long_fingerprints(width, words, anchors), "doc_id struct<doc_id bigint, draw bigint, size int>, fp binary, anchors array<bigint>")
     rows = cut(made.select("doc_id.doc_id", "doc_id.draw", "doc_id.size", "fp", "anchors", F.spark_partition_id().alias("part")), "fps")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "draw")).alias("first")
-    # A node is a text: equal fingerprints say no more of their texts than near ones.
-    kinds = rows.groupBy(F.col("draw").alias("node"), "fp", "anchors").agg(first, F.count("*").alias("n"), F.max("size").cast("bigint").alias("size"))
+    # A node is a text: equal fingerprints say no more of their texts than near ones.  first: its least id; twice: do rows repeat that?
+    ids = rows.groupBy("draw", "fp", "anchors", "doc_id").agg(F.count("*").alias("n"), F.max("size").cast("bigint").alias("size"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "draw", (F.col("n") > 1).alias("twice"))).alias("first")
+    kinds = ids.groupBy(F.col("draw").alias("node"), "fp", "anchors").agg(first, F.max("size").alias("size"))
+    kinds = kinds.select("node", "fp", "anchors", F.col("first").dropFields("twice").alias("first"), F.col("first.twice").alias("twice"), "size")
     groups = cut(kinds, "fpgroups")
     edges = _candidates(groups.select("node", "fp", "anchors"), words, max_bits)
     alike = _verified(docs, groups, components(edges), id_col, text_col, width, words, max_bits, least)
@@ -346,27 +352,30 @@ def _similar(docs: DataFrame, id_col: str, text_col: str, width: int, words: int
     return out.select("doc_id", "draw", F.col("lead.doc_id").alias("component_id"), kept.alias("kept"))
 
 
-def similar_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, words: int = 3, max_bits: int = 44, anchors: int = 4, least: float = 0.8) -> DataFrame:
+def similar_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, words: int = 3, max_bits: int = 40, anchors: int = 4, least: float = 0.8) -> DataFrame:
     """One row per row of ``docs``: its id, component_id and kept, for copies of a similarity of ``least`` or more.
 
     words: 64-bit fingerprints taken together, max_bits: the distance within which texts are
-    looked at; at a similarity of 0.8 it is three deviations over the mean.  Of rows
+    looked at; at a similarity of 0.8 it is over two deviations above the mean.  Of rows
     repeating the least id, those with the least hash of their text are kept.
     """
     return _similar(docs, id_col, text_col, width, words, max_bits, anchors, least).select(F.col("doc_id").alias(id_col), "component_id", "kept")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, words: int = 3, max_bits: int = 44, anchors: int = 4, least: float = 0.8) -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, words: int = 3, max_bits: int = 40, anchors: int = 4, least: float = 0.8) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns: one of each component of ``similar_dedup``.
 
     It is the row of the component's least id, of rows repeating that id the one with
     the least hash of its text, and of rows that repeat both the one whose other
-    columns have the least hash.  Only the verdict, a small row per component, comes
-    back to the rows.
+    columns have the least hash.  What comes back to the rows is the (id, text hash) of
+    those that go, and of those that repeat both; documents move only where these are many.
     """
     verdicts = _similar(docs, id_col, text_col, width, words, max_bits, anchors, least)
-    winners = verdicts.where("kept").groupBy("doc_id", "draw").agg(F.count("*").alias("n"))
+    told = cut(verdicts.groupBy("doc_id", "draw").agg(F.max("kept").alias("kept"), F.count("*").alias("n")).where("not kept or n > 1"), "told")
     rows = docs.select(whole(docs).alias("doc"), F.col(id_col).cast("bigint").alias("key"), F.xxhash64(F.col(text_col).cast("string")).alias("mark"))
-    met = rows.join(winners, F.col("key").eqNullSafe(F.col("doc_id")) & (F.col("mark") == F.col("draw")))
-    repeated = met.where("n > 1").groupBy("key", "mark").agg(F.min_by("doc", F.xxhash64(F.to_json("doc"))).alias("doc"))
-    return met.where("n = 1").select("doc.*").unionByName(repeated.select("doc.*"))
+    same = F.col("key").eqNullSafe(F.col("doc_id")) & (F.col("mark") == F.col("draw"))
+    stays = rows.join(told, same, "left_anti").select("doc.*")
+    if told.where("kept").isEmpty():
+        return stays
+    repeated = rows.join(told.where("kept"), same).groupBy("key", "mark").agg(F.min_by("doc", F.xxhash64(F.to_json("doc"))).alias("doc"))
+    return stays.unionByName(repeated.select("doc.*"))

@@ -41,7 +41,7 @@ def test_backpropagation_through_time():
     assert made.doc.tolist() == [0, 1, 2, 2]
     seen, inside, counted = made.rows(own)
     targets = np.array([0, 1, 2])[made.doc]
-    loss = lambda: -(net.label(seen, inside)[:, own, targets] * counted).sum(dtype=float) / counted.sum()
+    loss = lambda: -(net.label(seen, inside)[:, targets, own] * counted).sum(dtype=float) / counted.sum()
     for p, g in zip(net.parameters(), net.gradients(seen, inside, counted, targets)):
         for at in [tuple(rng.integers(0, n) for n in p.shape) for _ in range(3)] + ([(98, 2)] if p.shape[0] == 256 else []):
             was = p[at]
@@ -354,6 +354,8 @@ def test_blocks(spark, rows):
     data = [(i, None if i == 3 else "w " * rng.randrange(0, 12), "x", rng.choice(["a"] * 8 + ["b", None])) for i in range(300)]
     data += [(7, "repeated words here", "x", "a"), (7, "repeated words here", "x", "a"), (None, "one two", "x", "b"), (999, "", "x", "empty")]
     size = lambda t: len((t or "").split())
+    texts = sorted({t for _, t, _, _ in data if t is not None})
+    mark = {r[0]: r[1] for r in spark.createDataFrame([(t,) for t in texts] + [(None,)], "t string").select("t", F.xxhash64("t")).collect()}
     tokens = Counter()
     for _, t, _, s in data:
         tokens[s] += size(t)
@@ -374,7 +376,7 @@ def test_blocks(spark, rows):
         assert sorted(blocks) in (list(range(full)), list(range(full + 1)))
         assert all(sorted(r["n_tokens"] for r in blocks[k]) == own for k in range(full))
         last, key = blocks.get(full, []), lambda i: hashlib.md5(f"{'null' if i is None else i}:{full}:17".encode()).hexdigest()
-        order = sorted((x for x in data if x[3] == source), key=lambda x: (key(x[0]), size(x[1])))
+        order = sorted((x for x in data if x[3] == source), key=lambda x: (key(x[0]), mark[x[1]]))
         ahead, want = 0, []
         for i, t, _, _ in order:
             if ahead + size(t) <= budget - full * tokens[source]:
