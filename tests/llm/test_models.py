@@ -1,5 +1,6 @@
 """Language ID, context-tree scoring, BPE, mixing, URL filter and the pipeline."""
 
+import base64
 import hashlib
 import itertools
 import math
@@ -12,6 +13,7 @@ from functools import lru_cache
 
 import numpy as np
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -294,6 +296,29 @@ def test_codec_equals_the_library(vocabulary):
         assert use.decode(ids) == text.encode()
 
 
+def brute_bpe(match, ranks):
+    """Ids of one pre-token: the adjacent pair of least rank is merged, the first of equals, until none has one."""
+    parts = [match[k : k + 1] for k in range(len(match))]
+    while len(parts) > 1 and match not in ranks:
+        rank, k = min((ranks.get(a + b, math.inf), k) for k, (a, b) in enumerate(zip(parts, parts[1:])))
+        if rank == math.inf:
+            break
+        parts[k : k + 2] = [parts[k] + parts[k + 1]]
+    return [ranks[match]] if match in ranks else [ranks[p] for p in parts]
+
+
+def test_codec_equals_plain_merging(vocabulary):
+    path = vocabulary.path("byte_bpe_multi_50k.tiktoken")
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
+    use, rng = codec(path, vocabulary.PATTERN), random.Random(12)
+    words = "Der Vertrag wird l'été naïve don't über 12345 tokenisation supercalifragilistic 中文字 x̂ ---".split()
+    texts = ["".join(rng.choice(ALPHABET) for _ in range(rng.randrange(30))) for _ in range(300)]
+    texts += [" ".join(rng.choice(words) for _ in range(rng.randrange(1, 30))) for _ in range(300)]
+    for text, ids in zip(texts, use.encode_all(texts)):
+        want = [i for m in regex.finditer(vocabulary.PATTERN, text) for i in brute_bpe(m.group().encode(), ranks)]
+        assert np.frombuffer(ids, "<u4").tolist() == want
+
+
 def test_seams_are_true_boundaries(vocabulary):
     rng = random.Random(4)
     for _ in range(300):
