@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from edgeloom.model import Graph
 from edgeloom.operators.access import has_vertex
+from edgeloom.plans.lineage import cut, discard
 from edgeloom.plans.superstep import Steps, edge_map, supersteps
 
 #: Distances from this on count as unreached.
@@ -46,25 +47,52 @@ def bfs_depth_sum(graph: Graph, sources: list[int]) -> DataFrame:
 def sssp(graph: Graph, source: int, unit: bool = False) -> tuple[DataFrame, bool]:
     """((id, dist) of every vertex reached, is there a negative cycle).
 
-    Frontier Bellman-Ford: only vertices whose distance fell send messages.  If
-    distances still fall after as many rounds as there are vertices, there is a
-    negative cycle; distances are then meaningless.  An unweighted graph's edges weigh 1.
+    Frontier Bellman-Ford: only vertices whose distance fell send messages.  Each keeps
+    the vertex its distance came from; among these links there is a cycle only where
+    the graph has a negative one, and they are looked at after 8, 16, 32, ... rounds.
+    Distances that still fall after as many rounds as there are vertices tell of one too.
+    With a negative cycle distances are meaningless.  An unweighted graph's edges weigh 1.
     """
     if not has_vertex(graph, source):
         raise ValueError(f"vertex {source} is not in the graph")
     spark = graph.edges.sparkSession
-    weight = F.lit(1) if unit or not graph.weighted else F.coalesce("weight", F.lit(1))
-    first = spark.createDataFrame([(source, 0)], "id bigint, dist bigint")
+    weighted = graph.weighted and not unit
+    weight = F.coalesce("weight", F.lit(1)) if weighted else F.lit(1)
+    first = spark.createDataFrame([(source, 0, None)], "id bigint, dist bigint, via bigint")
+    sent = F.min(F.struct((F.col("dist") + weight).alias("dist"), F.col("src").alias("via"))).alias("sent")
 
-    least = lambda rows: rows.groupBy("id").agg(F.min("dist").alias("dist"))
+    def least(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("id").agg(F.min(F.struct("dist", "via")).alias("low")).select("id", "low.dist", "low.via")
 
     def step(now: DataFrame, steps: Steps) -> DataFrame:
-        known = least(steps.all()).withColumnRenamed("dist", "known")
-        found = edge_map(graph, now, {"dist": F.min(F.col("dist") + weight)})
-        return found.join(known, "id", "left").where(F.col("known").isNull() | (F.col("dist") < F.col("known"))).select("id", "dist")
+        known = least(steps.all()).select("id", F.col("dist").alias("known"))
+        found = edge_map(graph, now.select("id", "dist"), {"sent": sent}).select("id", "sent.*")
+        return found.join(known, "id", "left").where(F.col("known").isNull() | (F.col("dist") < F.col("known"))).select("id", "dist", "via")
 
-    steps, settled = supersteps(first, step, "sssp", most=graph.count_vertices() if graph.weighted and not unit else None, merge=least)
-    return least(steps.all()), not settled
+    most = graph.count_vertices() if weighted else 0
+
+    def cyclic(steps: Steps) -> bool:
+        return steps.n > most or (steps.n >= 8 and steps.n & (steps.n - 1) == 0 and has_cycle(least(steps.all()).select("id", "via")))
+
+    steps, settled = supersteps(first, step, "sssp", stop=cyclic if weighted else None, merge=least)
+    return least(steps.all()).select("id", "dist"), not settled
+
+
+def has_cycle(links: DataFrame) -> bool:
+    """Do any of the links (id, via), one for each id, lead back to where they start?
+
+    Every link is made twice as long in each round, and those that have come to an end
+    go: a link that is left when it is longer than there are ids is in or before a cycle.
+    """
+    now, length = cut(links.where("via is not null"), "links"), 1
+    ids = left = now.count()
+    while left and length <= ids:
+        ahead = now.select(F.col("id").alias("via"), F.col("via").alias("far"))
+        then = cut(now.join(ahead, "via").select("id", F.col("far").alias("via")), "links")
+        discard(now)
+        now, left, length = then, then.count(), 2 * length
+    discard(now)
+    return left > 0
 
 
 def sssp_dist_sum(graph: Graph, source: int) -> DataFrame:

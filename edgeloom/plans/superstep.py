@@ -82,12 +82,12 @@ class Steps:
         return reduce(DataFrame.unionAll, self.frames)
 
 
-def supersteps(first: DataFrame, step: Callable[[DataFrame, Steps], DataFrame], name: str, most: int | None = None, merge: Callable[[DataFrame], DataFrame] | None = None) -> tuple[Steps, bool]:
-    """Run ``step`` on the newest rows until it adds none (True) or ``most`` steps are done (False)."""
+def supersteps(first: DataFrame, step: Callable[[DataFrame, Steps], DataFrame], name: str, stop: Callable[[Steps], bool] | None = None, merge: Callable[[DataFrame], DataFrame] | None = None) -> tuple[Steps, bool]:
+    """Run ``step`` on the newest rows until it adds none (True) or ``stop`` says so (False)."""
     steps = Steps(first.sparkSession, name, merge)
     now, n = steps.add(first)
     while n:
-        if most is not None and steps.n > most:
+        if stop is not None and stop(steps):
             return steps, False
         now, n = steps.add(step(now, steps))
     return steps, True

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from edgeloom.model import check_capacity, empty_graph, from_edges
 from edgeloom.operators import access, measures, mutate, ranking, traverse
-from edgeloom.plans.superstep import edge_map, frontier_of, supersteps, union, vertex_map
+from edgeloom.plans.superstep import Steps, edge_map, frontier_of, supersteps, union, vertex_map
 
 
 def graph(spark, edges, directed=True, weighted=False, capacity=None):
@@ -77,6 +77,24 @@ def test_weighted_detour_and_negative_weights(spark, rows):
         traverse.dijkstra(bad, 0)
 
 
+def test_negative_cycle_is_found_early(spark, rows, monkeypatch):
+    # 400 vertices on a path; behind its third one a cycle of weight -1.
+    path = [(k, k + 1, 1) for k in range(400)]
+    seen, add = [], Steps.add
+    monkeypatch.setattr(Steps, "add", lambda self, rows: seen.append(1) or add(self, rows))
+    bad = graph(spark, [*path, (2, 900, 5), (900, 901, -9), (901, 2, 3)], weighted=True)
+    assert one(traverse.sssp_dist_sum(bad, 0)) == (-1, True)
+    assert len(seen) <= 16
+    links = lambda x: spark.createDataFrame(x, "id bigint, via bigint")
+    assert not traverse.has_cycle(links([(k, k - 1 if k else None) for k in range(9)]))
+    assert not traverse.has_cycle(links([]))
+    assert traverse.has_cycle(links([(0, None), (1, 0), (2, 4), (3, 2), (4, 3), (5, 4)]))
+    assert traverse.has_cycle(links([(0, 0)]))
+    # A cycle of weight 0 is none, and weights that are negative without one do no harm.
+    zero = graph(spark, [(0, 1, 4), (1, 2, -3), (2, 1, 3), (2, 3, -5)], weighted=True)
+    assert rows(traverse.sssp(zero, 0)[0]) == [(0, 0), (1, 4), (2, 1), (3, -4)] and not traverse.sssp(zero, 0)[1]
+
+
 def test_far_distances_do_not_count(spark):
     g = graph(spark, [(0, 1, 999_999), (1, 2, 1)], weighted=True)
     assert one(traverse.sssp_dist_sum(g, 0)) == (999_999, False)
