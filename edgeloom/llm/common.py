@@ -81,6 +81,13 @@ def fold(key: Column, n: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")), F.lit(n))
 
 
+def answered(rows: DataFrame, answers: DataFrame, keys: list[str], salt: Column, how: str = "inner") -> DataFrame:
+    """``rows`` with what ``answers`` has on their keys; a key of very many rows is dealt over tasks by ``salt``."""
+    salted = rows.withColumn("salt", salt)
+    spread = salted.select(*keys, "salt").distinct().join(answers, keys)
+    return salted.join(spread, [*keys, "salt"], how).drop("salt")
+
+
 def text_bytes(docs: DataFrame, text: str = "text") -> int:
     """Bytes of all texts; one aggregate that reads only the text column."""
     return docs.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0

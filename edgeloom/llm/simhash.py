@@ -46,7 +46,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from edgeloom.llm.common import bytes_of, over_batches, shipped, whole
+from edgeloom.llm.common import answered, bytes_of, over_batches, shipped, whole
 from edgeloom.llm.substring_dedup import mix
 from edgeloom.operators.stars import SALTS, component_least, components
 from edgeloom.plans.lineage import cut
@@ -276,7 +276,8 @@ def _verified(docs: DataFrame, groups: DataFrame, labels: DataFrame, id_col: str
     buckets = max(1, -(-(tied.agg(F.sum("size")).first()[0] or 0) // SIDE_BYTES))
     sides = F.greatest(F.ceil(F.count("*") / SIDE), F.ceil(F.sum("size") / SIDE_BYTES))
     large = tied.groupBy("component").agg(sides.alias("sides")).where("sides > 1")
-    sized = tied.join(F.broadcast(large), "component", "left").withColumn("sides", F.coalesce("sides", F.lit(1)))
+    # The list of large ones grows with the corpus: it comes back by component and a salt of the node.
+    sized = answered(tied, large, ["component"], F.pmod(F.xxhash64("node"), F.lit(SALTS)), "left").withColumn("sides", F.coalesce("sides", F.lit(1)))
     bucket = F.when(F.col("sides") > 1, F.col("component")).otherwise(F.pmod(F.xxhash64("component"), F.lit(buckets)))
     # Written down, so that the join with the texts knows its size: texts move only if these are many.
     dealt = cut(sized.select("node", "fp", "component", "twice", "first.doc_id", "first.draw", "sides", bucket.alias("bucket")), "asked")

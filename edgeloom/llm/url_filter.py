@@ -37,6 +37,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from edgeloom.llm.common import answered
 from edgeloom.operators.stars import SALTS
 from edgeloom.plans.lineage import cut
 
@@ -80,13 +81,6 @@ def rule_of(host: Column, path: Column, given: list[Rule]) -> tuple[Column, Colu
     return text, verdict
 
 
-def told(rows: DataFrame, answers: DataFrame, keys: list[str], salt: Column, how: str = "inner") -> DataFrame:
-    """``rows`` with what ``answers`` has on their keys; a key of very many rows is dealt over tasks by ``salt``."""
-    salted = rows.withColumn("salt", salt)
-    spread = salted.select(*keys, "salt").distinct().join(answers, keys)
-    return salted.join(spread, [*keys, "salt"], how).drop("salt")
-
-
 def templates(paths: DataFrame, min_distinct: int, min_ratio: float) -> DataFrame:
     """Adds ``template``, ``shape`` and ``last``, the last segment, to distinct (host, path, n, ...) rows."""
     parts = F.split(F.substring("path", 2, 1 << 30), "/")
@@ -102,7 +96,7 @@ def templates(paths: DataFrame, min_distinct: int, min_ratio: float) -> DataFram
         children = rows.groupBy("host", "template", "segment").agg(F.sum("n").alias("n"))
         nodes = children.groupBy("host", "template").agg(F.count("*").alias("kinds"), F.sum("n").alias("pages"))
         varied = nodes.where((F.col("kinds") >= min_distinct) & (F.col("kinds") >= min_ratio * F.col("pages"))).select("host", "template", F.lit(True).alias("varied"))
-        rows = told(rows, varied, ["host", "template"], by_path, "left")
+        rows = answered(rows, varied, ["host", "template"], by_path, "left")
         star = F.coalesce("varied", F.lit(False))
         rows = rows.withColumn("template", F.concat("template", F.lit("/"), F.when(star, "*").otherwise(F.col("segment")))).withColumn("shape", F.concat("shape", F.when(star, "*").otherwise("=")))
         # Each level is read several times by the next; written down, the plan stays one level long.
@@ -156,7 +150,7 @@ def url_filter(pages: DataFrame, given: list[Rule], id_col: str = "page_id", url
     numbers = F.count_if(F.col("last").rlike("^[0-9]+$")).alias("numbers")
     leaves = tree.groupBy("host", "template", "shape").agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"), F.sum("n").alias("pages"), F.count("*").alias("paths"), numbers)
     verdicts = judged(cut(leaves, "templates"), prior_weight, reject, z, min_labelled)
-    by_path = told(tree.select("host", "path", "rule", "verdict", "template"), verdicts, ["host", "template"], F.pmod(F.xxhash64("path"), F.lit(SALTS)))
+    by_path = answered(tree.select("host", "path", "rule", "verdict", "template"), verdicts, ["host", "template"], F.pmod(F.xxhash64("path"), F.lit(SALTS)))
     final = by_path.select("host", "path", "rule", F.coalesce("verdict", F.when(F.col("blocked"), "block").otherwise("allow")).alias("verdict"), "template", "class", "purity")
-    out = told(rows, cut(final, "verdicts"), ["host", "path"], F.pmod(F.xxhash64("page_id"), F.lit(SALTS)))
+    out = answered(rows, cut(final, "verdicts"), ["host", "path"], F.pmod(F.xxhash64("page_id"), F.lit(SALTS)))
     return out.select(F.col("page_id").alias(id_col), "host", "path", "rule", "verdict", "template", "class", F.round("purity", 9).alias("purity"))
