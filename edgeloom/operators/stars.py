@@ -3,12 +3,16 @@
 Works on an edge frame (a, b) of bigint ids.  Every round is a grouped minimum
 and an equi-join, so work spreads over the cluster: minima are combined map-side and
 come back to the rows by node and a salt of the row, so a hub's rows spread over
-``SALTS`` tasks whatever its degree.  The number of rounds grows with the logarithm
-of the component diameter.
+``SALTS`` tasks whatever its degree.  The joins are merges at every size: a broadcast
+for each of them, however small, piles up in the driver over the rounds.  The number of
+rounds grows with the logarithm of the component diameter.  Every round's plan and jobs
+cost the driver memory too, so up to ``FEW`` edges are joined by one task instead.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +20,8 @@ from edgeloom.plans.lineage import cut, discard
 
 
 SALTS = 64
+#: Edges (4 MB) up to which one task joins them.
+FEW = 1 << 18
 
 
 def _least_beside(rows: DataFrame) -> DataFrame:
@@ -23,7 +29,7 @@ def _least_beside(rows: DataFrame) -> DataFrame:
     salted = rows.withColumn("s", F.pmod(F.xxhash64("b"), F.lit(SALTS)))
     part = salted.groupBy("a", "s").agg(F.min("b").alias("least"))
     low = part.groupBy("a").agg(F.min("least").alias("m"))
-    return salted.join(part.select("a", "s").join(low, "a"), ["a", "s"]).drop("s")
+    return salted.join(part.select("a", "s").join(low.hint("merge"), "a").hint("merge"), ["a", "s"]).drop("s")
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -38,6 +44,28 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return _least_beside(down).select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).distinct()
 
 
+def _at_once(edges: DataFrame) -> DataFrame:
+    """The edges from each node to the least one reachable, by one task.  Its function is a closure of libraries alone, so workers need no path to this package."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        ids, ends = np.unique(np.concatenate([rows["a"].to_numpy(), rows["b"].to_numpy()]), return_inverse=True)
+        x, y = np.split(ends, 2)
+        label = np.arange(len(ids))
+        while True:
+            p, q = label[x], label[y]
+            apart = p != q
+            if not apart.any():
+                break
+            p, q = np.maximum(p[apart], q[apart]), np.minimum(p[apart], q[apart])
+            np.minimum.at(label, p, q)
+            while (label[label] != label).any():
+                label = label[label]
+        moved = np.flatnonzero(label != np.arange(len(ids)))
+        return pa.table({"a": ids[moved], "b": ids[label[moved]]})
+
+    return edges.groupBy().applyInArrow(run, "a bigint, b bigint")
+
+
 def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("a", "b"), F.lit(1 << 40)))).first())
 
@@ -51,6 +79,10 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     loops = clean.where("a is not null and b is not null")
     now = cut(loops.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "stars")
     before = _state(now)
+    if 0 < before[0] <= FEW:
+        then = cut(_at_once(now), "stars")
+        discard(now)
+        now, before = then, (0,)
     for _ in range(max_rounds):
         if not before[0]:
             break
@@ -72,9 +104,9 @@ def component_least(nodes: DataFrame, labels: DataFrame, node: str, value: str,
     labels: (id, component) of ``components``.  The answer goes back by component
     and a salt of the node, so a component of very many nodes spreads over tasks.
     """
-    met = nodes.join(labels.select(F.col("id").alias(node), "component"), node, "left")
+    met = nodes.join(labels.select(F.col("id").alias(node), "component").hint("merge"), node, "left")
     tied = met.where("component is not null").withColumn("salt", F.pmod(F.xxhash64(node), F.lit(salts)))
     lows = tied.groupBy("component").agg(F.min(value).alias(least))
-    spread = tied.select("component", "salt").distinct().join(lows, "component")
-    back = tied.join(spread, ["component", "salt"]).drop("component", "salt")
+    spread = tied.select("component", "salt").distinct().join(lows.hint("merge"), "component")
+    back = tied.join(spread.hint("merge"), ["component", "salt"]).drop("component", "salt")
     return back.unionByName(met.where("component is null").drop("component").withColumn(least, F.col(value)))

@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from edgeloom.model import check_capacity, empty_graph, from_edges
-from edgeloom.operators import access, measures, mutate, ranking, traverse
+from edgeloom.operators import access, measures, mutate, ranking, stars, traverse
+from edgeloom.plans import lineage
 from edgeloom.plans.superstep import Steps, edge_map, frontier_of, supersteps, union, vertex_map
 
 
@@ -170,6 +171,23 @@ def test_components_on_long_paths_and_hubs(spark, rows):
     assert {labels[k] for k in range(100, 161)} == {100} and {labels[k] for k in range(200, 260)} == {1} and labels[300] == 300
 
 
+def test_component_rounds_do_not_fill_the_driver(spark, rows, monkeypatch):
+    edges = spark.createDataFrame([(k, k + 1) for k in range(100, 160)] + [(1, k) for k in range(200, 260)] + [(160, 259), (400, 401), (7, 7), (None, 3)], "a bigint, b bigint")
+    want = sorted([(k, 1) for k in (1, *range(100, 161), *range(200, 260))] + [(400, 400), (401, 400)], key=repr)
+    steps = []
+
+    def noted(df, what):
+        df.collect()
+        steps.append(df._jdf.queryExecution().executedPlan().toString())
+        return lineage.cut(df, what)
+
+    monkeypatch.setattr(stars, "cut", noted)
+    assert rows(stars.components(edges)) == want and len(steps) == 2  # few edges: no rounds, whatever the diameter
+    monkeypatch.setattr(stars, "FEW", 0)
+    assert rows(stars.components(edges)) == want and len(steps) > 4
+    assert not any("BroadcastExchange" in step for step in steps)
+
+
 def test_frontier_api(spark, rows):
     g = graph(spark, [(0, 1), (0, 2), (1, 2), (2, 0)])
     start = frontier_of(spark, [0, 0])
