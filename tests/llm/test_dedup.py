@@ -14,7 +14,7 @@ from edgeloom.llm.common import chunked, runs_of
 from edgeloom.llm.exact_dedup import PerfectHash, exact_dedup
 from edgeloom.llm.line_dedup import edit_distance, index_keys, line_dedup, probe_keys
 from edgeloom.llm.metric_join import cells_of, metric_dedup, unit
-from edgeloom.llm.simhash import balls, fingerprint, keep_one, long_fingerprint, similar_dedup, simhash_dedup
+from edgeloom.llm.simhash import balls, fingerprint, first_shingles, keep_one, long_fingerprint, parities, similar_dedup, simhash_dedup
 from edgeloom.llm.substring_dedup import rolled, sliding_min, substring_dedup
 
 DOCS = "doc_id bigint, text string, lang string, part string, digest string, keep_id int, chunk int, fp string, winner int, least int, node int"
@@ -407,6 +407,55 @@ def test_recall_of_near_copies(spark, rows):
     assert all(component[i] == i or (component[i], i) in wanted for i in component)
 
 
+def test_no_similar_pair_is_left_out(spark, rows, monkeypatch):
+    rng = random.Random(29)
+    texts = []
+    for _ in range(60):  # a phrase many times over turns the bits of a fingerprint, but adds few shingles
+        words = words_text(rng, rng.randrange(90, 200), 10**6).split()
+        texts += [" ".join(words), " ".join([*words, *words[20:30] * 40])]
+    for _ in range(200):
+        words = words_text(rng, rng.randrange(30, 200), 10**6).split()
+        own, n = list(words), len(words) - 4
+        for at in rng.sample(range(len(words)), max(1, round(0.105 * n / 5))):
+            own[at] = f"new{rng.randrange(10**6)}"
+        texts += [" ".join(words), " ".join(own)]
+    passage = words_text(rng, 60, 10**6)  # its shingles are frequent ones
+    texts += [f"{words_text(rng, 8, 10**6)} {passage} {words_text(rng, k % 5, 10**6)}" for k in range(40)]
+    prints = [long_fingerprint(t.encode(), 5, 3, 0)[0] for t in texts]
+    split = [t.split() for t in texts]
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in split]
+    wanted = similar_pairs(sets, 0.8)
+    assert sum(sum((a ^ b).bit_count() for a, b in zip(prints[i], prints[j])) > 40 for i, j in wanted) > 50
+    group = components(range(len(texts)), wanted)
+    want = sorted(((i, min(j for j in range(len(texts)) if group[j] == group[i])) for i in range(len(texts))), key=repr)
+    assert rows(similar_dedup(frame(spark, list(enumerate(texts)))).select("doc_id", "component_id")) == want
+    monkeypatch.setattr("edgeloom.llm.simhash.SHINGLES", 64)  # several shards and blocks, short strips
+    monkeypatch.setattr("edgeloom.llm.simhash.STORED", 16)
+    monkeypatch.setattr("edgeloom.llm.simhash.STRIP_BYTES", 64)
+    assert rows(similar_dedup(frame(spark, list(enumerate(texts)))).select("doc_id", "component_id")) == want
+
+
+def test_first_shingles_meet():
+    rng = np.random.default_rng(31)
+    for n in [*range(1, 40), 200, 5000]:
+        for _ in range(20):
+            a = rng.choice(1 << 40, n, replace=False).astype(np.uint64)
+            gone = rng.integers(0, n // 5 + 1)
+            b = np.concatenate([a[gone:], rng.choice(1 << 40, rng.integers(0, n // 5 + 1), replace=False).astype(np.uint64)])
+            a, b = np.unique(a), np.unique(b)
+            both = np.intersect1d(a, b)
+            if len(both) < 0.8 * len(np.union1d(a, b)):
+                continue
+            known = np.sort(rng.choice(both, len(both) // 3, replace=False))
+            frequent = known, rng.permutation(len(known))
+            (x, i), (y, j) = first_shingles(a, frequent, 0.8), first_shingles(b, frequent, 0.8)
+            assert np.isin(x, y[:j]).any() if len(b) <= len(a) else np.isin(x[:i], y).any()
+            p, q = (np.frombuffer(parities(z), np.uint8) for z in (a, b))
+            short = min(len(p), len(q))
+            p, q = (np.bitwise_xor.reduce(z.reshape(-1, short), axis=0) for z in (p, q))
+            assert np.bitwise_count(p ^ q).sum() <= len(a) + len(b) - 2 * len(both)
+
+
 def test_names_may_hold_anything(spark, rows):
     odd = spark.createDataFrame([(1, "one text", 5), (2, "one text", 6)], "doc_id bigint, text string, `a.b c` int")
     assert rows(keep_one(odd)) == [(1, "one text", 5)]
