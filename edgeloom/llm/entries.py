@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from edgeloom.llm.byte_bpe import encode
 from edgeloom.llm.common import table
@@ -54,7 +55,9 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix_sources(table(spark, sf_dir, "documents"), max_epochs=MAX_EPOCHS)
+    mixed = mix_sources(table(spark, sf_dir, "documents"), max_epochs=MAX_EPOCHS)
+    # The SQL has places in last blocks only.
+    return mixed.withColumn("before", F.when(F.col("full"), -1).otherwise(F.col("before"))).drop("full")
 
 
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,14 +6,15 @@ exponent a from 1 flattens the mixture.  a is bisected over [0, 1] for
 * a repetition limit: the least a at which no source needs more epochs than the limit.
 The budget (by default the tokens of all documents) is then split by weight and a
 source's part is met with *block permutations*: block b is the source's documents
-in an order of its own (a hash of row, block and seed).  Full blocks take every
-document once; the last block takes the longest prefix of its order that stays
-within what is left of the source's budget.
+in an order of its own (a hash of row, block and seed).  Every block has its order, and a
+row's place in it is the tokens ahead of it: full blocks take every document once, in
+their order; the last block takes the longest prefix of its order that stays within what
+is left of the source's budget.
 
 Everything is DataFrame expressions.  Token counts are aggregated map-side; the
 bisection runs over one row holding the sources' counts (sources are a bounded
-list, their rows are not).  The prefix of a last block needs running sums: a
-source's order is cut into hash ranges, as many as its rows ask for, range totals are
+list, their rows are not).  The places of a block need running sums: a
+block's order is cut into hash ranges, as many as its rows ask for, range totals are
 summed, and rows are summed within a range only, so a source with a third of all
 rows spreads over all ranges.  Rows that repeat are counted, not listed.
 
@@ -103,39 +104,41 @@ def _beside(weights: DataFrame) -> DataFrame:
 
 
 def block_plan(weights: DataFrame) -> DataFrame:
-    """(s, weight, exponent, full, left) of each source: its full blocks and the tokens left for the last one."""
+    """(s, tokens, weight, exponent, full, left) of each source: its full blocks and the tokens left for the last one."""
     plan = weights.where("tokens > 0").withColumn("full", F.floor(F.col("budget") / F.col("tokens"))).withColumn("left", F.col("budget") - F.col("full") * F.col("tokens"))
-    return plan.select(F.col("source").alias("s"), "weight", "exponent", "full", "left")
+    return plan.select(F.col("source").alias("s"), "tokens", "weight", "exponent", "full", "left")
 
 
-def last_blocks(joined: DataFrame, seed: int, ranges: int) -> DataFrame:
-    """The kinds of documents of each source's last order, with key, before and taken.
+def ordered(joined: DataFrame, seed: int, ranges: int) -> DataFrame:
+    """The kinds of documents of each block's order, with key, before and taken.
 
     joined: kinds (source, row, mark, n_tokens, m: distinct documents and how often each
-    comes) with ``block_plan``.  before: tokens of the order ahead of the kind's first
-    place; taken: how many of its m places the block gives.  After the first kind that
-    isn't taken whole there is room for none.
+    comes) with a block and its room in tokens.  before: tokens of the order ahead of the
+    kind's first place; taken: how many of its m places the block gives.  After the first
+    kind that isn't taken whole there is room for none.
     """
-    part = joined.where("left > 0").withColumn("key", order_key(F.col("row"), F.col("full"), seed))
+    part = joined.withColumn("key", order_key(F.col("row"), F.col("block"), seed))
     part = part.withColumn("range", F.shiftright(F.conv(F.substring("key", 1, 8), 16, 10).cast("bigint") * F.lit(ranges), 32))
     tokens = F.col("m") * F.col("n_tokens")
-    totals = part.groupBy("source", "range").agg(F.sum(tokens).alias("t"))
-    ahead = totals.select("source", "range", (F.sum("t").over(Window.partitionBy("source").orderBy("range")) - F.col("t")).alias("ahead"))
-    order = Window.partitionBy("source", "range").orderBy("key", "mark").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    totals = part.groupBy("source", "block", "range").agg(F.sum(tokens).alias("t"))
+    ahead = totals.select("source", "block", "range", (F.sum("t").over(Window.partitionBy("source", "block").orderBy("range")) - F.col("t")).alias("ahead"))
+    order = Window.partitionBy("source", "block", "range").orderBy("key", "mark").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     part = part.withColumn("within", F.sum(tokens).over(order) - tokens)
-    same = part["source"].eqNullSafe(ahead["source"]) & (part["range"] == ahead["range"])
+    same = part["source"].eqNullSafe(ahead["source"]) & (part["block"] == ahead["block"]) & (part["range"] == ahead["range"])
     placed = part.join(ahead, same).select(*[part[c] for c in part.columns if c != "range"], "ahead").withColumn("before", F.col("ahead") + F.col("within"))
-    room = F.col("left") - F.col("before")
+    room = F.col("room") - F.col("before")
     fits = F.when(room < 0, 0).when(F.col("n_tokens") == 0, F.col("m")).otherwise(F.least(F.col("m"), F.floor(room / F.col("n_tokens"))))
     return placed.withColumn("taken", fits.cast("bigint")).drop("ahead", "within")
 
 
-def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", entropy: float | None = None, max_epochs: float | None = None, budget: int | None = None, seed: int = 17, range_rows: int = 50_000, carry: bool = False) -> DataFrame:
+def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", entropy: float | None = None, max_epochs: float | None = None, budget: int | None = None, seed: int = 17, range_rows: int = 50_000, carry: bool = False, places: bool = False) -> DataFrame:
     """The mixture: one row per place of a document.
 
     Columns: the id, source, block (0, 1, ... within its source), n_tokens, weight
-    and exponent, before (-1 in full blocks); with ``carry``, all columns of ``docs``
-    instead.  range_rows: rows of a range of a last block's order, which one task sums.
+    and exponent, before (tokens ahead in the block's order) and full (is the block one
+    that takes all documents); with ``carry``, all columns of ``docs`` instead, and with
+    ``places``, these as a struct ``doc`` beside source, block and place, by which a block's
+    rows are in order.  range_rows: rows of a range of a block's order, which one task sums.
     Of rows that repeat id, source and text, of which a last block takes only some,
     ``carry`` gives one's columns as often as the block has places.
     """
@@ -148,13 +151,13 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     weights = cut(source_weights(counts, budget, entropy, max_epochs), "weights")
     plan = cut(block_plan(weights), "plan")
     joined = kinds.join(_beside(plan), F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    last, zero = last_blocks(joined, seed, ranges), F.lit(0).cast("bigint")
+    zero = F.lit(0).cast("bigint")
     if not carry:
-        blocks = joined.where("full > 0").withColumn("block", F.explode(F.sequence(zero, F.col("full") - 1))).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("m")))).withColumn("before", F.lit(-1).cast("bigint"))
-        rest = last.where("taken > 0").withColumn("copy", F.explode(F.sequence(zero, F.col("taken") - 1))).withColumn("block", F.col("full")).withColumn("before", F.col("before") + F.col("copy") * F.col("n_tokens"))
-        names = ["doc_id", "source", "block", "n_tokens", "weight", "exponent", "before"]
-        places = blocks.select(*names).unionByName(rest.select(*names))
-        return places.select(F.col("doc_id").alias(id_col), F.col("source").alias(source_col), "block", "n_tokens", F.round("weight", 9).alias("weight"), F.round("exponent", 9).alias("exponent"), "before")
+        every = joined.withColumn("block", F.explode(F.sequence(zero, F.col("full")))).withColumn("whole", F.col("block") < F.col("full"))
+        every = every.withColumn("room", F.when(F.col("whole"), F.col("tokens")).otherwise(F.col("left"))).where("whole or left > 0")
+        met = ordered(every, seed, ranges).where("taken > 0").withColumn("copy", F.explode(F.sequence(zero, F.col("taken") - 1))).withColumn("before", F.col("before") + F.col("copy") * F.col("n_tokens"))
+        return met.select(F.col("doc_id").alias(id_col), F.col("source").alias(source_col), "block", "n_tokens", F.round("weight", 9).alias("weight"), F.round("exponent", 9).alias("exponent"), "before", F.col("whole").alias("full"))
+    last = ordered(joined.where("left > 0").withColumn("block", F.col("full")).withColumn("room", F.col("left")), seed, ranges)
     # A last block ends at the first kind it does not take whole; that place, one for each source, is all that comes back, and documents do not move.
     stop = last.where("taken < m").groupBy("source").agg(F.min(F.struct("key", "mark", "taken")).alias("stop")).select(F.col("source").alias("e"), "stop")
     ends = cut(plan.join(stop, F.col("s").eqNullSafe(F.col("e")), "left").select("s", "full", "left", "stop"), "ends")
@@ -162,11 +165,12 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     met = rows.join(_beside(ends), F.col("source").eqNullSafe(F.col("s"))).withColumn("place", F.struct(order_key(F.col("row"), F.col("full"), seed).alias("key"), "mark"))
     end = F.struct(F.col("stop.key").alias("key"), F.col("stop.mark").alias("mark"))
     copies = F.col("full") + F.when((F.col("left") > 0) & (F.col("stop").isNull() | (F.col("place") < end)), 1).otherwise(0)
-    every = met.where(copies > 0).select("doc", F.explode(F.sequence(F.lit(1).cast("bigint"), copies)).alias("copy")).select("doc.*")
+    shown = ["doc", "source", "block", order_key(F.col("row"), F.col("block"), seed).alias("place")] if places else ["doc.*"]
+    every = met.where(copies > 0).withColumn("block", F.explode(F.sequence(zero, copies - 1))).select(*shown)
     if ends.where("stop.taken > 0").isEmpty():
         return every
-    some = met.where((F.col("stop.taken") > 0) & (F.col("place") == end)).groupBy("source", "row", "mark").agg(F.first("doc").alias("doc"), F.first("stop.taken").alias("taken"))
-    return every.unionByName(some.select("doc", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("taken"))).alias("copy")).select("doc.*"))
+    some = met.where((F.col("stop.taken") > 0) & (F.col("place") == end)).groupBy("source", "row", "mark").agg(F.first("doc").alias("doc"), F.first("stop.taken").alias("taken"), F.first("full").alias("block"))
+    return every.unionByName(some.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("taken")))).select(*shown))
 
 
 def even_entropy(n: int) -> float:

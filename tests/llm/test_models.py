@@ -421,6 +421,27 @@ def test_blocks(spark, rows):
     assert mix_sources(docs(spark, []), max_epochs=2.0).count() == 0
 
 
+def test_every_block_has_its_order(spark):
+    rng = random.Random(41)
+    data = [(i, "w " * rng.randrange(0, 9), "x", rng.choice(["a"] * 12 + ["b", None])) for i in range(200)] + [(7, "twice the same", "x", "b")] * 2
+    got = mix_sources(docs(spark, data), max_epochs=4.0, range_rows=30).collect()
+    blocks = {}
+    for r in got:
+        blocks.setdefault((r["source"], r["block"]), []).append(r)
+    assert sum(r["full"] for r in got) > 50 and max(b for _, b in blocks) >= 2
+    for (_, block), own in blocks.items():
+        own.sort(key=lambda r: (hashlib.md5(f"{r['doc_id']}:{block}:17".encode()).hexdigest(), r["before"]))
+        ahead = 0
+        for r in own:
+            assert r["before"] == ahead
+            ahead += r["n_tokens"]
+    orders = [[r["doc_id"] for r in blocks["b", k]] for k in (0, 1)]
+    assert sorted(orders[0]) == sorted(orders[1]) and orders[0] != orders[1]
+    placed = mix_sources(docs(spark, data), max_epochs=4.0, range_rows=30, carry=True, places=True).select("doc.doc_id", "source", "block", "place").collect()
+    for key, own in blocks.items():
+        assert [r["doc_id"] for r in sorted((r for r in placed if (r["source"], r["block"]) == key), key=lambda r: r["place"])] == [r["doc_id"] for r in own]
+
+
 # URLs
 
 RULES = rules(entries.RULES)
