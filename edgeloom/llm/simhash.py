@@ -425,10 +425,11 @@ def _candidates(groups: DataFrame, words: int, max_bits: int) -> DataFrame:
     return _met(split(stored), split(asked), shared.count() * SLICES * (SLICE + 1), SHARD, _near_bits(words, max_bits))
 
 
-def _met(stored: DataFrame, asked: DataFrame, rows: int, shard_rows: int, near) -> DataFrame:
+def _met(stored: DataFrame, asked: DataFrame, rows: int, shard_rows: int, near, beside: DataFrame | None = None) -> DataFrame:
     """Edges (a, b) that connect what is stored and what is asked for under the same ``val`` and is ``near``.
 
-    Both: (node, val) and what ``near`` looks at; rows: about how many are asked for.
+    Both: (node, val) and what ``near`` looks at, unless that stands in ``beside`` (by node) and
+    is large: it then moves only once its blocks are known.  rows: about how many are asked for.
     """
     shard = F.pmod(F.xxhash64("val"), F.lit(max(1, -(-rows // shard_rows))))
     number = lambda df, name: df.groupBy(shard.alias("part")).agg(F.count("*").alias(name))
@@ -440,7 +441,9 @@ def _met(stored: DataFrame, asked: DataFrame, rows: int, shard_rows: int, near)
     columns = ["part", *stored.columns, "stored"]
     lefts = sized(stored, True).select(*columns, own("lefts").alias("a"), every("rights").alias("b"))
     rights = sized(asked, False).select(*columns, every("lefts").alias("a"), own("rights").alias("b"))
-    return lefts.unionByName(rights).groupBy("part", "a", "b").applyInArrow(_meet(near), "a bigint, b bigint")
+    dealt = lefts.unionByName(rights)
+    dealt = dealt if beside is None else dealt.join(beside.hint("merge"), "node")
+    return dealt.groupBy("part", "a", "b").applyInArrow(_meet(near), "a bigint, b bigint")
 
 
 def _rest(rows: DataFrame, groups: DataFrame, least: float) -> DataFrame:
@@ -451,9 +454,8 @@ def _rest(rows: DataFrame, groups: DataFrame, least: float) -> DataFrame:
     """
     entered = rows.select(F.col("draw").alias("node"), "stored", F.posexplode("shingles").alias("at", "val")).select("node", "val", (F.col("at") < F.col("stored")).alias("needed"))
     met = entered.groupBy("val").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.max("needed").alias("needed")).where("low < high and needed").select("val")
-    shared = entered.join(met.hint("merge"), "val", "left_semi").distinct()
-    beside = cut(shared.join(groups.select("node", "n", "parities").hint("merge"), "node"), "shingles")
-    return _met(beside.where("needed").drop("needed"), beside.drop("needed"), beside.count(), SHINGLES, _near_sets(least))
+    shared = cut(entered.join(met.hint("merge"), "val", "left_semi").distinct(), "shingles")
+    return _met(shared.where("needed").drop("needed"), shared.drop("needed"), shared.count(), SHINGLES, _near_sets(least), groups.select("node", "n", "parities"))
 
 
 def _similar(docs: DataFrame, id_col: str, text_col: str, width: int, words: int, max_bits: int, anchors: int, least: float) -> DataFrame:
